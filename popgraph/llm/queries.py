@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup
+from . import decontaminate, near_dup, run_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = run_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "removed_words", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -38,10 +47,34 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d JOIN comp c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS head,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS parts, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM g) WHERE r > 1
+), w AS (
+  SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM d
+), f AS (
+  SELECT w.doc_id, w.i, part, coalesce(max(CASE WHEN l.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM w LEFT JOIN later l ON l.doc_id = w.doc_id AND l.i = w.i
+), k AS (
+  SELECT doc_id, sum(gone) AS removed, coalesce(string_agg(part, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words, length(head || coalesce(kept, '')) AS kept_chars, md5(head || coalesce(kept, '')) AS kept_md5
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
+    "op2_simhash_decontamination": op2_simhash_decontamination,
+    "op3_winnowing_line_dedup": op3_winnowing_line_dedup,
 }
 
 SQL = {
     "op1_minhash_odd_sketch": OP1_SQL,
+    "op3_winnowing_line_dedup": OP3_SQL,
 }
