@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, run_dedup
+from . import _common as C
+from . import decontaminate, near_dup, packing, run_dedup, token_store
+
+
+#: File of /opt/tokenizers that operators 5 and 10 take ids from.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +31,17 @@ def op3_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "removed_words", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = C.shared_path(spark, "token-files")
+    token_store.write_token_files(_table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return token_store.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -72,6 +89,8 @@ QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op2_simhash_decontamination": op2_simhash_decontamination,
     "op3_winnowing_line_dedup": op3_winnowing_line_dedup,
+    "op5_first_fit_packing": op5_first_fit_packing,
+    "op10_elias_fano_tokens": op10_elias_fano_tokens,
 }
 
 SQL = {
