@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontaminate, near_dup, packing, run_dedup, token_store
+from . import decontaminate, language_mix, near_dup, packing, run_dedup, token_store, url_filter
 
 
 #: File of /opt/tokenizers that operators 5 and 10 take ids from.
@@ -31,11 +31,26 @@ def op3_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "removed_words", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+#: The rules that operator 4's contract states.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op4_sorted_digest_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
 def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_mix.fit(docs.where(~C.held_out()).select("lang", "text"))
+    out = language_mix.predict(docs, model)
+    return out.select("doc_id", C.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.shared_path(spark, "token-files")
     token_store.write_token_files(_table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -85,15 +100,34 @@ SELECT d.doc_id, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words, length(h
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
+OP4_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), rules(rule, h, q, verdict) AS (
+  VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), m AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id
+"""
+
 QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op2_simhash_decontamination": op2_simhash_decontamination,
     "op3_winnowing_line_dedup": op3_winnowing_line_dedup,
+    "op4_sorted_digest_urls": op4_sorted_digest_urls,
     "op5_first_fit_packing": op5_first_fit_packing,
+    "op8_language_mixture": op8_language_mixture,
     "op10_elias_fano_tokens": op10_elias_fano_tokens,
 }
 
 SQL = {
     "op1_minhash_odd_sketch": OP1_SQL,
     "op3_winnowing_line_dedup": OP3_SQL,
+    "op4_sorted_digest_urls": OP4_SQL,
 }
