@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontaminate, language_mix, near_dup, packing, run_dedup, token_store, url_filter
+from . import decontaminate, fingerprint, language_mix, near_dup, packing, run_dedup, token_store, url_filter
 
 
 #: File of /opt/tokenizers that operators 5 and 10 take ids from.
@@ -44,6 +44,10 @@ def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_one_permutation_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_mix.fit(docs.where(~C.held_out()).select("lang", "text"))
@@ -122,6 +126,7 @@ QUERIES = {
     "op3_winnowing_line_dedup": op3_winnowing_line_dedup,
     "op4_sorted_digest_urls": op4_sorted_digest_urls,
     "op5_first_fit_packing": op5_first_fit_packing,
+    "op7_one_permutation_fingerprint": op7_one_permutation_fingerprint,
     "op8_language_mixture": op8_language_mixture,
     "op10_elias_fano_tokens": op10_elias_fano_tokens,
 }
