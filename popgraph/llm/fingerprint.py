@@ -3,8 +3,8 @@
 Each 5-word shingle is hashed once to 64 bits. The top bits name one of BINS bins, and a bin keeps its least
 hash: the hashes are sorted together with one mark per bin that is greater than all its hashes, so the first
 entry of each bin is its minimum or the mark of an empty bin. Empty bins are filled by optimal densification:
-bin k looks at bins h(k, 1), h(k, 2), ... of a fixed hash h until one is filled. The low BITS bits of each
-bin's hash are stored, a hexadecimal digit a bin. Unrelated bins agree once in 2**BITS, which likeness() takes out.
+bin k looks at bins h(k, 1), h(k, 2), ... of a fixed hash h until one is filled. BITS low-order bits of
+each bin's hash are stored, a hexadecimal digit a bin. Unrelated bins agree once in 2**BITS, which likeness() takes out.
 """
 
 from __future__ import annotations
@@ -61,7 +61,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str, shingle_words: int = C
         F.transform(F.filter(F.col(m), lambda y: y.isNotNull()), lambda y: F.struct(F.xxhash64(i, F.shiftright(y, _SHIFT)).alias("a"), y.alias("b")))
     )["b"]
     dense = F.transform(m, lambda x, i: F.coalesce(x, *[F.get(F.col(m), F.get(t, i)) for t in tables], filled(i)))
-    digits = F.transform(dense, lambda x: F.lower(F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1)))))
+    # a bin's digit is one of 14 by its number: bins that were filled from the same one don't all agree by chance
+    low = lambda x, i: F.call_function("shiftright", x, (i % (_SHIFT // BITS)) * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
+    digits = F.transform(dense, lambda x, i: F.lower(F.hex(low(x, i))))
     df = df.withColumn(name, F.when(n > 0, F.array_join(digits, "")).otherwise(F.lit("")))
     return df.select(*columns, name)
 
