@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontaminate, fingerprint, language_mix, near_dup, packing, run_dedup, token_store, url_filter
+from . import decontaminate, fingerprint, language_mix, near_dup, packing, quality_gam, run_dedup, token_store, toxicity, url_filter
 
 
 #: File of /opt/tokenizers that operators 5 and 10 take ids from.
@@ -44,6 +44,12 @@ def op5_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = quality_gam.score(docs, quality_gam.fit(docs, labels.where(~C.held_out())))
+    return out.select("doc_id", C.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_one_permutation_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,13 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", C.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~C.held_out()))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", C.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.shared_path(spark, "token-files")
     token_store.write_token_files(_table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -126,8 +139,10 @@ QUERIES = {
     "op3_winnowing_line_dedup": op3_winnowing_line_dedup,
     "op4_sorted_digest_urls": op4_sorted_digest_urls,
     "op5_first_fit_packing": op5_first_fit_packing,
+    "op6_additive_quality": op6_additive_quality,
     "op7_one_permutation_fingerprint": op7_one_permutation_fingerprint,
     "op8_language_mixture": op8_language_mixture,
+    "op9_lexicon_toxicity": op9_lexicon_toxicity,
     "op10_elias_fano_tokens": op10_elias_fano_tokens,
 }
 
