@@ -5,6 +5,9 @@ the samples propose pairs; the samples folded into a parity bitmap (an Odd sketc
 similarity from the population count of the bitmaps' XOR; pairs that may reach the threshold are confirmed on
 the full sets. Groups are the connected components of the confirmed links.
 
+Two further facts are certain and cost no link: sizes bound the similarity, and so does a second bitmap, of all
+of a set, since two bitmaps never differ in more bits than their sets do in elements.
+
 Work per group of copies stays linear: equal sets are one class, a bucket links its members to one pivot, and
 only members that are still outside a bucket's main component meet the bucket's other members.
 """
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 BANDS, ROWS = 51, 5
+#: Bands whose buckets link each member to a pivot at once; later steps take all bands.
+FIRST_BANDS = 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 SKETCH_LONGS = SKETCH_BITS // 64
@@ -65,14 +70,22 @@ def sketch(v: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def parity(u: np.ndarray) -> np.ndarray:
+    """The whole set folded into a bitmap."""
+    place = (C.mix(u ^ _U(0xA5A5A5A5A5A5A5A5)) & _U(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def bands(v: np.ndarray) -> np.ndarray:
     return C.mix((v.reshape(BANDS, ROWS) * _ROW_KEY).sum(axis=1, dtype=np.uint64) ^ _BAND_KEY).view(np.int64)
 
 
+#: Columns of the two bitmaps: of the samples, and of the whole set.
+_BITS = [f"{x}{i}" for x in "sf" for i in range(SKETCH_LONGS)]
 _SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(SKETCH_LONGS))]
+    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), *((x, pa.int64()) for x in _BITS)]
 )
-_SIGNED_DDL = "doc_id long, n_shingles long, set_id binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
+_SIGNED_DDL = "doc_id long, n_shingles long, set_id binary, bands array<long>, " + ", ".join(f"{x} long" for x in _BITS)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +99,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(u):
                     v = samples(u)
                     band.append(bands(v))
-                    bits.append(sketch(v))
+                    bits.append(np.concatenate([sketch(v), parity(u)]))
                 else:
                     band.append(np.zeros(0, np.int64))
-                    bits.append(np.zeros(SKETCH_LONGS, np.int64))
+                    bits.append(np.zeros(2 * SKETCH_LONGS, np.int64))
         if n:
             at = np.concatenate([[0], np.cumsum([len(x) for x in band])]).astype(np.int32)
             rows = np.ascontiguousarray(np.stack(bits).T)
@@ -117,35 +130,49 @@ def _confirm(threshold: int):
 
 
 def _near_enough(threshold: int, x: str, y: str):
-    """Whether two Odd sketches leave room for the threshold: five standard deviations below it still pass."""
-    differ = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(SKETCH_LONGS)))
+    """Whether the bitmaps leave room for the threshold.
+
+    Of the samples' bitmaps, five standard deviations below it still pass. Sets that reach it differ in at most
+    (1 - j) / (1 + j) of their elements, taken together, and so do their own bitmaps.
+    """
+
+    def differ(kind: str):
+        return reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}.{kind}{i}").bitwiseXOR(F.col(f"{y}.{kind}{i}"))) for i in range(SKETCH_LONGS)))
+
     least, most = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
     j = threshold / 100
     low = F.lit(j - 0.06) - 5 * F.sqrt(F.lit(j * (1 - j)) / F.least(least, F.lit(SAMPLES)))
     bits = SKETCH_BITS / 2 * (1 - F.exp(-(1 - F.greatest(low, F.lit(0.0))) * (4 * SAMPLES / SKETCH_BITS)))
-    return (100 * least >= threshold * most) & ((low <= 0) | (differ <= bits))
+    return (100 * least >= threshold * most) & ((100 + threshold) * differ("f") <= (100 - threshold) * (least + most)) & ((low <= 0) | (differ("s") <= bits))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of all nodes of links (a, b): component is the least node that is reachable.
 
     Alternating large-star and small-star steps; each is a grouped minimum and a join, so that a node with very
-    many neighbours is pre-aggregated and split. The edges of each round are a written table.
+    many neighbours is pre-aggregated and split. The edges of each round are a written table. With rounds,
+    that many: components may then be in parts yet, each with the name of one of its nodes.
     """
     edges = C.materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    while True:
+    measure = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    state, done = (edges.agg(*measure).first() if rounds is None else None), 0
+    while rounds is None or done < rounds:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).union(m.select("u", "m")).where("a > b").distinct().toDF("u", "v")
         edges = C.materialise(small, "links")
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state:
-            break
-        state = new
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        done += 1
+        if rounds is None:
+            new = edges.agg(*measure).first()
+            if new == state:
+                break
+            state = new
+    label = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    if rounds is not None:
+        return label
+    return label.union(edges.select("v", "v").distinct())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
@@ -161,32 +188,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes, (F.col("doc_id") == F.col("rep")) & (full.set_id == classes.set_id), "left_semi").dropDuplicates(["doc_id", "set_id"])
-    reps = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *[f"s{i}" for i in range(SKETCH_LONGS)], "bands")
+    reps = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *_BITS, "bands")
 
-    spread = reps.select("id", F.explode("bands").alias("band"))
+    spread = reps.select("id", F.posexplode("bands").alias("pos", "band"))
     pivots = spread.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("band", "id"), "id"))["id"].alias("pivot")).where("size > 1")
-    members = C.materialise(spread.join(pivots, "band").select("band", "id", "pivot"), "members")
+    members = C.materialise(spread.join(pivots, "band").select("band", "pos", "id", "pivot"), "members")
     sketches = reps.drop("bands")
 
-    star = members.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    tried = star.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id")).where(_near_enough(threshold, "x", "y")).select("a", "b").distinct()
-    tried = C.materialise(tried, "tried")
-    first = C.materialise(_confirmed(tried, docs, threshold), "confirmed")
-    label = C.materialise(components(first), "labels")
-
-    # What is left: members of a bucket that are not in the component of most of it.
-    placed = members.join(label, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
-    tally = placed.groupBy("band", "comp").agg(F.count("*").alias("size"))
-    torn = tally.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("size", "comp"))["comp"].alias("main")).where("parts > 1")
-    open_ = C.materialise(placed.join(torn, "band").join(sketches, "id").drop("parts"), "open")
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return C.materialise(_confirmed(pairs, docs, threshold), "confirmed")
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id"))
+        return C.materialise(near.where(_near_enough(threshold, "x", "y")).select("a", "b").distinct(), "tried")
+
+    def torn(label: DataFrame) -> DataFrame:
+        """Members of buckets that more than one component has part in, with the largest part and a pivot of it."""
+        placed = members.join(label, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+        part = placed.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("band", "id"), "id"))["id"].alias("pivot"))
+        most = part.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("size", "comp", "pivot")).alias("m")).where("parts > 1")
+        return placed.join(most.select("band", F.col("m.comp").alias("main"), F.col("m.pivot").alias("pivot")), "band")
+
+    pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
+    # first, a few bands' members with their bucket's pivot
+    tried = estimated(members.where(F.col("pos") < FIRST_BANDS).where("id != pivot").select(*pair).distinct())
+    links = confirm(tried)
+    # then, over all bands, who is not in the component of most of a bucket, with a pivot of that
+    more = estimated(torn(C.materialise(components(links, 2), "labels")).where("comp != main").select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    links, tried = links.union(confirm(more)), tried.union(more)
+    # last, who is still outside, with every other member of the bucket
+    open_ = C.materialise(torn(C.materialise(components(links, 2), "labels")).join(reps, "id"), "open")
     x, y = open_.where("comp != main").alias("x"), open_.alias("y")
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _near_enough(threshold, "x", "y"))
-    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    second = C.materialise(_confirmed(C.materialise(more, "tried"), docs, threshold), "confirmed")
-    label = C.materialise(components(first.union(second)), "labels")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _near_enough(threshold, "x", "y") & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")))  # a pair counts in one of its bands
+    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    label = C.materialise(components(links.union(confirm(C.materialise(rest, "tried")))), "labels")
 
     own = classes.join(label, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("comp"))
-    placed = signed.drop("bands", *[f"s{i}" for i in range(SKETCH_LONGS)]).join(own, "set_id", "left")
+    placed = signed.drop("bands", *_BITS).join(own, "set_id", "left")
     out = placed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
