@@ -15,7 +15,11 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Cuts remembered per task; those met later are encoded each time.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: Characters of text that are cut at once.
+AT_ONCE = 1 << 20
+#: White space other than the space and the line end.
+_OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Ids:
@@ -47,27 +51,42 @@ class Ids:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
+        out, lo, size = [], 0, 0
+        for hi, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= AT_ONCE or hi == len(texts):
+                out += self._encode(texts[lo:hi])
+                lo, size = hi, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list = [b""] * len(texts)
-        cut, whole, missing, known = {}, [], {}, self.known
+        rows, heads, ends, cuts, whole = [], [], [], [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if " ".join(text.split()) == text.replace("\n", " "):
-                cut[i] = text.replace("\n", " \n").split(" ")
-                missing.update(dict.fromkeys(c for c in cut[i][1:] if c not in known))
-            else:
+            own = text.replace("\n", " \n").split(" ")
+            if "" in own or "\n" in own or any(c in text for c in _OTHER_SPACE):
                 whole.append(i)
+                continue
+            rows.append(i)
+            heads.append(own[0])
+            cuts += own[1:]
+            ends.append(len(cuts))
         for i, x in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = x
-        new = self._learn(list(missing)) if missing else {}
-        known.update(new)
-        heads = list(dict.fromkeys(c[0] for c in cut.values()))
-        first = dict(zip(heads, self._whole(heads), strict=True))
-        for i, (head, *rest) in cut.items():
-            out[i] = first[head] + b"".join([known[c] for c in rest])
-        if len(known) > REMEMBERED:
-            for c in new:
-                del known[c]
+        ids = list(map(self.known.get, cuts))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if missing:
+            new = self._learn(list(dict.fromkeys([cuts[k] for k in missing])))
+            for k in missing:
+                ids[k] = new[cuts[k]]
+            if len(self.known) + len(new) <= REMEMBERED:
+                self.known.update(new)
+        lo = 0
+        for i, head, hi in zip(rows, self._whole(heads), ends, strict=True):
+            out[i] = head + b"".join(ids[lo:hi])
+            lo = hi
         return out
 
 
