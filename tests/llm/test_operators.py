@@ -1,0 +1,478 @@
+"""Operators of the subpackage on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+import hashlib
+import os
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from popgraph.llm import _common as C
+from popgraph.llm import decontaminate, fingerprint, language_mix, near_dup, packing, quality_gam, run_dedup, token_ids, token_store, toxicity, url_filter
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id long, text string"
+WS = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def words_of(text):
+    out, word = [], ""
+    for c in text or "":
+        if c in WS:
+            out, word = (out + [word] if word else out), ""
+        else:
+            word += c
+    return out + [word] if word else out
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text):
+    w = words_of(lower(text))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def sentence(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def odd_docs():
+    """Texts with what tables hold: nulls, empties, ties, repeats, odd white space, long ones."""
+    rng = random.Random(5)
+    base = [sentence(rng, n) for n in (3, 5, 40, 60, 120, 120, 400)]
+    texts = [None, "", " \n\t ", "one", "ONE", "a b c d", "a b c d e", "A  b\tc\nd e", "é É ü", *base, *base[2:5]]
+    for t in base[2:]:
+        w = t.split(" ")
+        for k in (1, 3, len(w) // 6):
+            x = list(w)
+            for p in rng.sample(range(len(x)), k):
+                x[p] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(x))
+    texts.append(sentence(rng, 6000, 50))
+    return list(enumerate(texts))
+
+
+def rows(df, *columns):
+    return [tuple(r[c] for c in columns) for r in df.orderBy(columns[0]).collect()]
+
+
+def clashing(df):
+    """df with further columns that have the operators' own names."""
+    for name in ("component_id", "kept", "starts", "whole", "ids", "__range", "score", "n_shingles", "k", "a", "b"):
+        df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+def brute_components(docs):
+    sets = {i: shingles(t) for i, t in docs}
+    label = {i: i for i in sets}
+    ids = [i for i in sets if sets[i]]
+    changed = True
+    links = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(label[a], label[b])
+            if label[a] != m or label[b] != m:
+                label[a] = label[b] = m
+                changed = True
+    return [(i, len(sets[i]), label[i], label[i] == i) for i in sorted(sets)]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    docs = odd_docs()
+    got = near_dup.near_duplicates(clashing(spark.createDataFrame(docs, DOCS)))
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(docs)
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    rng = random.Random(2)
+    w = sentence(rng, 60, 10**6).split(" ")
+    docs = []
+    for i in range(150):
+        x = list(w)
+        for p in rng.sample(range(60), rng.randrange(4)):
+            x[p] = f"v{rng.randrange(30)}"
+        docs.append((i, " ".join(x)))
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, DOCS))
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(docs)
+
+
+def test_near_duplicates_of_empty_repeated_and_idless_rows(spark):
+    assert near_dup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+    t = "a b c d e f g h"
+    df = spark.createDataFrame([(4, t), (4, t), (9, t), (None, t)], DOCS)
+    got = sorted(near_dup.near_duplicates(df).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    assert [(r["doc_id"], r["component_id"], r["kept"]) for r in got] == [(4, 4, True), (4, 4, True), (9, 4, False), (None, None, True)]
+    kept = near_dup.keep_one(clashing(df))
+    assert kept.columns == clashing(df).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "4", "None"]
+
+
+def test_samples_estimate_similarity():
+    rng = np.random.RandomState(0)
+    for n in (4, 60, 3000):
+        pool = rng.randint(1, 2**62, 2 * n).astype(np.uint64)
+        a, b = np.unique(pool[: int(1.25 * n)]), np.unique(pool[int(0.25 * n) : int(1.5 * n)])
+        want = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        same = (near_dup.samples(a) == near_dup.samples(b)).mean()
+        assert abs(same - want) < 0.2
+        differ = np.bitwise_count((near_dup.sketch(near_dup.samples(a)) ^ near_dup.sketch(near_dup.samples(b))).view(np.uint64)).sum()
+        estimate = 1 + near_dup.SKETCH_BITS / (4 * near_dup.SAMPLES) * np.log(1 - 2 * differ / near_dup.SKETCH_BITS)
+        assert abs(estimate - same) < 0.1
+        whole = np.bitwise_count((near_dup.parity(a) ^ near_dup.parity(b)).view(np.uint64)).sum()
+        assert whole <= len(np.setxor1d(a, b))
+
+
+def brute_contaminated(docs, bench):
+    from collections import Counter
+
+    out = set()
+    for i, t in docs:
+        w = words_of(lower(t))
+        for item, text in bench:
+            v = words_of(lower(text))
+            m = len(v)
+            if not m:
+                continue
+            sh = lambda x: Counter(tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4)))
+            want = sh(v)
+            for k in range(len(w) - m + 1):
+                have = sh(w[k : k + m])
+                low = sum((want & have).values())
+                if 100 * low >= 75 * sum((want | have).values()):
+                    out.add((i, item))
+                    break
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(3)
+    bench = [(k, sentence(rng, n)) for k, n in enumerate([1, 3, 5, 9, 15, 30, 30, 60])] + [(90, ""), (91, None), (92, " \n ")]
+    docs = []
+    for i in range(120):
+        w = sentence(rng, rng.choice([0, 2, 8, 50, 200])).split(" ")
+        if i % 2:
+            x = bench[rng.randrange(8)][1].split(" ")
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(len(x))] = "edited"
+            p = rng.randrange(len(w) + 1)
+            w[p:p] = x
+        docs.append((i, "\n".join([" ".join(w[:5]).upper(), " ".join(w[5:])])))
+    docs += [(500, None), (501, "")]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    d = clashing(spark.createDataFrame(docs, DOCS))
+    want = brute_contaminated(docs, bench)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == want and len(want) > 30
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b, part_bytes=200).collect()} == want
+    kept = decontaminate.drop_contaminated(d, b)
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    assert decontaminate.contaminated(spark.createDataFrame([], DOCS), b).count() == 0
+    assert decontaminate.contaminated(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def brute_removed(docs, run):
+    import re
+
+    part = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+    seen, out = set(), []
+    for i, t in sorted(docs, key=lambda x: x[0]):
+        w, parts = words_of(t), part.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - run + 1):
+            g = tuple(w[k : k + run])
+            if g in seen:
+                gone[k : k + run] = [True] * run
+            seen.add(g)
+        head = (t or "")[: len(t or "") - len("".join(parts))]
+        out.append((i, None if t is None else head + "".join(p for p, x in zip(parts, gone, strict=True) if not x), sum(gone)))
+    return out
+
+
+@pytest.mark.parametrize(("run", "gram"), [(8, 4), (8, 1), (8, 8), (50, 25)])
+def test_repeated_runs_equal_brute_force(spark, run, gram):
+    rng = random.Random(run)
+    shared = [sentence(rng, n, 10**6) for n in (run - 1, run, run + 5, 3 * run)]
+    docs = odd_docs()
+    for i in range(60):
+        w = sentence(rng, rng.choice([1, 10, 60])).split(" ")
+        for _ in range(rng.randrange(3)):
+            p = rng.randrange(len(w) + 1)
+            w[p:p] = rng.choice(shared).split(" ")
+        docs.append((100 + i, "  " * (i % 2) + rng.choice([" ", "\n", " \n"]).join(w)))
+    docs.append((300, " ".join(["is", "one"] * run)))
+    d = clashing(spark.createDataFrame(docs, DOCS))
+    got = run_dedup.remove_repeats(d, run=run, gram=gram)
+    assert got.columns == [*d.columns, "removed_words"]
+    assert rows(got, "doc_id", "text", "removed_words") == brute_removed(docs, run)
+    assert run_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def brute_rule(host, path, rules):
+    fits = [(len(r), len(r.partition("/")[0]), r, v) for r, v in rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+    return max(fits)[2:] if fits else (None, "allow")
+
+
+def test_url_rules(spark):
+    rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("a.org/", "block"), ("é.org/ü", "block")]
+    urls = [None, "", "nothing", "://", "http://", "http://NET", "http://net/", "https://x.Example.NET/en/1?q#f", "http://example.net/EN/", "http://notexample.com/de/", "http://b.example.com/de/#t", "x://a.org/fr/1", "http://a.org:80/", "http://é.org/ü1", "http://u@a.org/?", "a://b://net/"]
+    pages = [(i, u) for i, u in enumerate(urls)] + [(6, "http://net/")]
+    table = spark.createDataFrame(rules, "rule string, verdict string")
+    d = clashing(spark.createDataFrame(pages, "page_id long, url string"))
+    for most in (1 << 20, 0):  # by the index, and by the join
+        got = url_filter.judge_urls(d, table, max_bytes=most).collect()
+        assert len(got) == len(pages)
+        for r in got:
+            url = urls[r["page_id"]] or ""
+            rest = url.partition("://")[2]
+            host = lower(rest[: min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))])
+            path = rest[len(host) :]
+            path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+            assert (r["host"], r["path"]) == (host, path)
+            assert (r["rule"], r["verdict"]) == brute_rule(host, path, rules)
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), table).count() == 0
+    empty = spark.createDataFrame([], "rule string, verdict string")
+    assert {r["verdict"] for r in url_filter.judge_urls(d, empty).collect()} == {"allow"}
+
+
+def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
+    p = tmp_path / "i"
+    p.write_bytes(url_filter.index_bytes([("a.net/", "block"), ("b.net/", "allow"), ("b.net/x", "block")]))
+    assert url_filter.Index(str(p)).judge(["a.net", "b.net", "b.net", "c.net"], ["/", "/", "/xy", "/"]) == [("a.net/", "block"), ("b.net/", "allow"), ("b.net/x", "block"), (None, None)]
+
+
+def encoded(text, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    t.encode_special_tokens = True
+    return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+
+
+def test_remembered_ids_equal_the_library(monkeypatch):
+    rng = random.Random(1)
+    pieces = ["a", "b", " ", "  ", "\n", "\t", "é", "'s", "1", "!", "\xa0", "\x1c", "\x85", "語", "<|endoftext|>", "Word"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(800)] + [sentence(rng, 50) + "\n" + sentence(rng, 5) for _ in range(50)]
+    for most in (10**6, 3):
+        monkeypatch.setattr(token_ids, "REMEMBERED", most)
+        got = token_ids.Ids(TOKENIZER).encode(texts)
+        assert all(x == encoded(t, 0)[:-1].tobytes() for x, t in zip(got, texts, strict=True))
+
+
+def test_packing(spark):
+    docs = odd_docs() + [(1000, sentence(random.Random(1), 3000))]
+    got = packing.pack_documents(clashing(spark.createDataFrame(docs, DOCS)), TOKENIZER, group_docs=10).toPandas()
+    for i, text in docs:
+        own = got[got.doc_id == i].sort_values("start")
+        want = encoded(text, 1)
+        assert b"".join(own.ids) == want.tobytes() and (own.doc_tokens == len(want)).all()
+        assert own.start.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
+    waste = 0
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 2048
+        waste += packing.padded(int(own.length.sum())) - own.length.sum()
+    assert waste < 0.01 * got.length.sum()
+    assert packing.pack_documents(spark.createDataFrame([], DOCS), TOKENIZER).count() == 0
+
+
+def test_tournament_is_first_fit():
+    rng = random.Random(0)
+    sizes = sorted((rng.randint(1, 100) for _ in range(300)), reverse=True)
+    room, want = [], []
+    for s in sizes:
+        b = next((k for k, r in enumerate(room) if r >= s), len(room))
+        room = room + [100] if b == len(room) else room
+        room[b] -= s
+        want.append(b)
+    assert [b for b, _, _ in packing.pack(sizes, 100)] == want
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [-7, -7, 0, 3, 10**15], list(range(2000)), [2**62] * 3 + [2**63 - 1], sorted(random.Random(1).sample(range(10**9), 1500))])
+def test_elias_fano(values):
+    data = token_store.elias_fano(np.array(values, np.int64))
+    x = token_store.EliasFano(data)
+    assert x.all().tolist() == values
+    for i in {0, 1, len(values) // 2, len(values) - 1} & set(range(len(values))):
+        assert x.select_(i) == values[i]
+    with pytest.raises(IndexError):
+        x.select_(len(values))
+    if len(values) == 1500:
+        assert len(data) < 1500 * 4
+
+
+def test_token_files(spark):
+    docs = odd_docs() + [(None, "no id"), (7, "again")]
+    path = C.shared_path(spark, "tokens")
+    token_store.write_token_files(clashing(spark.createDataFrame(docs, DOCS)), path, TOKENIZER, segment_bytes=2000)
+    got = token_store.read_token_files(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, *sorted(i for i, _ in docs if i is not None)]
+    at = 0
+    for r in got:
+        assert r["start"] == at and any(r["ids"] == encoded(t, 0).tobytes() for i, t in docs if i == r["doc_id"])
+        assert zlib.crc32(r["ids"]) >= 0 and len(r["ids"]) == 4 * r["n_tokens"]
+        at += r["n_tokens"]
+    path = C.shared_path(spark, "tokens")
+    token_store.write_token_files(spark.createDataFrame([], DOCS), path, TOKENIZER)
+    assert token_store.read_token_files(spark, path).count() == 0
+
+
+def test_fingerprints(spark):
+    docs = odd_docs()
+    got = fingerprint.compare_with_next(clashing(spark.createDataFrame(docs, DOCS))).orderBy("doc_id").collect()
+    texts = [t or "" for _, t in docs]
+    error = []
+    for k, (r, t) in enumerate(zip(got, texts, strict=True)):
+        nxt = texts[(k + 1) % len(texts)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        for a, b, near in ((t, edited, r["near_edited"]), (t, nxt, r["near_next"])):
+            x, y = shingles(a), shingles(b)
+            assert 0 <= near <= 1
+            error.append(near - (len(x & y) / len(x | y) if x | y else 1.0))
+    assert max(map(abs, error)) < 0.2 and abs(np.mean(error)) < 0.03
+    same = {}
+    for r, t in zip(got, texts, strict=True):
+        assert same.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+    assert fingerprint.compare_with_next(spark.createDataFrame([], DOCS)).count() == 0
+    lone = fingerprint.compare_with_next(spark.createDataFrame([(3, "a b c d e f")], DOCS)).collect()
+    assert len(lone) == 1 and lone[0]["near_next"] == 1.0
+
+
+def test_next_row_over_ranges_nulls_and_repeats(spark):
+    ids = [None, 5, 5, -10, 2**40, 7, 2**40 + 1, 8]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], DOCS)
+    got = fingerprint.with_next(df, "doc_id", ["text"], range_docs=1).collect()
+    assert len(got) == len(ids)
+    following = {r["text"]: r["next_text"] for r in got}
+    order = [t for _, t in sorted(((i is not None, i or 0, f"t{k}"), f"t{k}") for k, i in enumerate(ids))]
+    assert [following[t] for t in order] == [*order[1:], order[0]]
+
+
+PROSE = {"en": "the of and to in that is was he for it with as his on be at by", "fr": "le la les des une est dans que pour qui sur pas plus avec son il au", "de": "der die und den von zu das mit sich des auf ist im dem nicht ein eine"}
+
+
+def prose(rng, lang, n):
+    return " ".join(rng.choice(PROSE[lang].split()) + rng.choice(["", "", ",", "."]) for _ in range(n))
+
+
+def test_languages(spark):
+    rng = random.Random(1)
+    docs = [(i, prose(rng, lang, 40), lang) for i, lang in enumerate([*PROSE] * 40)]
+    docs += [(900, None, "en"), (901, "", "en"), (902, "12 34 !", "en"), (903, "a", None), (904, prose(rng, "en", 60) + " " + prose(rng, "de", 20), None)]
+    df = spark.createDataFrame(docs, DOCS + ", lang string")
+    model = language_mix.fit(df.where("doc_id < 120"))
+    got = {r["doc_id"]: r for r in language_mix.predict(clashing(df), model).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in docs[:120])
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[903]["lang_pred"] in PROSE
+    assert got[904]["lang_pred"] == "en" and 0.55 < got[904]["score"] < 0.95
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    nothing = language_mix.fit(df.where("false"))
+    assert {r["lang_pred"] for r in language_mix.predict(df, nothing).collect()} == {"und"}
+    assert language_mix.predict(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        w = sentence(rng, 60, 300).split(" ")
+        if bad:
+            for p, x in zip(rng.sample(range(60), 2), rng.sample(["grobnik", "vurkle", "snorfat"], 2), strict=True):
+                w[p] = x
+        elif i % 40 == 1:
+            w[10:12] = ["garden", "grobnik"]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs += [(900, None), (901, ""), (902, "gr0bnik VURKLE! " + sentence(rng, 50, 300)), (903, "ѕnоrfаt grobn1k " + sentence(rng, 50, 300)), (904, sentence(rng, 20, 300) + " garden grobnik " + sentence(rng, 20, 300))]
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(d, l)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(clashing(d), model).collect()}
+    assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(400))
+    assert got[900] < 0.5 and got[901] < 0.5 and got[902] >= 0.5 and got[903] >= 0.5 and got[904] < 0.5
+    kept = toxicity.drop_toxic(clashing(d), model)
+    assert kept.columns == clashing(d).columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
+    assert all(r["score"] < 0.5 for r in toxicity.score(d, toxicity.fit(d, l.where("false"))).collect())
+    assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_quality(spark):
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(400):
+        t = sentence(rng, rng.randint(5, 80))
+        good = i % 3 > 0
+        docs.append((i, t if good else t.upper() if i % 2 else t.replace(" ", "%% ")))
+        labels.append((i, int(good)))
+    docs += [(900, None), (901, ""), (902, "x" * 100_000)]
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality_gam.fit(d, l)
+    got = {r["doc_id"]: r["score"] for r in quality_gam.score(clashing(d), model).collect()}
+    assert len(got) == 403 and all(0 <= s <= 1 for s in got.values())
+    assert np.mean([(got[i] >= 0.3) == (i % 3 > 0) for i in range(400)]) > 0.98
+    assert got[900] == got[901]
+    assert {r["score"] for r in quality_gam.score(d, quality_gam.fit(d, l.where("false"))).collect()} == {0.5}
+    assert quality_gam.score(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_pairs_of_features_are_learnt():
+    rng = np.random.RandomState(0)
+    x = rng.rand(3000, 4)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.5)).astype(float)
+    model = quality_gam.boost(x, y, rounds=20, pair_rounds=60)
+    assert (0, 2) in [(i, j) for i, j, _ in model.pairs]
+    assert ((model.score(x) > 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    texts = [t for _, t in odd_docs()]
+    seen = {}
+    for w in C.words(pa.array(texts, pa.string())):
+        for k in range(len(w.first) - 1):
+            own = words_of(lower(texts[w.rows[0] + k]))
+            h = w.hash[w.first[k] : w.first[k + 1]].tolist()
+            assert len(own) == len(h)
+            for a, b in zip(own, h, strict=True):
+                assert seen.setdefault(a, b) == b
+    assert len(set(seen.values())) == len(seen)
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pipeline(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "line dedup", "MinHash near-dedup", "benchmark decontamination", "packing"]
+    for k, (_, stage) in enumerate(cp.STAGES):
+        docs = C.materialise(stage(spark, docs, DATA), "stage")
+        if k < 4:
+            assert docs.columns == columns and 0.5 * before < docs.count() <= before
+    assert docs.count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["op1_minhash_odd_sketch", "op3_winnowing_line_dedup", "op4_sorted_digest_urls"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from popgraph.llm import queries
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        p = f"{DATA}/{t}.parquet"
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p if os.path.isfile(p) else p + '/*.parquet'}'")
+    got, want = queries.QUERIES[name](spark, DATA).toPandas(), c.execute(queries.SQL[name]).df()
+    order = sorted(want.columns)
+    assert sorted(map(str, got[order].values.tolist())) == sorted(map(str, want[order].values.tolist()))
