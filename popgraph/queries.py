@@ -783,6 +783,37 @@ def study_geography(spark, d):
     return studies.module_geography(spark, d, n_runs=2)
 
 
+@query("j13_modules_of_nodes_by_scale")
+def j13(spark, d):
+    return studies.scale_maps(spark, d, [1, 5], "consensus", n_runs=3)[0]
+
+
+@query("study_scale_maps")
+def study_maps(spark, d):
+    return studies.scale_maps(spark, d, [1, 5], "q-max", n_runs=3)[1]
+
+
+@query("a27_least_contrast", _CO_SQL + """, s AS (SELECT density, state, avg(q) AS v FROM co GROUP BY 1, 2), c AS (SELECT a.density, abs(a.v - b.v) AS x FROM s a JOIN s b ON a.density = b.density WHERE a.state = 'awake' AND b.state = 'nrem')
+SELECT arg_min(density, x) AS density, round(min(x), 6) AS contrast FROM c""")
+def a27c(spark, d):
+    s = cohort_rows(spark, d).groupBy("density").pivot("state", ["awake", "nrem"]).agg(F.avg("q"))
+    return s.withColumn("x", F.abs(F.col("awake") - F.col("nrem"))).agg(F.min_by("density", "x").alias("density"), r6(F.min("x")).alias("contrast"))
+
+
+@query("a27_pairs_per_scale", "sc AS (SELECT unnest([1, 5, 20]) AS scale), n AS (SELECT count(*) AS n FROM nodes), k AS (SELECT scale, CAST(ceil(n / scale) AS BIGINT) AS k FROM sc, n) SELECT CAST(scale AS BIGINT) AS scale, CAST(k * (k - 1) // 2 AS BIGINT) AS n_pairs FROM k")
+def a27p(spark, d):
+    k = spatial.close_clustering(A.nodes(spark, d), [1, 5, 20]).groupBy(L("scale").alias("scale")).agg(F.countDistinct("parcel").alias("k"))
+    return k.select("scale", F.expr("k * (k - 1) div 2").alias("n_pairs"))
+
+
+@query("a27_near_minus_far", """dd AS (SELECT (a.module = b.module)::INT AS s, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM nodes a JOIN nodes b ON a.node_id < b.node_id)
+SELECT round(avg(s) FILTER (d < 50) - avg(s) FILTER (d >= 100 AND d < 200), 6) AS difference FROM dd""")
+def a27d(spark, d):
+    p = spatial.same_module_by_distance(A.nodes(spark, d), EDGES_UM)
+    side = lambda k: F.max(F.when(F.col("bin") == k, F.col("same")))
+    return p.agg(r6(side(0) - side(2)).alias("difference"))
+
+
 # -- sources and sinks -----------------------------------------------------------------------------
 
 
