@@ -126,7 +126,8 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         a = b
 
 
-def words(texts: pa.Array, lower: bool = True) -> Iterator[Words]:
+def words(texts: pa.Array, lower: bool = True, hashed: bool = True) -> Iterator[Words]:
+    """Words of runs of whole texts; without hashes (0 each) where only their places are asked for."""
     for a, b, data, at in pieces(texts):
         n = len(data)
         inside = _WORD[data]
@@ -138,6 +139,9 @@ def words(texts: pa.Array, lower: bool = True) -> Iterator[Words]:
         begins[edge] |= inside[edge]
         ends[edge - 1] |= inside[edge - 1]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        if not hashed:
+            yield Words((a, b), data, at, start, end, np.zeros(len(start), np.uint64), np.searchsorted(start, at))
+            continue
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((_BYTE_KEY_LOWER if lower else _BYTE_KEY)[data] * _power(_BASE, n), out=total[1:])
         h = (total[end] - total[start]) * _power(_BASE_INVERSE, n)[start] if n else np.zeros(0, np.uint64)

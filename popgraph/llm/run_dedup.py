@@ -15,10 +15,12 @@ documents share costs one row per occurrence and no pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,73 +86,84 @@ def _mark(run: int, gram: int):
     return mark
 
 
+def _parts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column without nulls inside its lists."""
+    return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+
+
 def _stretch(run: int, gram: int):
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hot = batch.column(2).to_pylist()
+            at, hot = _parts(batch.column(2))
+            gs, rows, starts, owns = [], [], [], []
             for row, _, h in _texts(batch, 1):
                 if len(h) < run:
                     continue
                 _, least = winnow(h, run, gram)
-                s = np.flatnonzero(np.isin(least, np.array(hot[row], np.int64).view(np.uint64)))
+                known = np.sort(hot[at[row] : at[row + 1]].view(np.uint64))
+                found = np.searchsorted(known, least)
+                s = np.flatnonzero(known[np.minimum(found, len(known) - 1)] == least)
                 if not len(s):
                     continue
                 g = C.rolling(h, run)[s]
                 _, first = np.unique(g, return_index=True)
                 own = np.ones(len(s), bool)
                 own[first] = False
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column(0).take(pa.array(np.full(len(s), row))), pa.array(s.astype(np.int32)), pa.array(own)], ["g", "doc_id", "s", "own"])
+                gs.append(g)
+                rows.append(np.full(len(s), row))
+                starts.append(s.astype(np.int32))
+                owns.append(own)
+            if gs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(starts)), pa.array(np.concatenate(owns))], ["g", "doc_id", "s", "own"])
 
     return stretch
 
 
+_HEAD = re.compile(r"[\x20\x09-\x0D]*")
+
+
 def _cut(run: int, n_columns: int, text: int):
-    """Input: the documents' columns, then starts of stretches, and whether all goes."""
+    """Input: the documents' columns, then the starts of stretches, and the number of words where all go."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, whole = batch.column(n_columns), batch.column(n_columns + 1)
-            texts = batch.column(text).to_pylist()
-            removed = np.zeros(batch.num_rows, np.int64)
-            todo = np.flatnonzero(np.array([x is not None for x in starts.to_pylist()]) | np.array(whole.fill_null(False)))
-            part = pa.RecordBatch.from_arrays([batch.column(text).take(pa.array(todo))], ["text"])
-            for k, w, h in _texts(part, 0):
-                row = int(todo[k])
-                first = w.first[k - w.rows[0]]
-                begin = w.text_at[k - w.rows[0]]
-                if whole[row].as_py():
-                    gone = np.ones(len(h), bool)
-                else:
-                    edge = np.zeros(len(h) + 1, np.int64)
-                    s = np.array(starts[row].as_py())
+            starts, column = batch.column(n_columns), batch.column(text)
+            removed = batch.column(n_columns + 1).fill_null(0).to_numpy(zero_copy_only=False).copy()
+            all_gone = np.flatnonzero(removed > 0)
+            new = {int(k): _HEAD.match(column[int(k)].as_py())[0] for k in all_gone}
+            some = np.flatnonzero(starts.is_valid().to_numpy(zero_copy_only=False))
+            at, places = _parts(starts.take(pa.array(some)))
+            for w in C.words(column.take(pa.array(some)), lower=False, hashed=False):
+                for k in range(len(w.first) - 1):
+                    i = w.rows[0] + k
+                    first, last, begin, stop = w.first[k], w.first[k + 1], w.text_at[k], w.text_at[k + 1]
+                    edge = np.zeros(last - first + 1, np.int64)
+                    s = places[at[i] : at[i + 1]]
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + run, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                removed[row] = gone.sum()
-                # a word goes with the white space after it; that before the first word stays
-                raw = w.data[begin : w.text_at[k - w.rows[0] + 1]].tobytes()
-                at = np.append(w.start[first : first + len(h)], w.text_at[k - w.rows[0] + 1]) - begin
-                keep, parts, p = ~gone, [raw[: at[0]]], 0
-                while p < len(h):
-                    q = p
-                    while q < len(h) and keep[q] == keep[p]:
-                        q += 1
-                    if keep[p]:
-                        parts.append(raw[at[p] : at[q]])
-                    p = q
-                texts[row] = b"".join(parts).decode()
-            columns = [pa.array(texts, pa.string()) if i == text else batch.column(i) for i in range(n_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [f"c{i}" for i in range(n_columns + 1)])
+                    keep = np.cumsum(edge)[:-1] == 0
+                    removed[some[i]] = len(keep) - keep.sum()
+                    # a word goes with the white space after it; that before the first word stays
+                    to = np.append(w.start[first:last], stop)
+                    turn = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
+                    parts = [w.data[begin : to[0]].tobytes(), *(w.data[to[a] : to[b]].tobytes() for a, b in turn.reshape(-1, 2))]
+                    new[int(some[i])] = b"".join(parts).decode()
+            if new:
+                mask = np.zeros(batch.num_rows, bool)
+                order = sorted(new)
+                mask[order] = True
+                column = pc.replace_with_mask(column, pa.array(mask), pa.array([new[k] for k in order], column.type))
+            yield pa.RecordBatch.from_arrays([*(column if i == text else batch.column(i) for i in range(n_columns)), pa.array(removed)], [f"c{i}" for i in range(n_columns + 1)])
 
     return cut
 
 
 def repeated_stretches(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, starts, whole): where a later repeat of run words begins, or that all is one."""
+    """docs (doc_id, text) to (doc_id, starts, whole): where later repeats of run words begin, or how many words there are if all is one."""
     marks = C.materialise(docs.where("doc_id is not null and text is not null").mapInArrow(_mark(run, gram), _MARK_DDL), "marks").where("whole is not null")
     firsts = marks.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"))
     placed = marks.join(firsts, ["whole", "n_words"])
-    whole = placed.where("doc_id > first").select("doc_id").distinct()
+    whole = placed.where("doc_id > first").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
     ahead = placed.where("doc_id = first")
     prints = C.materialise(ahead.select("doc_id", "again", F.explode("prints").alias("f")).select("doc_id", "f", F.when(F.array_contains("again", F.col("f")), 2).otherwise(1).alias("n")), "prints")
     common = prints.groupBy("f").agg(F.sum("n").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi or n > 1").select("f")
@@ -159,9 +172,8 @@ def repeated_stretches(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> Dat
     grams = C.materialise(grams.mapInArrow(_stretch(run, gram), "g long, doc_id long, s int, own boolean"), "stretches")
     least = grams.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g", "lo")
     later = grams.where("not own").join(least, "g").where("doc_id > lo").select("doc_id", "s").union(grams.where("own").select("doc_id", "s"))
-    starts = later.groupBy("doc_id").agg(F.collect_set("s").alias("starts")).join(whole, "doc_id", "left_anti")
-    # own repeats of a stretch whose first place in the document is itself a later repeat go with it
-    return starts.withColumn("whole", F.lit(False)).union(whole.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
+    starts = later.groupBy("doc_id").agg(F.collect_list("s").alias("starts")).join(whole, "doc_id", "left_anti")
+    return starts.withColumn("whole", F.lit(None).cast("long")).union(whole.select("doc_id", F.lit(None).cast("array<int>"), "n_words"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, gram: int = GRAM) -> DataFrame:
