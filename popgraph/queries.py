@@ -346,7 +346,8 @@ def j14(spark, d):
 
 
 def _pairs(spark, d):
-    return correlate.correlations(A.nodes(spark, d).select("node_id", "v"))
+    """All pairs of nodes, as a written table: ranking and thresholding read them more than once."""
+    return studies.cut(correlate.correlations(A.nodes(spark, d).select("node_id", "v")), "pairs")
 
 
 def _kept_sql(density: str, by: str = "abs(r)") -> str:

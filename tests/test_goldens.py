@@ -198,6 +198,39 @@ def test_localization_and_distance_bins(spark):
     assert [(r["n_pairs"], r["same"]) for r in got] == [(2, 0.0), (0, None), (4, 0.5)]
 
 
+def test_distances_stay_within_a_recording(spark):
+    rows = [("a", 0, 0.0, 0.0, 1), ("a", 1, 3.0, 4.0, 1), ("b", 0, 0.0, 0.0, 1), ("b", 1, 0.0, 1.0, 2), ("b", 2, 0.0, 1.0, 2)]
+    n = spark.createDataFrame(rows, "recording string, node_id long, x double, y double, module long")
+    got = sorted((r["recording"], r["i"], r["j"], r["d"]) for r in spatial.pair_distances(n, ["recording"]).collect())
+    assert got == [("a", 0, 1, 5.0), ("b", 0, 1, 1.0), ("b", 0, 2, 1.0), ("b", 1, 2, 0.0)]
+    near = {(r["recording"], r["node_id"]): r["neighbour"] for r in spatial.nearest(n, ["recording"]).collect()}
+    assert near == {("a", 0): 1, ("a", 1): 0, ("b", 0): 1, ("b", 1): 2, ("b", 2): 1}
+    loc = {r["recording"]: r["localization"] for r in spatial.localization_index(n, ["recording"]).collect()}
+    assert loc["a"] == 1.0 and abs(loc["b"] - (2 / 3) / (5 / 9)) < 1e-12
+    bins = spatial.same_module_by_distance(n, [2.0], ["recording"]).orderBy("recording", "bin").collect()
+    assert [(r["n_pairs"], r["same"]) for r in bins] == [(0, None), (1, 1.0), (3, 1 / 3), (0, None)]
+
+
+def test_modularity_with_keys_and_runs(spark):
+    edges = spark.createDataFrame([("g", 0, 1, 1.0), ("g", 2, 3, 1.0), ("h", 0, 1, 1.0)], "g string, i long, j long, w double")
+    part = spark.createDataFrame([(g, run, n, (n // 2) if run else 0) for g in "gh" for run in (0, 1) for n in range(4)], "g string, run int, node_id long, module long")
+    got = {(r["g"], r["run"]): r["q"] for r in graph.modularity_value(edges, part, keys=["g", "run"]).collect()}
+    assert got == {("g", 0): 0.0, ("g", 1): 0.5, ("h", 0): 0.0, ("h", 1): 0.0}
+    none = graph.modularity_value(edges.where("false"), part.where("run = 0 and g = 'g'").drop("g", "run"))
+    assert none.first()["q"] == 0.0
+
+
+def test_densities_per_graph(spark):
+    rng = np.random.RandomState(0)
+    v = spark.createDataFrame([(g, n, rng.rand(8).tolist()) for g in ("a", "b") for n in range(12 if g == "a" else 7)], "g string, node_id long, v array<double>")
+    e = correlate.density_graphs(correlate.correlations(v, ["g"], block=5), [0.1, 0.5], keys=["g"])
+    got = {(r["g"], r["density"]): r["count"] for r in e.groupBy("g", "density").count().collect()}
+    assert got == {("a", 0.1): 6, ("a", 0.5): 33, ("b", 0.1): 2, ("b", 0.5): 10}
+    for bad in ([], [0.0], [1.5], [True]):
+        with pytest.raises(ValueError):
+            correlate.density_graphs(e, bad)
+
+
 def test_parcels():
     x, y = np.array([0.0, 1, 5, 6, 9]), np.zeros(5)
     assert spatial.parcel(x, y, 2).tolist() == [0, 0, 1, 1, 2]
