@@ -211,6 +211,18 @@ def test_distances_stay_within_a_recording(spark):
     assert [(r["n_pairs"], r["same"]) for r in bins] == [(0, None), (1, 1.0), (3, 1 / 3), (0, None)]
 
 
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.RandomState(5)
+    xy = np.concatenate([rng.randint(0, 12, (60, 2)), [[500, 500], [500, -300]], rng.rand(30, 2) * 40]).astype(float)
+    n = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "node_id long, x double, y double")
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+    np.fill_diagonal(d, np.inf)
+    got = {r["node_id"]: r["neighbour"] for r in spatial.nearest(n).collect()}
+    assert got == dict(enumerate(d.argmin(axis=1).tolist()))
+    same = spark.createDataFrame([(i, 1.0, 1.0) for i in range(3)], "node_id long, x double, y double")
+    assert {r["node_id"]: r["neighbour"] for r in spatial.nearest(same).collect()} == {0: 1, 1: 0, 2: 0}
+
+
 def test_modularity_with_keys_and_runs(spark):
     edges = spark.createDataFrame([("g", 0, 1, 1.0), ("g", 2, 3, 1.0), ("h", 0, 1, 1.0)], "g string, i long, j long, w double")
     part = spark.createDataFrame([(g, run, n, (n // 2) if run else 0) for g in "gh" for run in (0, 1) for n in range(4)], "g string, run int, node_id long, module long")
