@@ -136,9 +136,17 @@ def _index(path: str) -> Index:
     return _open[path]
 
 
+#: What each application's executors can fetch already, by name; a name stands for its contents.
+_published: set[tuple[str, str]] = set()
+
+
 def _publish(spark: SparkSession, data: bytes) -> str:
-    """Hands the file to all executors; the name under which they have it."""
-    name = f"url-rules-{xxhash.xxh64_hexdigest(data)}.bin"
+    """Hands the file to all executors, once an application; the name under which they have it."""
+    name = f"url-rules-{xxhash.xxh3_128_hexdigest(data)}.bin"
+    key = (spark.sparkContext.applicationId, name)
+    if key in _published:
+        return name
+    _published.add(key)
     folder = tempfile.mkdtemp(prefix="spark-rules-")
     with open(os.path.join(folder, name), "wb") as f:
         f.write(data)
