@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -22,6 +22,8 @@ _SHIFT = 64 - 8
 PROBES = 6
 #: Documents of one range of ids that are brought together to find each one's neighbour.
 RANGE_DOCS = 2048
+#: Ranges up to which the table of their first ids is broadcast (32 bytes each).
+BROADCAST_RANGES = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,15 +80,14 @@ def likeness(a: str | Column, b: str | Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), estimate)))
 
 
-def with_next(docs: DataFrame, doc_id: str, columns: list[str], range_docs: int = RANGE_DOCS) -> DataFrame:
+def with_next(docs: DataFrame, doc_id: str, columns: list[str], range_docs: int = RANGE_DOCS, add=None) -> DataFrame:
     """docs (doc_id and columns) with next_<column> of the row that follows by ascending doc_id; the first follows the last.
 
     Ids are cut into ranges of about range_docs rows. The first row of a range also goes to the range before,
     so that each range finds all its neighbours by a window of its own; nothing is sorted as a whole.
-    Rows that repeat an id follow each other in the order of columns; nulls come first.
+    Rows that repeat an id follow each other in the order of columns; nulls come first. add(df) may append
+    columns once rows are where they belong and before they are shuffled; they get their next_ as well.
     """
-    from pyspark.sql import Window
-
     stats = docs.agg(F.min(doc_id).alias("lo"), F.max(doc_id).alias("hi"), F.count("*").alias("n")).first()
     lo, hi, n = stats["lo"] or 0, stats["hi"] or 0, stats["n"]
     width = max(1, (hi - lo + 1) * range_docs // max(1, n))
@@ -97,10 +98,15 @@ def with_next(docs: DataFrame, doc_id: str, columns: list[str], range_docs: int
     order = Window.orderBy("__range")
     heads = heads.withColumn("__before", F.lag("__range").over(order)).withColumn("__last", F.max("__range").over(Window.partitionBy(F.lit(0))))
     heads = heads.withColumn("__wrap", F.col("__before").isNull()).select("__range", F.col("__id").alias("__first"), F.coalesce("__before", "__last").alias("__to"), "__wrap")
-    by = Window.partitionBy("__range").orderBy("__extra", F.col(doc_id).asc_nulls_first(), *columns)
+    if (hi - lo) // width < BROADCAST_RANGES:
+        heads = F.broadcast(heads)
     halo = ranged.join(heads, ["__range"]).where(F.col(doc_id).eqNullSafe(F.col("__first")))
     halo = halo.select(doc_id, *columns, F.col("__to").alias("__range"), F.when(F.col("__wrap"), 2).otherwise(1).alias("__extra"))
     both = ranged.select(doc_id, *columns, "__range", F.lit(0).alias("__extra")).union(halo)
+    if add is not None:
+        both = add(both)
+        columns = [c for c in both.columns if c not in (doc_id, "__range", "__extra")]
+    by = Window.partitionBy("__range").orderBy("__extra", F.col(doc_id).asc_nulls_first(), *columns)
     out = both.select(doc_id, *columns, "__extra", *[F.lead(c).over(by).alias(f"next_{c}") for c in columns])
     return out.where("__extra = 0").drop("__extra")
 
@@ -113,7 +119,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Other columns are not looked at; an empty table gives no rows; a lone document is its own next.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = with_next(with_fingerprint(docs, "text", "fingerprint"), "doc_id", ["text", "fingerprint"])
+    docs = with_next(docs, "doc_id", ["text"], add=lambda df: with_fingerprint(df, "text", "fingerprint"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     docs = docs.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"), "fingerprint", "next_fingerprint")
