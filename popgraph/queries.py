@@ -148,6 +148,11 @@ def f16(spark, d):
     return selection.median_centred(A.activity(spark, d).where("node_id % 10 = 0")).select("node_id", "frame", r6("centred").alias("centred"))
 
 
+@query("f16_median_centred_all_nodes", "dummy AS (SELECT 1) SELECT node_id, frame, round(v - median(v) OVER (PARTITION BY node_id), 6) AS centred FROM act")
+def f16a(spark, d):
+    return selection.median_centred(A.activity(spark, d)).select("node_id", "frame", r6("centred").alias("centred"))
+
+
 # -- sequences -------------------------------------------------------------------------------------
 
 
@@ -367,6 +372,11 @@ def a1e(spark, d):
     return correlate.correlations(v).where("i < 60 and j < 60").select("i", "j", r6("r").alias("r"))
 
 
+@query("a1_event_correlation_all_pairs")
+def a1ea(spark, d):
+    return correlate.correlations(correlate.as_vectors(A.activity(spark, d))).select("i", "j", r6("r").alias("r"))
+
+
 @query("g1_density_graph", _kept_sql("5e-2") + " SELECT i, j, round(r, 6) AS r, round((SELECT min(abs(r)) FROM kept), 6) AS threshold FROM kept")
 def g1(spark, d):
     return correlate.density_graphs(_pairs(spark, d), [0.05]).select("i", "j", r6("r").alias("r"), r6("threshold").alias("threshold"))
