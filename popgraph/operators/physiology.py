@@ -101,6 +101,48 @@ def align_triggers(groups: DataFrame, segments: list[tuple[int, int]], fs: float
     return out, {"detected": sum(sizes), "mapped": mapped, "ignored": sum(sizes) - mapped, "period": period}
 
 
+def align_recordings(groups: DataFrame, segments: DataFrame, fs, imaging_fs: float, n_samples, key: str = "recording") -> DataFrame:
+    """align_triggers() for many recordings: each segment takes its recording's next bout that is long enough.
+
+    segments is (key, segment, frame_start, frame_stop); fs and n_samples are numbers or columns of (key, period).
+    Nothing comes to the driver: a recording's bout sizes and segment lengths are one row, and triggers are joined
+    to their bouts. A recording whose period is unknown (a single trigger) has no sample_stop.
+    """
+    positive(imaging_fs, "imaging_fs")
+    as_column = lambda x: F.lit(x) if isinstance(x, (int, float)) else x
+    bouts = groups.groupBy(key, "bout").agg(F.count("*").alias("bout_size"), F.first("period").alias("period"), F.sort_array(F.collect_list("sample")).alias("samples"))
+    sizes = groups.groupBy(key, "bout").agg(F.count("*").alias("n"), F.first("period").alias("period"))
+    sizes = sizes.groupBy(key).agg(F.first("period").alias("period"), F.sort_array(F.collect_list(F.struct("bout", "n"))).alias("bouts"))
+    wanted = segments.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("segment", "frame_start", "frame_stop"))).alias("segments"))
+    rate = as_column(fs) / imaging_fs
+    fits = F.col("period").isNull() | (F.abs(F.col("period") - rate) / rate <= 0.02)
+    both = wanted.join(sizes, key, "left")
+    both = both.withColumn("segments", F.when(F.coalesce(fits, F.lit(False)), F.col("segments")).otherwise(F.raise_error(F.concat(F.lit("a trigger period does not fit the rates in recording "), F.col(key).cast("string")))))
+    types = {f.name: f.dataType.simpleString() for f in both.schema}
+
+    def plan(batches):
+        for pdf in batches:
+            rows = []
+            for name, own, found in zip(pdf[key], pdf["segments"], pdf["bouts"], strict=True):
+                found, nxt = [] if found is None else list(found), 0
+                for x in own:
+                    n = x["frame_stop"] - x["frame_start"]
+                    nxt = next((b for b in range(nxt, len(found)) if found[b]["n"] >= n), len(found))
+                    if nxt == len(found):
+                        raise ValueError(f"recording {name}: segment {x['segment']} needs {n} triggers of one bout; there are bouts of {[b['n'] for b in found]}")
+                    rows.append((name, x["segment"], x["frame_start"], x["frame_stop"], found[nxt]["bout"]))
+                    nxt += 1
+            yield pd.DataFrame(rows, columns=[key, "segment", "frame_start", "frame_stop", "bout"])
+
+    table = both.select(key, "segments", "bouts").mapInPandas(plan, f"`{key}` {types[key]}, segment int, frame_start long, frame_stop long, bout long")
+    gaps = F.transform(F.sequence(F.lit(1), F.size("samples") - 1), lambda i: F.get("samples", i) - F.get("samples", i - 1))
+    own_period = F.when(F.size("samples") > 1, _median(gaps)).otherwise(F.col("period"))
+    out = table.join(bouts, [key, "bout"])
+    out = out.withColumn("triggers", F.slice("samples", F.lit(1), (F.col("frame_stop") - F.col("frame_start")).cast("int")))
+    stop = F.when(own_period.isNotNull(), F.least(as_column(n_samples), F.rint(F.element_at("triggers", -1) + own_period)).cast("long"))
+    return out.select(key, "segment", "frame_start", "frame_stop", F.element_at("triggers", 1).alias("sample_start"), stop.alias("sample_stop"), "bout", "bout_size", F.lit(0).cast("long").alias("offset"), "triggers")
+
+
 def _median(values):
     s = F.sort_array(values)
     n = F.size(s)
@@ -125,39 +167,57 @@ def interpolate(points: DataFrame, anchors: DataFrame, keys: list[str]) -> DataF
     return both.where("__p = 1").select(*keys, "x", y.alias("y"))
 
 
-def _segment_samples(samples: DataFrame, aligned: DataFrame, column: str) -> DataFrame:
-    """(segment, frame_start, sample_start, triggers, v[]) of each segment's stretch of one signal."""
-    own = samples.join(F.broadcast(aligned), (F.col("sample") >= F.col("sample_start")) & (F.col("sample") < F.col("sample_stop")))
-    return own.select("segment", "frame_start", "sample_start", "triggers", "sample", F.col(column).cast("double").alias("v"))
+#: Samples whose segment is looked up by one number.
+SPAN = 512
+
 
+def _segment_samples(samples: DataFrame, aligned: DataFrame, columns: list[str]):
+    """The samples of each segment's stretch (segment, sample, columns), beside its row of aligned: groups for two tables."""
+    at = F.sequence(F.floor(F.col("sample_start") / SPAN), F.floor((F.col("sample_stop") - 1) / SPAN))
+    spans = aligned.select(F.col("segment").alias("__segment"), "sample_start", "sample_stop", F.explode(at).alias("__span"))
+    own = samples.select("sample", *[F.col(c).cast("double").alias(c) for c in columns]).dropna().withColumn("__span", F.floor(F.col("sample") / SPAN))
+    own = own.join(spans, "__span").where("sample >= sample_start and sample < sample_stop").select(F.col("__segment").alias("segment"), "sample", *columns)
+    return own.groupBy("segment").cogroup(aligned.select("segment", "frame_start", "sample_start", "sample_stop", "triggers").groupBy("segment"))
 
-def _minutes(pdf: pd.DataFrame, seconds: np.ndarray, fs: float, imaging_fs: float) -> np.ndarray:
+
+def _regular(pdf: pd.DataFrame, row: pd.Series, column: str) -> np.ndarray:
+    """A value for each sample of a segment: repeats are averaged, gaps filled between neighbours and held at the ends."""
+    mean = pdf.groupby("sample")[column].mean()  # by ascending sample
+    if len(mean) == row["sample_stop"] - row["sample_start"]:
+        return mean.to_numpy()
+    return np.interp(np.arange(row["sample_start"], row["sample_stop"]), mean.index.to_numpy(), mean.to_numpy())
+
+
+def _minutes(row: pd.Series, seconds: np.ndarray, fs: float, imaging_fs: float) -> np.ndarray:
     """Recorded minutes of places in a segment, by interpolation between its frames' triggers."""
-    triggers = np.asarray(pdf["triggers"].iloc[0]) - pdf["sample_start"].iloc[0]
-    frames = pdf["frame_start"].iloc[0] + np.arange(len(triggers))
+    triggers = np.asarray(row["triggers"]) - row["sample_start"]
+    frames = row["frame_start"] + np.arange(len(triggers))
     return np.interp(seconds * fs, triggers, frames / imaging_fs / 60)
 
 
 def eeg_spectrogram(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs: float, to: float = 250.0, band: tuple[float, float] = (0.5, 30.0), filter_high: float = 50.0, window_seconds: float = 4.0, overlap: float = 0.75) -> DataFrame:
-    """(segment, minute, frequency, power_db) of the EEG (column eeg), band-passed without phase shift."""
+    """(segment, minute, frequency, power_db) of the EEG (column eeg), band-passed without phase shift.
+
+    A segment of fewer than eight samples has no spectrum: one row with nulls.
+    """
     lo, hi = band
     if not 0 < lo < hi or to <= 2 * max(hi, filter_high) or not 0 <= overlap < 1:
         raise ValueError("the band must be ordered and below the Nyquist frequency, and overlap in [0, 1)")
     sos = signal.butter_bandpass(4, lo, filter_high, to)
     wanted = round(positive(window_seconds, "window_seconds") * to)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        x = signal.zero_phase(sos, signal.resample(pdf["v"].to_numpy(), fs, to))
+    def run(pdf: pd.DataFrame, aligned: pd.DataFrame) -> pd.DataFrame:
+        row = aligned.iloc[0]
+        x = signal.zero_phase(sos, signal.resample(_regular(pdf, row, "eeg"), fs, to)) if len(pdf) else np.zeros(0)
         n = min(wanted, len(x))
         if n < 8:
-            raise ValueError("a segment is too short for a spectrogram")
+            return pd.DataFrame({"segment": [row["segment"]], "minute": [None], "frequency": [None], "power_db": [None]})
         f, t, p = signal.spectrogram(x, to, n, min(round(overlap * n), n - 1))
         keep = (f >= lo) & (f <= hi)
         db = 10 * np.log10(np.maximum(p[keep], np.finfo(float).tiny))
-        return pd.DataFrame({"segment": pdf["segment"].iloc[0], "minute": np.tile(_minutes(pdf, t, fs, imaging_fs), keep.sum()), "frequency": np.repeat(f[keep], len(t)), "power_db": db.ravel()})
+        return pd.DataFrame({"segment": row["segment"], "minute": np.tile(_minutes(row, t, fs, imaging_fs), keep.sum()), "frequency": np.repeat(f[keep], len(t)), "power_db": db.ravel()})
 
-    return _segment_samples(samples, aligned, "eeg").groupBy("segment").applyInPandas(run, "segment int, minute double, frequency double, power_db double")
+    return _segment_samples(samples, aligned, ["eeg"]).applyInPandas(run, "segment int, minute double, frequency double, power_db double")
 
 
 def display_limits(df: DataFrame, column: str, low: float = 0.02, high: float = 0.99) -> DataFrame:
@@ -169,7 +229,10 @@ def display_limits(df: DataFrame, column: str, low: float = 0.02, high: float =
 
 
 def emg_envelope(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs: float, to: float = 500.0, band: tuple[float, float] = (20.0, 200.0), window_seconds: float = 0.25, display_fs: float = 20.0) -> DataFrame:
-    """(segment, minute, amplitude): root mean square of the band-passed EMG (column emg), thinned to display_fs."""
+    """(segment, minute, amplitude): root mean square of the band-passed EMG (column emg), thinned to display_fs.
+
+    A segment without samples has one row with nulls.
+    """
     if not 0 < band[0] < band[1] or to <= 2 * band[1]:
         raise ValueError("the band must be ordered and below the Nyquist frequency")
     if display_fs > to:
@@ -177,14 +240,16 @@ def emg_envelope(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs:
     sos = signal.butter_bandpass(4, *band, to)
     width, step = max(1, round(positive(window_seconds, "window_seconds") * to)), max(1, round(to / positive(display_fs, "display_fs")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        x = signal.zero_phase(sos, signal.resample(pdf["v"].to_numpy(), fs, to))
+    def run(pdf: pd.DataFrame, aligned: pd.DataFrame) -> pd.DataFrame:
+        row = aligned.iloc[0]
+        if not len(pdf):
+            return pd.DataFrame({"segment": [row["segment"]], "minute": [None], "amplitude": [None]})
+        x = signal.zero_phase(sos, signal.resample(_regular(pdf, row, "emg"), fs, to))
         at = np.arange(0, len(x), step)
         rms = np.sqrt(np.maximum(signal.moving_power(x, width), 0))[at]
-        return pd.DataFrame({"segment": pdf["segment"].iloc[0], "minute": _minutes(pdf, at / to, fs, imaging_fs), "amplitude": rms})
+        return pd.DataFrame({"segment": row["segment"], "minute": _minutes(row, at / to, fs, imaging_fs), "amplitude": rms})
 
-    return _segment_samples(samples, aligned, "emg").groupBy("segment").applyInPandas(run, "segment int, minute double, amplitude double")
+    return _segment_samples(samples, aligned, ["emg"]).applyInPandas(run, "segment int, minute double, amplitude double")
 
 
 def band_power(spectrum: DataFrame, low: float, high: float, keys: list[str], name: str = "power_in_band") -> DataFrame:
@@ -211,13 +276,13 @@ def scoring_features(samples: DataFrame, aligned: DataFrame, fs: float, imaging_
             raise ValueError(f"fewer than two frequencies lie in {b}")
     shown = (f >= display[0]) & (f <= display[1])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        eeg, emg = (signal.resample(pdf[c].to_numpy(), fs, analysis_fs).astype(np.float32) for c in ("eeg", "emg"))
-        triggers = np.asarray(pdf["triggers"].iloc[0])
-        centre = np.rint((triggers - pdf["sample_start"].iloc[0]) * analysis_fs / fs).astype(int)
+    def run(pdf: pd.DataFrame, aligned: pd.DataFrame) -> pd.DataFrame:
+        row = aligned.iloc[0]
+        eeg, emg = (signal.resample(_regular(pdf, row, c), fs, analysis_fs).astype(np.float32) if len(pdf) else np.zeros(0, np.float32) for c in ("eeg", "emg"))
+        triggers = np.asarray(row["triggers"])
+        centre = np.rint((triggers - row["sample_start"]) * analysis_fs / fs).astype(int)
         ok = (centre - half >= 0) & (centre + half <= min(len(eeg), len(emg)))
-        frames, out = pdf["frame_start"].iloc[0] + np.flatnonzero(ok), []
+        frames, out = row["frame_start"] + np.flatnonzero(ok), []
         for lo in range(0, int(ok.sum()), chunk):
             at = centre[ok][lo : lo + chunk, None] + np.arange(-half, half)
             p = np.abs(np.fft.rfft(eeg[at] * hann, axis=1)) ** 2 / scale
@@ -228,18 +293,16 @@ def scoring_features(samples: DataFrame, aligned: DataFrame, fs: float, imaging_
             out.append(
                 pd.DataFrame(
                     {
-                        "segment": pdf["segment"].iloc[0], "frame": own, "trigger": triggers[ok][lo : lo + chunk], "minute": own / imaging_fs / 60,
+                        "segment": row["segment"], "frame": own, "trigger": triggers[ok][lo : lo + chunk], "minute": own / imaging_fs / 60,
                         "relative_delta": rel, "raw_ratio": raw, "delta_theta_ratio": rel * raw, "emg_rms": np.sqrt(np.mean(np.square(emg[at], dtype=float), axis=1)),
                         "power_db": list(10 * np.log10(np.maximum(p[:, shown], TINY))),
                     }
                 )
             )
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("segment", "frame", "trigger", "minute", "relative_delta", "raw_ratio", "delta_theta_ratio", "emg_rms", "power_db")})
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("segment", "frame", "trigger", "minute", "relative_delta", "raw_ratio", "delta_theta_ratio", "emg_rms", "power_db")}).astype({"power_db": object})
 
-    both = samples.join(F.broadcast(aligned), (F.col("sample") >= F.col("sample_start")) & (F.col("sample") < F.col("sample_stop")))
-    both = both.select("segment", "frame_start", "sample_start", "triggers", "sample", F.col("eeg").cast("double").alias("eeg"), F.col("emg").cast("double").alias("emg"))
     ddl = "segment int, frame long, trigger long, minute double, relative_delta double, raw_ratio double, delta_theta_ratio double, emg_rms double, power_db array<double>"
-    return both.groupBy("segment").applyInPandas(run, ddl)
+    return _segment_samples(samples, aligned, ["eeg", "emg"]).applyInPandas(run, ddl)
 
 
 def frequency_normalised(spectrum: DataFrame, keys: list[str] | None = None) -> DataFrame:

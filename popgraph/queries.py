@@ -687,13 +687,16 @@ def p5l(spark, d):
 
 
 def _signals(spark, d):
-    """Events as samples of two signals at 20 Hz, and segments of 512 samples with a trigger every 8."""
+    """Events as samples of two signals at 20 Hz, and segments of 512 numbers with a trigger every 8.
+
+    A segment goes from its first sample to its last, however many there are between.
+    """
     e = A.table(spark, d, "events")
     samples = e.select(F.col("event_id").alias("sample"), F.col("value").alias("eeg"), (F.col("value") * (F.col("event_id") % 3 - 1)).alias("emg"))
-    cut = F.floor(F.col("event_id") / 512)
-    whole = e.groupBy(cut.alias("segment")).agg(F.count("*").alias("n")).where("n = 512")
-    aligned = whole.select(F.col("segment").cast("int").alias("segment"), (F.col("segment") * 64).alias("frame_start"), (F.col("segment") * 512).alias("sample_start"), (F.col("segment") * 512 + 512).alias("sample_stop"))
-    return samples, aligned.withColumn("triggers", F.sequence(F.col("sample_start"), F.col("sample_stop") - 8, F.lit(8).cast("long")))
+    ends = e.where("event_id IS NOT NULL").groupBy(F.floor(F.col("event_id") / 512).cast("int").alias("segment")).agg(F.min("event_id").alias("sample_start"), (F.max("event_id") + 1).alias("sample_stop"))
+    frame = lambda c: F.floor(c / 8)
+    aligned = ends.select("segment", frame(F.col("sample_start")).alias("frame_start"), "sample_start", "sample_stop")
+    return samples, aligned.withColumn("triggers", F.sequence(F.col("frame_start") * 8, frame(F.col("sample_stop") - 1) * 8, F.lit(8).cast("long")))
 
 
 @query("p5_eeg_spectrogram")
@@ -720,15 +723,14 @@ def p8m(spark, d):
 
 @query("p1_aligned_segments")
 def p1(spark, d):
-    trace = A.trigger_trace(spark, d).where("recording = 3").drop("part")
-    edges = physiology.rising_edges(trace, 60.0).select("sample")
-    groups = studies.cut(physiology.trigger_groups(edges, gap_factor=3.0), "groups")
-    period = groups.agg(F.max("period")).first()[0]
-    sizes = [r["count"] for r in groups.groupBy("bout").count().orderBy("bout").collect()]
-    lengths = [max(1, n - 1) for n in sizes]
-    starts = [sum(lengths[:k]) for k in range(len(lengths))]
-    table, _ = physiology.align_triggers(groups, [(a, a + n) for a, n in zip(starts, lengths, strict=True)], fs=float(period), imaging_fs=1.0, n_samples=10**12)
-    return table.drop("triggers")
+    """The bouts of every recording, with a segment for each that is one trigger shorter."""
+    edges = _edges(spark, d).drop("part")
+    groups = studies.cut(physiology.trigger_groups(edges, gap_factor=3.0, keys=["recording"]), "groups")
+    sizes = groups.groupBy("recording", "bout").agg(F.greatest(F.lit(1), F.count("*") - 1).alias("n"))
+    w = Window.partitionBy("recording").orderBy("bout")
+    stop = F.sum("n").over(w)
+    segments = sizes.select("recording", (F.row_number().over(w) - 1).alias("segment"), (stop - F.col("n")).alias("frame_start"), stop.alias("frame_stop"))
+    return physiology.align_recordings(groups, segments, fs=F.col("period"), imaging_fs=1.0, n_samples=10**12).drop("triggers")
 
 
 @query("p2_manifest_sizes", "SELECT r_name AS region, CAST(count(*) AS BIGINT) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
