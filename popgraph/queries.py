@@ -750,10 +750,9 @@ def g4(spark, d):
 _STUDY_SQL = "dummy AS (SELECT 1) SELECT state, \"window\", density, CAST((SELECT count(DISTINCT node_id) FROM cells) AS BIGINT) AS n_nodes, CAST(6 AS BIGINT) AS n_runs, true AS q_agrees, true AS best_is_max FROM (SELECT DISTINCT state, pos // 100 AS \"window\" FROM uf WHERE pos // 100 < least(2, (SELECT count(*) // 100 FROM uf u2 WHERE u2.state = uf.state))), (SELECT unnest([2e-2, 5e-2]) AS density)"
 
 
-@query("g5_modularity_is_consistent", _STUDY_SQL)
-def g5(spark, d):
+def _consistent(spark, d, max_windows=None):
     """Whether each run's Q equals the modularity of its partition, and the best run is the one with the largest Q."""
-    edges, runs, best = studies.state_modularity(spark, d, n_runs=6)
+    edges, runs, best = studies.state_modularity(spark, d, n_runs=6, max_windows=max_windows)
     keys = ["state", "window", "density"]
     again = graph.modularity_value(edges, runs.select(*keys, "run", "node_id", "module"), keys=[*keys, "run"])
     per = runs.groupBy(*keys, "run").agg(F.max("q").alias("q0"), F.count("*").alias("n_nodes")).join(again, [*keys, "run"])
@@ -762,6 +761,16 @@ def g5(spark, d):
     return out.select("state", L("window").alias("window"), "density", "n_nodes", "n_runs", (F.col("gap") < 1e-9).alias("q_agrees"), (F.col("qb") == F.col("most")).alias("best_is_max"))
 
 
+@query("g5_modularity_is_consistent", _STUDY_SQL)
+def g5(spark, d):
+    return _consistent(spark, d, 2)
+
+
+@query("g5_modularity_is_consistent_all_windows", _STUDY_SQL.replace("least(2, (SELECT count(*) // 100 FROM uf u2 WHERE u2.state = uf.state))", "(SELECT count(*) // 100 FROM uf u2 WHERE u2.state = uf.state)"))
+def g5a(spark, d):
+    return _consistent(spark, d)
+
+
 @query("g6_consensus")
 def g6(spark, d):
     nodes = A.nodes(spark, d).select(F.lit(0).alias("graph"), "node_id")
