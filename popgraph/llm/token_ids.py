@@ -4,7 +4,7 @@ A byte-level BPE splits a text into pre-tokens and merges within each, and no pr
 that isn't white space on to white space. So a text may be cut before a space or line end that follows other
 than white space, and the ids of the cuts, one after another, are the ids of the text. Texts whose only white
 space is single spaces and line ends inside are cut there; each cut not yet known goes to the library, all of
-a batch as one string. Any other text goes to the library whole.
+a batch as one string. Any other text goes to the library whole, as does one that holds a special token's literal.
 """
 
 from __future__ import annotations
@@ -23,9 +23,13 @@ _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u20
 
 
 class Ids:
-    def __init__(self, path: str):
+    """Ids by the tokenizer at path; special tokens' literals in a text are split like other text if split_special."""
+
+    def __init__(self, path: str, split_special: bool = True):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = split_special
+        added = self.library.get_added_tokens_decoder().values()
+        self.literals = [] if split_special else [t.content for t in added if t.special and t.content]
         self.library.no_padding()
         self.library.no_truncation()
         vocabulary = self.library.get_vocab()
@@ -66,7 +70,7 @@ class Ids:
             if not text:
                 continue
             own = text.replace("\n", " \n").split(" ")
-            if "" in own or "\n" in own or any(c in text for c in _OTHER_SPACE):
+            if "" in own or "\n" in own or any(c in text for c in _OTHER_SPACE) or any(x in text for x in self.literals):
                 whole.append(i)
                 continue
             rows.append(i)
@@ -92,4 +96,5 @@ class Ids:
 
 @lru_cache(maxsize=2)
 def ids_of(path: str) -> Ids:
-    return Ids(path)
+    """Ids as the library gives them by default."""
+    return Ids(path, split_special=False)

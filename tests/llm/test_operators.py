@@ -476,3 +476,19 @@ def test_queries_equal_their_sql(spark, name):
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), c.execute(queries.SQL[name]).df()
     order = sorted(want.columns)
     assert sorted(map(str, got[order].values.tolist())) == sorted(map(str, want[order].values.tolist()))
+
+
+def test_literals_of_special_tokens_are_as_in_the_library(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = ["foo <|endoftext|> bar", "<|endoftext|>", "a b<|endoftext|>c d", "x <|endoftext|>\ny", "foo bar", "foo <|endoftext| > bar"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0]
+    d = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    path = C.shared_path(spark, "tokens")
+    token_store.write_token_files(d, path, TOKENIZER)
+    got = token_store.read_token_files(spark, path).orderBy("doc_id").collect()
+    assert [np.frombuffer(r["ids"], "<u4")[:-1].tolist() for r in got] == want
+    packed = packing.pack_documents(d, TOKENIZER).toPandas().sort_values(["doc_id", "start"])
+    assert [np.frombuffer(b"".join(own["ids"]), "<u4")[:-1].tolist() for _, own in packed.groupby("doc_id")] == want
