@@ -93,6 +93,22 @@ def circular_shuffle(activity: DataFrame, positions: DataFrame, seed) -> DataFra
     return cells.select("node_id", to, "v").join(positions, "pos").select("node_id", "pos", "frame", "v")
 
 
+def hashed_shuffle(activity: DataFrame, positions: DataFrame, seed: int) -> DataFrame:
+    """circular_shuffle() with lags from a hash of (seed, node_id, run): nothing comes to the driver.
+
+    A lag is 1 to n - 1 in a run of n frames, and 0 in a run of one.
+    """
+    runs = contiguous_runs(positions)
+    spans = runs.groupBy("run").agg(F.min("pos").alias("lo"), F.count("*").alias("n"))
+    cells = activity.join(runs, "frame").join(F.broadcast(spans), "run")  # runs of a state's frames are a short table
+    whole = activity.select("node_id").distinct().count() * positions.count()
+    if cells.count() != whole:
+        raise ValueError("activity and frames are not aligned")
+    lag = F.when(F.col("n") > 1, 1 + F.pmod(F.xxhash64(F.lit(positive_int(seed, "seed", 0)), "node_id", "run"), F.greatest(F.col("n") - 1, F.lit(1)))).otherwise(0)
+    to = (F.col("lo") + F.pmod(F.col("pos") - F.col("lo") + lag, F.col("n"))).alias("pos")
+    return cells.select("node_id", to, "v").join(positions, "pos").select("node_id", "pos", "frame", "v")
+
+
 def stable_rank(df: DataFrame, by: Column, tie: str, name: str = "rank", keys: list[str] | None = None) -> DataFrame:
     """Adds the place from 0 by descending value, ties by ascending tie."""
     return df.withColumn(name, F.row_number().over(_by(keys).orderBy(by.desc(), F.col(tie))) - 1)

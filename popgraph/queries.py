@@ -203,7 +203,7 @@ def w6(spark, d):
 
 @query("w7_circular_shuffle")
 def w7(spark, d):
-    return sequence.circular_shuffle(A.activity(spark, d), selection.state_frames(used_frames(spark, d), "nrem"), 7)
+    return sequence.hashed_shuffle(A.activity(spark, d), selection.state_frames(used_frames(spark, d), "nrem"), 7)
 
 
 @query("w7_shuffle_keeps_values", "dummy AS (SELECT 1) SELECT node_id, CAST(count(*) AS BIGINT) AS n, round(sum(v), 4) AS total, round(max(v), 6) AS most FROM act JOIN uf ON uf.frame = act.frame WHERE state = 'nrem' GROUP BY 1")
