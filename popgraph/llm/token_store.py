@@ -13,6 +13,7 @@ one bit, which is stored, and a popcount from there.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,8 +152,40 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _find(doc_ids: list[int]):
+    """A function for mapInArrow: the rows of these documents, by select_ alone."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ends, known = EliasFano(row["ends"]), EliasFano(row["doc_ids"])
+                flat, found = np.frombuffer(row["ids"], f"<u{row['width']}"), []
+                for doc_id in doc_ids:
+                    k = bisect_left(range(known.n), doc_id, key=known.select_)
+                    while k < known.n and known.select_(k) == doc_id:
+                        at = k + row["n_null"]
+                        lo, hi = ends.select_(at - 1) if at else 0, ends.select_(at)
+                        found.append((doc_id, row["start"] + lo, hi - lo, flat[lo:hi].astype("<u4").tobytes()))
+                        k += 1
+                columns = list(zip(*found)) if found else [[]] * 4
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "n_tokens", "ids"])
+
+    return find
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a token file: doc_id, start (ids before it), n_tokens, ids (unsigned 32-bit, little-endian)."""
+    return _segments(spark, path).mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The rows of read_token_files() of a few documents: sequences are not expanded, only the places asked for."""
+    return _segments(spark, path).mapInArrow(_find(sorted(set(doc_ids))), "doc_id long, start long, n_tokens long, ids binary")
+
+
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of a token file, with the ids before each."""
     segments = spark.read.schema(_SEGMENT_DDL).parquet(path)
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("segments"))
     # one row per part: a few numbers for each partition that was written
@@ -161,4 +194,4 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     start = own.select("part", "segment", (F.col("base") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_ids")).alias("start"))
     count = segments.agg(F.count("*")).first()[0]
     start = F.broadcast(start) if count <= BROADCAST_SEGMENTS else start
-    return segments.join(start, ["part", "segment"]).mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids binary")
+    return segments.join(start, ["part", "segment"])

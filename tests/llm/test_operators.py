@@ -492,3 +492,14 @@ def test_literals_of_special_tokens_are_as_in_the_library(spark):
     assert [np.frombuffer(r["ids"], "<u4")[:-1].tolist() for r in got] == want
     packed = packing.pack_documents(d, TOKENIZER).toPandas().sort_values(["doc_id", "start"])
     assert [np.frombuffer(b"".join(own["ids"]), "<u4")[:-1].tolist() for _, own in packed.groupby("doc_id")] == want
+
+
+def test_documents_are_found_by_select(spark):
+    docs = [(i * 3, f"text {i} " * (i % 7)) for i in range(300)] + [(None, "no id"), (9, "again"), (-5, None)]
+    path = C.shared_path(spark, "tokens")
+    token_store.write_token_files(spark.createDataFrame(docs, DOCS), path, TOKENIZER, segment_bytes=2000)
+    asked = [9, 0, -5, 897, 10, 9, 600]
+    want = [tuple(r) for r in token_store.read_token_files(spark, path).collect() if r["doc_id"] in asked]
+    got = [tuple(r) for r in token_store.find_documents(spark, path, asked).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 6
+    assert token_store.find_documents(spark, path, []).count() == 0
