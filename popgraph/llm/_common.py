@@ -6,6 +6,7 @@ the same in every process. Everything here works on one Arrow batch at a time, i
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -21,29 +22,65 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 #: Bytes of text that are hashed at once; a longer document makes a piece of its own.
 PIECE_BYTES = 1 << 20
+#: Bytes of one Arrow batch, but for a row that is longer by itself.
+BATCH_BYTES = 4 << 20
 
 
 # -- written tables --------------------------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share, from the session; one of our own only in local mode, where there is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this application's operators wrote to the shared folder; for when their results are stored elsewhere."""
+    _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the Arrow batches that tasks hand to Python to BATCH_BYTES, for the session, where they may be larger."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m").lower()
+    n, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", now).groups()
+    if not 0 < int(n) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+class Written:
+    """A table in the shared folder. df reads it; drop() deletes it, once nothing that is still to run reads it."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        small_batches(self.spark)
+        self.path = shared_path(self.spark, name)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lost executors can't take it away, and its lineage is cut."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Written(df, name).df
 
 
 # -- held-out rows ---------------------------------------------------------------------------------
@@ -85,11 +122,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        p = np.full(max(n, PIECE_BYTES), base, np.uint64)
-        p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base][:n]
+    """The first n powers; those for a piece of the usual size are kept."""
+    if n <= PIECE_BYTES and base in _powers:
+        return _powers[base][:n]
+    p = np.full(max(n, PIECE_BYTES), base, np.uint64)
+    p[0] = 1
+    p = np.multiply.accumulate(p)
+    if n <= PIECE_BYTES:
+        _powers[base] = p
+    return p[:n]
 
 
 @dataclass

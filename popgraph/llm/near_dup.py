@@ -9,7 +9,10 @@ Two further facts are certain and cost no link: sizes bound the similarity, and
 of a set, since two bitmaps never differ in more bits than their sets do in elements.
 
 Work per group of copies stays linear: equal sets are one class, a bucket links its members to one pivot, and
-only members that are still outside a bucket's main component meet the bucket's other members.
+only members that are still outside a bucket's main component meet others. In a bucket of up to SMALL members they
+meet all of these; larger buckets' members are dealt anew by their rarest shingles: a set that reaches the
+threshold with another no larger shares one of its rarest n - ceil(t n) + 1 shingles (t the threshold) with one of the
+rarest n - ceil(2 t n / (1 + t)) + 1 of the other, so what a family of texts has in common brings none of them together.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from . import _common as C
 BANDS, ROWS = 51, 5
 #: Bands whose buckets link each member to a pivot at once; later steps take all bands.
 FIRST_BANDS = 6
+#: Members of a bucket up to which those outside its main component meet all others at once.
+SMALL = 64
+#: The least threshold, in hundredths, that these bands find with certainty enough.
+LEAST_THRESHOLD = 75
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 SKETCH_LONGS = SKETCH_BITS // 64
@@ -153,7 +160,8 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     many neighbours is pre-aggregated and split. The edges of each round are a written table. With rounds,
     that many: components may then be in parts yet, each with the name of one of its nodes.
     """
-    edges = C.materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
+    table = C.Written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
+    edges = table.df
     measure = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     state, done = (edges.agg(*measure).first() if rounds is None else None), 0
     while rounds is None or done < rounds:
@@ -162,7 +170,9 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).union(m.select("u", "m")).where("a > b").distinct().toDF("u", "v")
-        edges = C.materialise(small, "links")
+        last, table = table, C.Written(small, "links")
+        last.drop()
+        edges = table.df
         done += 1
         if rounds is None:
             new = edges.agg(*measure).first()
@@ -182,7 +192,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A null or wordless text has an empty set and is linked with nothing. doc_id is the key: rows that repeat
     one are one document, with the links of all its texts, and all are returned. A row without doc_id is its
     own, with component_id null and kept true. Other columns are not looked at. An empty table gives no rows.
+    The bands are made for thresholds of LEAST_THRESHOLD or more; a lower one is an error.
     """
+    if not LEAST_THRESHOLD <= threshold <= 100:
+        raise ValueError(f"threshold must be {LEAST_THRESHOLD} to 100")
+    C.small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = C.materialise(docs.mapInArrow(_sign, _SIGNED_DDL), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -206,8 +220,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         """Members of buckets that more than one component has part in, with the largest part and a pivot of it."""
         placed = members.join(label, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
         part = placed.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("band", "id"), "id"))["id"].alias("pivot"))
-        most = part.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("size", "comp", "pivot")).alias("m")).where("parts > 1")
-        return placed.join(most.select("band", F.col("m.comp").alias("main"), F.col("m.pivot").alias("pivot")), "band")
+        most = part.groupBy("band").agg(F.count("*").alias("parts"), F.sum("size").alias("members"), F.max(F.struct("size", "comp", "pivot")).alias("m")).where("parts > 1")
+        return placed.join(most.select("band", "members", F.col("m.comp").alias("main"), F.col("m.pivot").alias("pivot")), "band")
 
     pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
     # first, a few bands' members with their bucket's pivot
@@ -216,11 +230,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # then, over all bands, who is not in the component of most of a bucket, with a pivot of that
     more = estimated(torn(C.materialise(components(links, 2), "labels")).where("comp != main").select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
     links, tried = links.union(confirm(more)), tried.union(more)
-    # last, who is still outside, with every other member of the bucket
-    open_ = C.materialise(torn(C.materialise(components(links, 2), "labels")).join(reps, "id"), "open")
-    x, y = open_.where("comp != main").alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _near_enough(threshold, "x", "y") & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")))  # a pair counts in one of its bands
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # last, who is still outside, with others of the bucket
+    open_ = C.materialise(torn(C.materialise(components(links, 2), "labels")).select("band", "id", "comp", "main", "members"), "open")
+    few = C.materialise(open_.where(F.col("members") <= SMALL).join(reps, "id"), "few")
+    x, y = few.where("comp != main").alias("x"), few.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _near_enough(threshold, "x", "y") & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")))  # a pair counts in one of its bands
+    met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    many = open_.where(F.col("members") > SMALL).groupBy("id").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("outside"))
+    many = C.materialise(many, "many")
+    rest = met if many.isEmpty() else met.union(estimated(_share_rare(many, docs, threshold)))
+    rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
     label = C.materialise(components(links.union(confirm(C.materialise(rest, "tried")))), "labels")
 
     own = classes.join(label, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("comp"))
@@ -230,6 +249,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+_SHINGLE_DDL = "id long, comp long, outside boolean, n int, whole long, g long"
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, comp, outside, text) to one row per distinct shingle, with the size of the set and a hash of it."""
+    for batch in batches:
+        for w in C.words(batch.column(3)):
+            sets = [np.unique(run) for run in C.shingle_runs(w)]
+            size = np.array([len(x) for x in sets])
+            at = pa.array(np.repeat(np.arange(w.rows[0], w.rows[1]), size))
+            whole = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            columns = [*(batch.column(i).take(at) for i in range(3)), *map(pa.array, (np.repeat(size, size).astype(np.int32), np.repeat(whole, size), np.concatenate(sets).view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "comp", "outside", "n", "whole", "g"])
+
+
+def _share_rare(ids: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of ids (id, comp, outside) of two components, one of them outside, that share a shingle rare enough in both sets.
+
+    Shingles are ordered by the number of sets that hold them, then by hash; those of one set alone are left out, having taken
+    their places in that order. No pair that reaches the threshold is missed.
+    """
+    texts = docs.toDF("id", "text").join(ids, "id").select("id", "comp", "outside", "text")
+    rows = C.materialise(texts.mapInArrow(_shingles, _SHINGLE_DDL).dropDuplicates(["id", "whole", "g"]), "shingles")
+    often = rows.groupBy("g").agg(F.count("*").alias("sets")).where("sets > 1")
+    t, n = F.lit(threshold), F.col("n")
+    own = rows.join(often, "g").groupBy("id", "whole").agg(F.first("comp").alias("comp"), F.first("outside").alias("outside"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "g"))).alias("gs"))
+    alone = n - F.size("gs")
+    wide, narrow = (F.greatest(F.lit(0), n - F.ceil(least) + 1 - alone).cast("int") for least in (t * n / 100, 2 * t * n / (100 + t)))
+    own = C.materialise(own.select("id", "comp", "outside", "n", narrow.alias("narrow"), F.slice("gs.g", F.lit(1), wide).alias("gs")), "rare")
+    own = own.select("id", "comp", "outside", "n", "narrow", F.posexplode("gs").alias("place", "g"))
+    x, y = own.alias("x"), own.where("place < narrow").alias("y")
+    pairs = x.join(y, F.col("x.g") == F.col("y.g")).where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.outside") | F.col("y.outside")) & (F.col("x.n") >= F.col("y.n")) & (100 * F.col("y.n") >= threshold * F.col("x.n")))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     a, b = docs.toDF("a", "text_a"), docs.toDF("b", "text_b")

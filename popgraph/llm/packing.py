@@ -1,6 +1,6 @@
 """Packing of tokenised documents into sequences by first-fit decreasing in randomised groups.
 
-Documents are dealt by a hash of their id into groups of about GROUP_DOCS; a group is one partition. There each
+Documents are dealt by a hash of their id into groups of about GROUP_BYTES of text; a group is one partition. There each
 document is tokenised and cut into full sequences and a remainder, and the remainders, longest first, go each
 to the first open sequence with room, found by descending a tournament tree of the sequences' capacities. What
 the last, least filled sequences hold is then cut once more to fill what is left open elsewhere.
@@ -17,10 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _common as C
 from .token_ids import ids_of
 
 LENGTH = 2048
-GROUP_DOCS = 4096
+#: Bytes of text of a group, on average: some four times that is what a task holds.
+GROUP_BYTES = 8 << 20
+#: Bytes of ids of one batch of pieces, but for the last piece.
+OUT_BYTES = 2 << 20
 END_ID = 1
 
 
@@ -117,32 +121,44 @@ def plan(sizes: list[tuple[int, int]], length: int = LENGTH) -> Iterator[tuple[i
 _DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group_docs: int = GROUP_DOCS, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (unsigned 32-bit, little-endian).
 
     Each document's ids, end_id last, lie in exactly one piece each; the pieces of a sequence follow each other
     from offset 0 without gaps and hold at most length ids. A null or empty text is its end_id alone. Rows that
     repeat a doc_id (or have none) are packed each. Other columns are not looked at. An empty table gives no
-    rows. sequence_id is unique over all groups. A group is one partition, of group_docs rows on average.
+    rows. sequence_id is unique over all groups. A group is one partition, of group_bytes of text on average; a
+    text is never split over groups.
     """
+    C.small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    groups = max(1, math.ceil(docs.count() / group_docs))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    groups = max(1, math.ceil(size / group_bytes))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, encode = TaskContext.get().partitionId(), ids_of(tokenizer).encode
+        group, known = TaskContext.get().partitionId(), ids_of(tokenizer)
         ids, all_ids = [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            all_ids += [x + end for x in encode(batch.column(1).fill_null("").to_pylist())]
+            all_ids += [x + end for x in known.encode(batch.column(1).fill_null("").to_pylist())]
+        known.forget()
         # the order in which rows arrive may differ when a task is run again
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, len(all_ids[k]), all_ids[k]))
-        rows = [
-            (ids[order[p]], start, n, len(all_ids[order[p]]) // 4, (group << 40) + sequence, offset, all_ids[order[p]][4 * start : 4 * (start + n)])
-            for p, start, n, sequence, offset in plan([(p, len(all_ids[k]) // 4) for p, k in enumerate(order)], length)
-        ]
-        for k in range(0, len(rows), 2000):
-            columns = zip(*rows[k : k + 2000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        rows, size = [], 0
+        for p, start, n, sequence, offset in plan([(p, len(all_ids[k]) // 4) for p, k in enumerate(order)], length):
+            own = all_ids[order[p]]
+            rows.append((ids[order[p]], start, n, len(own) // 4, (group << 40) + sequence, offset, own[4 * start : 4 * (start + n)]))
+            size += 4 * n
+            if size >= OUT_BYTES:
+                yield _pieces(rows)
+                rows, size = [], 0
+        if rows:
+            yield _pieces(rows)
 
     return docs.repartition(groups, F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")))).mapInArrow(run, _DDL)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)], [x.split()[0] for x in _DDL.split(", ")])

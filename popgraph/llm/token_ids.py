@@ -4,18 +4,20 @@ A byte-level BPE splits a text into pre-tokens and merges within each, and no pr
 that isn't white space on to white space. So a text may be cut before a space or line end that follows other
 than white space, and the ids of the cuts, one after another, are the ids of the text. Texts whose only white
 space is single spaces and line ends inside are cut there; each cut not yet known goes to the library, all of
-a batch as one string. Any other text goes to the library whole, as does one that holds a special token's literal.
+a batch as one string. Any other text goes to the library whole, as does one that holds a special token's literal,
+and every text where the file is not a byte-level BPE that leaves texts as they are.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Cuts remembered per task; those met later are encoded each time.
-REMEMBERED = 400_000
+#: Cuts remembered within a task; those met later are encoded each time.
+REMEMBERED = 200_000
 #: Characters of text that are cut at once.
 AT_ONCE = 1 << 20
 #: White space other than the space and the line end.
@@ -30,6 +32,11 @@ class Ids:
         self.library.encode_special_tokens = split_special
         added = self.library.get_added_tokens_decoder().values()
         self.literals = [] if split_special else [t.content for t in added if t.special and t.content]
+        made = json.loads(self.library.to_str())
+        before = made.get("pre_tokenizer") or {}
+        #: whether ids of cuts make the ids of a text: BPE within pre-tokens of bytes, nothing added in front
+        self.cuts = made["model"]["type"] == "BPE" and not made.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.cuts = self.cuts and not made["model"].get("dropout") and not any(made["model"].get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         self.library.no_padding()
         self.library.no_truncation()
         vocabulary = self.library.get_vocab()
@@ -53,6 +60,10 @@ class Ids:
             lo = hi
         return out
 
+    def forget(self) -> None:
+        """Lets go of the cuts seen, at the end of a task."""
+        self.known = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         out, lo, size = [], 0, 0
@@ -69,7 +80,7 @@ class Ids:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            own = text.replace("\n", " \n").split(" ")
+            own = text.replace("\n", " \n").split(" ") if self.cuts else [""]
             if "" in own or "\n" in own or any(c in text for c in _OTHER_SPACE) or any(x in text for x in self.literals):
                 whole.append(i)
                 continue

@@ -6,12 +6,13 @@ end offsets in that array and their ids. part and segment order the segments. Sp
 tasks, so a lost executor leaves no half segment.
 
 An Elias-Fano sequence of n values up to u keeps the low log2(u/n) bits of each as they are and the rest in
-unary, about 2 + log2(u/n) bits a value. select_() finds the i-th value from the position of every SAMPLE-th
-one bit, which is stored, and a popcount from there.
+unary, about 2 + log2(u/n) bits a value. The position of every SAMPLE-th one bit is stored: select_() finds the i-th
+value from there by popcounts, select_range() a run of values, which is how documents are read back, some at a time.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -22,13 +23,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import _common as C
 from .token_ids import ids_of
 
 END_ID = 0
 SAMPLE = 256
 SEGMENT_BYTES = 4 << 20
+#: Bytes of text of one part, at most on average: a part is one task.
+PART_BYTES = 128 << 20
 #: Segments up to which the table of their starts is broadcast (24 bytes each).
 BROADCAST_SEGMENTS = 1_000_000
+#: Documents of a segment that are read back at once.
+READ = 256
 _HEAD = struct.Struct("<4sBxxxqqqq")  # magic, low bits, values, least, bytes of low bits, bytes of high bits
 
 
@@ -78,12 +84,21 @@ class EliasFano:
             low |= (int(self.lows[p >> 3]) >> (p & 7) & 1) << b
         return self.base + ((place - i) << self.low | low)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
-        off = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1, from the words of bits that hold them."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, np.int64)
+        from_, to = int(self.ones[a // SAMPLE]) // 64, -(-b // SAMPLE)
+        words = self.high[from_ : int(self.ones[to]) // 64 + 1 if to < len(self.ones) else None]
+        at = np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")) + 64 * from_
+        skip = int(np.searchsorted(at, self.ones[a // SAMPLE])) + a % SAMPLE
+        off = (at[skip : skip + b - a] - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low)
         if self.low:
-            bits = np.unpackbits(self.lows, count=self.n * self.low, bitorder="little").reshape(self.n, self.low).astype(np.uint64)
-            off |= bits @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64))
+            first = a * self.low
+            bits = np.unpackbits(self.lows[first // 8 : -(-(b * self.low) // 8)], bitorder="little")[first % 8 :][: (b - a) * self.low]
+            off |= bits.reshape(b - a, self.low).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64))
         return (off + np.uint64(self.base & (2**64 - 1))).view(np.int64)
 
 
@@ -98,13 +113,14 @@ def _segment(part: int, segment: int, doc_ids: list, ids: list[bytes]) -> tuple:
     return part, segment, len(ids), len(flat), len(doc_ids) - len(known), width, flat.astype(f"<u{width}").tobytes(), elias_fano(ends), elias_fano(np.array(known, np.int64))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, segment_bytes: int = SEGMENT_BYTES) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, segment_bytes: int = SEGMENT_BYTES, part_bytes: int = PART_BYTES) -> None:
     """Writes the ids of all documents, end_id after each, in ascending doc_id order (nulls first; ties by text).
 
     A null or empty text is its end_id alone. A document is never split; one longer than a segment is its own.
     Other columns are not looked at. An empty table makes a folder without segments.
     """
     spark = docs.sparkSession
+    C.small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
@@ -114,18 +130,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
         def full() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(_segment(part, segment, doc_ids, ids), _TYPES, strict=True)], _NAMES)
 
+        known = ids_of(tokenizer)
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), ids_of(tokenizer).encode(batch.column(1).to_pylist()), strict=True):
+            for d, x in zip(batch.column(0).to_pylist(), known.encode(batch.column(1).to_pylist()), strict=True):
                 if ids and size + len(x) > 2 * segment_bytes:
                     yield full()
                     segment, size, doc_ids, ids = segment + 1, 0, [], []
                 doc_ids.append(d)
                 ids.append(x + end)
                 size += len(x) + 4
+        known.forget()
         if ids:
             yield full()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / part_bytes))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(encode, _SEGMENT_DDL).write.parquet(path)
 
@@ -137,19 +156,19 @@ _NAMES = [x.split()[0] for x in _SEGMENT_DDL.split(", ")]
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ends = EliasFano(row["ends"]).all()
-            known = EliasFano(row["doc_ids"]).all()
-            flat = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-            starts = np.concatenate([[0], ends[:-1]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([None] * row["n_null"] + known.tolist(), pa.int64()),
-                    pa.array(starts + row["start"]),
-                    pa.array(ends - starts),
-                    pa.array([flat[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                ],
-                ["doc_id", "start", "n_tokens", "ids"],
-            )
+            ends, known, none = EliasFano(row["ends"]), EliasFano(row["doc_ids"]), row["n_null"]
+            flat = np.frombuffer(row["ids"], f"<u{row['width']}")
+            before = 0
+            for a in range(0, ends.n, READ):
+                b = min(a + READ, ends.n)
+                to = ends.select_range(a, b)
+                starts = np.concatenate([[before], to[:-1]])
+                before = int(to[-1])
+                ids = [None] * (min(none, b) - min(none, a)) + known.select_range(max(a - none, 0), max(b - none, 0)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(starts + row["start"]), pa.array(to - starts), pa.array([flat[i:j].astype("<u4").tobytes() for i, j in zip(starts, to, strict=True)], pa.binary())],
+                    ["doc_id", "start", "n_tokens", "ids"],
+                )
 
 
 def _find(doc_ids: list[int]):

@@ -268,7 +268,7 @@ def test_remembered_ids_equal_the_library(monkeypatch):
 
 def test_packing(spark):
     docs = odd_docs() + [(1000, sentence(random.Random(1), 3000))]
-    got = packing.pack_documents(clashing(spark.createDataFrame(docs, DOCS)), TOKENIZER, group_docs=10).toPandas()
+    got = packing.pack_documents(clashing(spark.createDataFrame(docs, DOCS)), TOKENIZER, group_bytes=5000).toPandas()
     for i, text in docs:
         own = got[got.doc_id == i].sort_values("start")
         want = encoded(text, 1)
@@ -298,11 +298,15 @@ def test_tournament_is_first_fit():
 def test_elias_fano(values):
     data = token_store.elias_fano(np.array(values, np.int64))
     x = token_store.EliasFano(data)
-    assert x.all().tolist() == values
+    assert x.select_range(0, len(values)).tolist() == values
+    for a, b in ((0, 0), (len(values) // 3, len(values) // 2), (len(values) // 2, len(values)), (min(300, len(values)), min(301, len(values)))):
+        assert x.select_range(a, b).tolist() == values[a:b]
     for i in {0, 1, len(values) // 2, len(values) - 1} & set(range(len(values))):
         assert x.select_(i) == values[i]
     with pytest.raises(IndexError):
         x.select_(len(values))
+    with pytest.raises(IndexError):
+        x.select_range(0, len(values) + 1)
     if len(values) == 1500:
         assert len(data) < 1500 * 4
 
