@@ -5,7 +5,8 @@ A document is read in windows as long (in words) as a benchmark item. Each windo
 block under every value within two bit flips, so that any fingerprint within RADIUS bits (three times seven,
 less one) shares a block entry with the window's. Candidates within RADIUS are verified by the exact weighted
 similarity of the two multisets of shingles, sum of minima over sum of maxima. Windows that hold too few
-shingles of any item to reach the threshold are not fingerprinted; they can't verify.
+shingles of any item to reach the threshold are not fingerprinted; they can't verify. The multi-index keeps items
+sorted by each block's value, once, and windows look up every value within the flips: 36 bytes an item.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from . import _common as C
 RADIUS = 20
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 FLIPS = RADIUS // len(BLOCKS)
-#: Bytes of benchmark text in one broadcast index; a larger benchmark is matched in parts, one pass each.
-PART_BYTES = 64 << 20
+#: Bytes of benchmark text in one broadcast index, which is about three times that; a larger benchmark is matched in
+#: parts, one pass each.
+PART_BYTES = 16 << 20
+#: Places of a text whose windows are fingerprinted at once.
+AT_ONCE = 4096
 _U = np.uint64
 _AT = np.cumsum([0, *BLOCKS])[:-1]
-_FLIPPED = [[sum(1 << i for i in c) for k in range(FLIPS + 1) for c in combinations(range(width), k)] for width in BLOCKS]
+_FLIPPED = [np.array([sum(1 << i for i in c) for k in range(FLIPS + 1) for c in combinations(range(width), k)]) for width in BLOCKS]
 
 
 def planes(shingles: np.ndarray) -> np.ndarray:
@@ -43,10 +47,6 @@ def simhash(totals: np.ndarray) -> np.ndarray:
     return np.packbits(totals >= 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def blocks_of(fingerprint: int) -> list[int]:
-    return [fingerprint >> int(at) & (1 << width) - 1 for at, width in zip(_AT, BLOCKS, strict=True)]
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sum of minima and of maxima of two multisets."""
     x, y = Counter(a.tolist()), Counter(b.tolist())
@@ -54,27 +54,54 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return low, len(a) + len(b) - low
 
 
+def _fingerprints(s: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """(start, SimHash) of windows of width shingles; starts ascend, and only shingles near them are looked at, some at a time."""
+    k = 0
+    while k < len(starts):
+        at = starts[k : np.searchsorted(starts, starts[k] + AT_ONCE)]
+        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(planes(s[at[0] : at[-1] + width]), axis=0, dtype=np.int32)])
+        own = at - at[0]
+        yield from zip(at.tolist(), simhash(sums[own + width] - sums[own]).tolist(), strict=True)
+        k += len(at)
+
+
+class Near:
+    """Fingerprints of items of one length, by blocks: for each block the items in order of its value, and where each value begins."""
+
+    def __init__(self, fingerprints: np.ndarray):
+        self.fingerprints = fingerprints
+        self.order, self.begin = [], []
+        for at, width in zip(_AT.tolist(), BLOCKS, strict=True):
+            value = ((fingerprints >> _U(at)) & _U((1 << width) - 1)).astype(np.int64)
+            self.order.append(np.argsort(value, kind="stable").astype(np.int32))
+            self.begin.append(np.searchsorted(value[self.order[-1]], np.arange((1 << width) + 1)).astype(np.int32))
+
+    def within(self, fingerprint: int) -> list[int]:
+        """Items at most RADIUS bits away."""
+        seen = np.zeros(len(self.fingerprints), bool)
+        for at, width, order, begin, flipped in zip(_AT.tolist(), BLOCKS, self.order, self.begin, _FLIPPED, strict=True):
+            values = (fingerprint >> at & (1 << width) - 1) ^ flipped
+            lo, n = begin[values], begin[values + 1] - begin[values]
+            some = np.flatnonzero(n)
+            if len(some):
+                lo, n = lo[some], n[some]
+                seen[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        found = np.flatnonzero(seen)
+        return found[np.bitwise_count(self.fingerprints[found] ^ _U(fingerprint)) <= RADIUS].tolist()
+
+
 class Index:
-    """Fingerprints of benchmark items, by their length in words."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        ids, texts = zip(*items, strict=True) if items else ((), ())
-        self.items: dict[int, list[tuple[int, int, np.ndarray]]] = defaultdict(list)  # length: (item_id, fingerprint, shingles)
-        self.blocks: dict[int, list[dict[int, list[int]]]] = {}
-        for w in C.words(pa.array(texts, pa.string())):
-            runs = list(C.shingle_runs(w))
-            for k, run in enumerate(runs):
+    """Benchmark items by their length in words: ids, shingles, and fingerprints in a multi-index."""
+
+    def __init__(self, ids: list[int], texts: pa.Array):
+        own: dict[int, list[tuple[int, int, np.ndarray]]] = defaultdict(list)  # length: (item_id, fingerprint, shingles)
+        for w in C.words(texts):
+            for k, run in enumerate(C.shingle_runs(w)):
                 if len(run):
-                    size = int(w.first[k + 1] - w.first[k])
-                    self.items[size].append((ids[w.rows[0] + k], int(simhash(planes(run).sum(axis=0)[None])[0]), run))
-        for size, own in self.items.items():
-            tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in BLOCKS]
-            for i, (_, fingerprint, _) in enumerate(own):
-                for table, value, flipped in zip(tables, blocks_of(fingerprint), _FLIPPED, strict=True):
-                    for f in flipped:
-                        table[value ^ f].append(i)
-            self.blocks[size] = tables
-        self.shingles = np.unique(np.concatenate([run for own in self.items.values() for _, _, run in own])) if self.items else np.zeros(0, np.uint64)
+                    own[int(w.first[k + 1] - w.first[k])].append((ids[w.rows[0] + k], int(simhash(planes(run).sum(axis=0)[None])[0]), run.copy()))
+        self.items = {size: [(i, run) for i, _, run in x] for size, x in own.items()}
+        self.near = {size: Near(np.array([f for _, f, _ in x], _U)) for size, x in own.items()}
+        self.shingles = np.unique(np.concatenate([run for x in self.items.values() for _, run in x])) if self.items else np.zeros(0, np.uint64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.shingles >> _U(44)).astype(np.int64)] = True
 
@@ -86,32 +113,27 @@ class Index:
             hit[at] = self.shingles[found] == s[at]
         return hit
 
-    def candidates(self, size: int, fingerprint: int) -> set[int]:
-        near = {i for table, value in zip(self.blocks[size], blocks_of(fingerprint), strict=True) for i in table.get(value, ())}
-        return {i for i in near if (self.items[size][i][1] ^ fingerprint).bit_count() <= RADIUS}
-
     def match(self, w: C.Words, s: np.ndarray, hit: np.ndarray, a: int, b: int, threshold: int) -> dict[int, list]:
         """item_id: [best shared, of, first word, words, windows] for the text whose words are a:b."""
         found: dict[int, list] = {}
+        long_enough = max(0, b - a - C.SHINGLE_WORDS + 1)
+        totals = np.concatenate([[0], np.cumsum(hit[a : a + long_enough])])
         for size in self.items:
             n = b - a
             if n < size:
                 continue
             if size >= C.SHINGLE_WORDS:
                 width = size - C.SHINGLE_WORDS + 1
-                own, ok = s[a : b - C.SHINGLE_WORDS + 1], hit[a : b - C.SHINGLE_WORDS + 1]
+                own, total = s[a : b - C.SHINGLE_WORDS + 1], totals
             else:
                 width, own = 1, C.grams(w.hash[a:b], size)
-                ok = self.holds(own)
-            total = np.concatenate([[0], np.cumsum(ok)])
+                total = np.concatenate([[0], np.cumsum(self.holds(own))])
             starts = np.flatnonzero(total[width:] - total[:-width] >= math.ceil(threshold * width / 100))
             if not len(starts):
                 continue
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(planes(own[starts[0] : starts[-1] + width]), axis=0)])
-            at = starts - starts[0]
-            for start, fingerprint in zip(starts.tolist(), simhash(sums[at + width] - sums[at]).tolist(), strict=True):
-                for i in self.candidates(size, fingerprint):
-                    item, _, run = self.items[size][i]
+            for start, fingerprint in _fingerprints(own, starts, width):
+                for i in self.near[size].within(fingerprint):
+                    item, run = self.items[size][i]
                     low, high = similarity(own[start : start + width], run)
                     if 100 * low >= threshold * high:
                         best = found.setdefault(item, [0, 1, start, size, 0])
@@ -142,7 +164,8 @@ def _parts(benchmark: DataFrame, item_id: str, text: str, part_bytes: int) -> It
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / part_bytes))
     for p in range(parts):
-        yield Index([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect()])
+        table = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).toArrow()  # part_bytes of text
+        yield Index(table.column("item_id").to_pylist(), table.column("text"))
 
 
 _DDL = "doc_id long, item_id long, similarity double, first_word long, n_words long, n_windows long"
@@ -157,6 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     texts shorter than the item. An item of fewer than five words is one shingle. Rows that repeat a document
     are each reported; items that repeat count once. Extra columns are not looked at; empty tables give no rows.
     """
+    C.small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for x in _parts(benchmark, item_id, item_text, part_bytes):
@@ -175,7 +199,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: int = 75, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, whose text matches no benchmark item."""
+    """The rows of docs, with all their columns, whose text matches no benchmark item.
+
+    Null and wordless texts and items match nothing; repeated rows are judged each; columns may have any names; an
+    empty table gives no rows, an empty benchmark all.
+    """
+    C.small_batches(docs.sparkSession)
     place = docs.columns.index(text)
     for x in _parts(benchmark, item_id, item_text, part_bytes):
         index = docs.sparkSession.sparkContext.broadcast(x)

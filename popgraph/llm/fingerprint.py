@@ -22,8 +22,8 @@ _SHIFT = 64 - 8
 PROBES = 6
 #: Documents of one range of ids that are brought together to find each one's neighbour.
 RANGE_DOCS = 2048
-#: Ranges up to which the table of their first ids is broadcast (32 bytes each).
-BROADCAST_RANGES = 1_000_000
+#: Ranges or cells up to which their table is broadcast (some 100 bytes each).
+BROADCAST_RANGES = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,6 +80,37 @@ def likeness(a: str | Column, b: str | Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), estimate)))
 
 
+def _ranged(docs: DataFrame, doc_id: str, range_docs: int, levels: int = 6) -> DataFrame:
+    """docs with __range, an array of numbers that ascends with doc_id: ranges of about range_docs rows, whatever the ids.
+
+    Ids are cut into cells of equal width, as many as give range_docs rows each if ids were even; cells that hold
+    over four times that are cut in the same way by what they hold, and so on. Only ids are read for that, and
+    counts per cell are what is shuffled. After levels cuts (each divides by the number of rows) a cell stays as it is.
+    """
+    start = F.array(F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    docs = docs.withColumn("__range", start)
+    ids = docs.select(F.col(doc_id).alias("__id"), "__range").where("__id is not null")
+    for depth in range(1, levels + 1):
+        cells = ids.where(F.size("__range") == depth).groupBy("__range").agg(F.min("__id").alias("__lo"), F.max("__id").alias("__hi"), F.count("*").alias("__n"))
+        dense = C.materialise(cells.where((F.col("__n") > 4 * range_docs) & (F.col("__hi") > F.col("__lo"))), "cells")
+        count = dense.count()
+        if not count:
+            break
+        width = F.ceil((F.col("__hi").cast("decimal(20,0)") - F.col("__lo") + 1) * range_docs / F.col("__n"))
+        dense = dense.select(F.col("__range").alias("__cell"), "__lo", width.cast("decimal(20,0)").alias("__width"))
+        dense = F.broadcast(dense) if count < BROADCAST_RANGES else dense
+        docs, ids = _cut(docs, doc_id, dense), _cut(ids, "__id", dense)
+    return docs
+
+
+def _cut(rows: DataFrame, doc_id: str, dense: DataFrame) -> DataFrame:
+    """rows whose __range is a cell of dense with a further number in it: which part of the cell they are in."""
+    columns = rows.columns
+    part = F.floor((F.col(doc_id).cast("decimal(20,0)") - F.col("__lo")) / F.col("__width")).cast("long")
+    longer = F.when(F.col("__cell").isNull(), F.col("__range")).otherwise(F.concat("__range", F.array(part)))
+    return rows.join(dense, F.col("__range") == F.col("__cell"), "left").withColumn("__range", longer).select(*columns)
+
+
 def with_next(docs: DataFrame, doc_id: str, columns: list[str], range_docs: int = RANGE_DOCS, add=None) -> DataFrame:
     """docs (doc_id and columns) with next_<column> of the row that follows by ascending doc_id; the first follows the last.
 
@@ -88,17 +119,19 @@ def with_next(docs: DataFrame, doc_id: str, columns: list[str], range_docs: int
     Rows that repeat an id follow each other in the order of columns; nulls come first. add(df) may append
     columns once rows are where they belong and before they are shuffled; they get their next_ as well.
     """
-    stats = docs.agg(F.min(doc_id).alias("lo"), F.max(doc_id).alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = stats["lo"] or 0, stats["hi"] or 0, stats["n"]
-    width = max(1, (hi - lo + 1) * range_docs // max(1, n))
-    place = F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(F.expr(f"div(cast({doc_id} as decimal(20,0)) - {lo}, {width})").cast("long"))
-    ranged = docs.withColumn("__range", place)
-    # one row for each range: its least id, and the range before
-    heads = ranged.groupBy("__range").agg(F.min(doc_id).alias("__id"))
-    order = Window.orderBy("__range")
-    heads = heads.withColumn("__before", F.lag("__range").over(order)).withColumn("__last", F.max("__range").over(Window.partitionBy(F.lit(0))))
-    heads = heads.withColumn("__wrap", F.col("__before").isNull()).select("__range", F.col("__id").alias("__first"), F.coalesce("__before", "__last").alias("__to"), "__wrap")
-    if (hi - lo) // width < BROADCAST_RANGES:
+    ranged = _ranged(docs.select(doc_id, *columns), doc_id, range_docs)
+    # one row for each range: its least id, and the range before, by windows over the ranges of one cell of the first cut
+    heads = ranged.groupBy("__range").agg(F.min(doc_id).alias("__first")).withColumn("__cell", F.slice("__range", 1, 2))
+    own = Window.partitionBy("__cell")
+    heads = heads.withColumn("__before", F.lag("__range").over(own.orderBy("__range")))
+    # one row for each such cell: the cell before ends with its last range
+    cells = heads.groupBy("__cell").agg(F.max("__range").alias("__end"))
+    first = Window.orderBy("__cell")
+    cells = cells.select("__cell", F.lag("__end").over(first).alias("__lead"), F.last("__end").over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__last"))
+    heads = heads.join(cells, "__cell")
+    heads = heads.select("__range", "__first", F.coalesce("__before", "__lead", "__last").alias("__to"), F.coalesce("__before", "__lead").isNull().alias("__wrap"))
+    heads = C.materialise(heads, "heads")
+    if heads.count() < BROADCAST_RANGES:
         heads = F.broadcast(heads)
     halo = ranged.join(heads, ["__range"]).where(F.col(doc_id).eqNullSafe(F.col("__first")))
     halo = halo.select(doc_id, *columns, F.col("__to").alias("__range"), F.when(F.col("__wrap"), 2).otherwise(1).alias("__extra"))

@@ -2,8 +2,9 @@
 
 Byte trigrams of lower-cased text fall into a fixed number of hashed classes; each language's class
 probabilities are counted over all learning documents, in tasks first and then summed. A document is a mixture
-of languages: EM finds the proportions that make its trigrams likeliest, for the one, two and three strongest
-languages, and the set with the best penalised likelihood is kept.
+of languages. Its set of languages grows from the single likeliest one by the language that would raise the
+likelihood fastest; EM finds each set's proportions, and a document's set grows as long as the penalised likelihood
+gained by one of the last two steps. The set with the best penalised likelihood is kept, whatever its size.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from . import _common as C
 
 CLASSES = 1 << 15
 SMOOTHING = 0.1
-MOST_LANGUAGES = 3
 ROUNDS = 12
 #: Trigrams overlap and repeat within words, so a document tells less than that many independent draws.
 DRAWS_PER_TRIGRAM = 0.2
+#: Numbers of one table of classes by languages that is worked on at once; a document's is CLASSES by languages at most.
+TABLE = 1 << 21
 _U = np.uint32
 _LETTER = r"\p{L}"
 
@@ -96,25 +98,50 @@ class Model:
             return lang, score
         key, n = np.unique(np.repeat(np.arange(len(docs)), size[docs]) * CLASSES + code, return_counts=True)
         row = key // CLASSES
-        first = np.searchsorted(row, np.arange(len(docs)))
-        p = self.p[key % CLASSES]
-        share, _ = self._em(p, n, row, first, np.ones((len(docs), len(self.names))), ROUNDS)
-        order = np.argsort(-share, axis=1, kind="stable")
-        best_cost, best = np.full(len(docs), np.inf), np.zeros_like(share)
-        for k in range(1, min(MOST_LANGUAGES, len(self.names)) + 1):
-            allowed = np.zeros_like(share)
-            np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-            own, like = self._em(p, n, row, first, allowed, ROUNDS if k > 1 else 0)
-            draws = DRAWS_PER_TRIGRAM * size[docs]
-            cost = -2 * DRAWS_PER_TRIGRAM * like + (k - 1) * np.log(np.maximum(draws, 2))
-            better = cost < best_cost
-            best_cost[better], best[better] = cost[better], own[better]
-        lang[docs], score[docs] = best.argmax(axis=1), best.max(axis=1)
+        first = np.append(np.searchsorted(row, np.arange(len(docs))), len(row))
+        a, most = 0, max(1, TABLE // len(self.names))
+        while a < len(docs):
+            b = max(a + 1, int(np.searchsorted(first, first[a] + most, "right")) - 1)
+            own = slice(first[a], first[b])
+            share = self._mixtures(self.p[key[own] % CLASSES], n[own], row[own] - a, first[a:b] - first[a], size[docs[a:b]])
+            lang[docs[a:b]], score[docs[a:b]] = share.argmax(axis=1), share.max(axis=1)
+            a = b
         return lang, score
 
+    def _mixtures(self, p, n, row, first, size) -> np.ndarray:
+        """Proportions (documents by languages) of the sets with the best penalised likelihood."""
+        docs, languages = len(first), len(self.names)
+        like = np.add.reduceat(n[:, None] * np.log(p), first, axis=0)
+        allowed = np.zeros((docs, languages))
+        allowed[np.arange(docs), like.argmax(axis=1)] = 1.0
+        best = allowed.copy()
+        best_cost = -2 * DRAWS_PER_TRIGRAM * like.max(axis=1)
+        share, left, found = best.copy(), np.arange(docs), np.ones(docs, int)  # found: the size of the best set so far
+        for k in range(2, languages + 1):
+            # the slope of the likelihood in each language's proportion
+            slope = np.add.reduceat(p * (n / (p * share[row]).sum(axis=1))[:, None], first, axis=0)
+            slope[allowed > 0] = -1.0
+            allowed[np.arange(len(left)), slope.argmax(axis=1)] = 1.0
+            share, like = self._em(p, n, row, first, allowed, ROUNDS)
+            draws = DRAWS_PER_TRIGRAM * size[left]
+            cost = -2 * DRAWS_PER_TRIGRAM * like + (k - 1) * np.log(np.maximum(draws, 2))
+            better = cost < best_cost[left]
+            best_cost[left[better]], best[left[better]], found[left[better]] = cost[better], share[better], k
+            go = k - found[left] < 2
+            if not go.any():
+                break
+            keep = go[row]
+            p, n, row = p[keep], n[keep], (np.cumsum(go) - 1)[row[keep]]
+            left, share, allowed = left[go], share[go], allowed[go]
+            first = np.searchsorted(row, np.arange(len(left)))
+        return best
+
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """Counts trigrams of all rows with a language. What comes back is CLASSES numbers a language at most."""
+    """Counts trigrams of all rows with a language. What comes back is CLASSES numbers a language at most.
+
+    Null texts and rows without a language are left out, repeated rows count each; an empty table gives a model without languages.
+    """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     table = rows.mapInArrow(_count, "lang string, class int, n long").groupBy("lang", "class").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, np.ndarray] = {}
@@ -133,6 +160,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     a letter is "und" with score 0, as is any text if no language was learnt; a text too short for a trigram is
     the language learnt first by name, with score 0. Other columns are not looked at; an empty table gives no rows.
     """
+    C.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

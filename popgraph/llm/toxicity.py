@@ -20,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _common as C
+
 #: Labelled documents that the lexicon is learnt from, at most, by the least hashes of their ids.
 FIT_DOCS = 20_000
-#: Entries of the lexicon, at most: the heaviest.
-LEXICON = 4_000
-#: An entry is in so many toxic documents at least, and in that share of them; so copies of one make none.
-LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 5, 0.01, 2.5
+#: Evidence for an entry: different toxic texts that hold it, its weight, and the share of toxic texts that hold it
+#: (an edited copy of a text is a different text, so a large group of copies must not make entries).
+LEAST_DOCS, LEAST_WEIGHT, LEAST_SHARE = 5, 2.5, 0.01
+#: Letters of the beginnings of words that are tried beside the whole words.
 PREFIXES = (4, 5, 6, 7)
+#: Terms counted in a task before they are handed on.
+TERMS = 300_000
 REJECT = 0.5
 
 #: What stands for a Latin letter, by the letter.
@@ -34,10 +38,6 @@ HOMOGLYPHS = {
     "a": "аαɑ@4", "b": "Ьβ8", "c": "сϲ", "d": "ԁ", "e": "еε3", "g": "ɡ9", "h": "һ", "i": "іιı1", "j": "ј", "k": "кκ", "l": "ӏ",
     "m": "м", "n": "ո", "o": "оοσ0", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ5$", "t": "тτ7", "u": "υս", "v": "ν", "w": "ԝω", "x": "хχ", "y": "уγ", "z": "ᴢ2",
 }
-#: Harmless phrases around words that insult elsewhere.
-EXCEPTIONS = ("trash can", "clown fish", "pond scum", "stupid question")
-
-
 def _table() -> dict[int, str]:
     table = {c: " " for c in range(128) if not chr(c).isalnum()}
     table |= {ord(other): letter for letter, others in HOMOGLYPHS.items() for other in others}
@@ -52,9 +52,9 @@ def fold(text: str) -> str:
     return f" {' '.join(text.lower().translate(_FOLD).split())} "
 
 
-def _terms(words: set[str]) -> set[str]:
+def _terms(words: set[str], prefixes: tuple[int, ...] = PREFIXES) -> set[str]:
     """Whole words as " word ", beginnings as " begin"."""
-    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) > k}
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in prefixes if len(w) > k}
 
 
 def _count(terms_of):
@@ -65,9 +65,9 @@ def _count(terms_of):
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic == 1].update(terms_of(fold(text or "")))
-            if len(seen[0]) + len(seen[1]) > 300_000:
-                yield _counted(seen)
-                seen = Counter(), Counter()
+                if len(seen[0]) + len(seen[1]) > TERMS:
+                    yield _counted(seen)
+                    seen = Counter(), Counter()
         yield _counted(seen)
 
     return count
@@ -81,7 +81,7 @@ def _counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
 @dataclass
 class Model:
     weights: dict[str, float]
-    exceptions: list[str] = field(default_factory=lambda: list(EXCEPTIONS))
+    exceptions: list[str] = field(default_factory=list)
     logistic: tuple[float, ...] = (-4.0, 1.0, 0.0)
 
     def automaton(self) -> ahocorasick.Automaton | None:
@@ -133,43 +133,55 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, label) of at most most labelled documents, those whose ids have the least hashes."""
+    """(text, label) of at most most labelled documents, those whose ids have the least hashes: one row for each id.
+
+    Of labels that repeat an id the greatest counts, of documents that do the one whose text sorts first.
+    """
     ids = labels.select(F.col(doc_id).cast("long").alias("k"), F.col(label).alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
     ids = ids.orderBy(F.xxhash64("k"), "k").limit(most)
     # at most `most` rows of two numbers
-    return docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("text")).join(F.broadcast(ids), "k").select("text", F.col("y").cast("int").alias(label))
+    rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("text")).join(F.broadcast(ids), "k")
+    return rows.groupBy("k").agg(F.min("text").alias("text"), F.first("y").cast("int").alias(label)).select("text", label)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = FIT_DOCS, lexicon: int = LEXICON) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = FIT_DOCS,
+    least_docs: int = LEAST_DOCS, least_weight: float = LEAST_WEIGHT, least_share: float = LEAST_SHARE, prefixes: tuple[int, ...] = PREFIXES, exceptions: tuple[str, ...] = (),
+) -> Model:
     """Learns from the documents that labels (doc_id, label 0/1) names, at most fit_docs of them.
 
-    Without labelled rows of both kinds the lexicon is empty and every score is low.
+    All terms with enough evidence become entries, however many they are; texts that repeat count once. exceptions
+    are phrases known beforehand to be harmless. Null texts are empty; other columns are not looked at. Without
+    labelled rows of both kinds the lexicon is empty and every score is low.
     """
-    from . import _common as C
-
+    C.small_batches(docs.sparkSession)
     rows = C.materialise(sample(docs, labels, label, fit_docs, doc_id, text), "labelled")
-    n_bad, n_good = rows.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) != 1)).first()
+    once = rows.dropDuplicates(["text", label])
+    n_bad, n_good = once.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) != 1)).first()
     if not n_bad or not n_good:
         return Model({})
     ddl = "term string, bad long, good long"
     ratio = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    counts = rows.mapInArrow(_count(lambda f: _terms(set(f.split()))), ddl).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = counts.withColumn("w", ratio).where((F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * n_bad)) & (F.col("w") >= LEAST_WEIGHT)).orderBy(F.desc(F.col("w") * F.col("bad")), "term").limit(lexicon)
+    counts = once.mapInArrow(_count(lambda f: _terms(set(f.split()), prefixes)), ddl).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sure = (F.col("bad") >= max(least_docs, least_share * n_bad)) & (F.col("w") >= least_weight)
+    # an entry takes least_docs of the distinct terms of at most fit_docs texts, so their number is bounded
+    best = counts.withColumn("w", ratio).where(sure).orderBy(F.desc(F.col("w") * F.col("bad")), "term")
     weights: dict[str, float] = {}
     for term, _, _, w in best.collect():
         # an entry whose beginning is there with no less weight adds nothing
         if not any(weights.get(term[:k], -1.0) >= w for k in range(2, len(term))):
             weights[term] = w
     model = Model(weights)
+    longest = max(map(len, weights), default=0)
 
     def phrases(folded: str) -> set[str]:
         words = folded.split()
-        hit = [any(f" {w} "[:k] in weights for k in range(2, len(w) + 3)) for w in words]
+        hit = [any(f" {w} "[:k] in weights for k in range(2, min(len(w) + 2, longest) + 1)) for w in words]
         return {f"{a} {b}" for a, b, p, q in zip(words, words[1:], hit, hit[1:], strict=False) if p or q}
 
-    around = rows.mapInArrow(_count(phrases), ddl).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    excuses = around.withColumn("w", ratio).where((F.col("good") >= LEAST_DOCS) & (F.col("w") < 0)).orderBy("w", "term").limit(lexicon)
-    model.exceptions = sorted({*EXCEPTIONS, *(r["term"] for r in excuses.collect())})
+    around = once.mapInArrow(_count(phrases), ddl).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    excuses = around.withColumn("w", ratio).where((F.col("good") >= least_docs) & (F.col("w") < 0)).select("term")
+    model.exceptions = sorted({*(fold(x).strip() for x in exceptions), *(r["term"] for r in excuses.collect())})
     seen = _scored(rows.withColumn("k", F.lit(0).cast("long")).select("k", "text", label), model, raw=True).toArrow()  # three numbers a labelled row
     x = np.column_stack([seen.column(1).to_numpy(), seen.column(2).to_numpy()])
     y = seen.column(3).to_numpy()
@@ -197,11 +209,17 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     Other columns are not looked at; repeated rows are scored each; an empty table gives no rows.
     """
+    C.small_batches(docs.sparkSession)
     return _scored(docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("text")), model).withColumnRenamed("k", "doc_id")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of docs, with all their columns, that score below reject."""
+    """The rows of docs, with all their columns, that score below reject.
+
+    Null and empty texts score low and stay; repeated rows are judged each; columns may have any names; an empty
+    table gives no rows.
+    """
+    C.small_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,14 @@ An index file holds the xxhash64 keys of all rules in ascending order, for each
 and the texts. Executors map it into memory and probe it by vectorised binary search with every rule that could
 fit a URL: each suffix of the host that begins at a label, with each path length that rules have. A hit counts
 only if the stored text equals the probe, so colliding digests do no harm.
+
+Rules beyond INDEX_BYTES make many such arrays, each with the digests of one range, which Spark sorts; probes go to
+the range of their digest and are looked up there in the same way.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import tempfile
@@ -20,8 +24,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of rules up to which the index is one file that every executor fetches; beyond, match_by_join().
-INDEX_BYTES = 256 << 20
+from . import _common as C
+
+#: Bytes of rules up to which the index is one file that every executor fetches; beyond, it is cut by digest into segments.
+INDEX_BYTES = 8 << 20
+#: Entries of rules of a segment, and URLs whose probes meet it at once.
+SEGMENT_ENTRIES = 100_000
 _HEAD = struct.Struct("<4sxxxxqqq")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,6 +64,11 @@ def index_bytes(rules: list[tuple[str, str]]) -> bytes:
         hosts.setdefault(host, set()).add(len(path.encode()))
     texts = [(h.encode(), ",".join(map(str, sorted(x, reverse=True))).encode()) for h, x in hosts.items()]
     texts += [((h + p).encode() + b"\0", v.encode()) for (h, p), v in verdicts.items()]  # the zero byte tells a rule from a host
+    return entries_bytes(texts)
+
+
+def entries_bytes(texts: list[tuple[bytes, bytes]]) -> bytes:
+    """The index file of (text, value)."""
     entries = sorted((xxhash.xxh64_intdigest(k), k, v) for k, v in texts)
     keys = np.array([e[0] for e in entries], "<u8")
     blob, at = bytearray(), [0]
@@ -69,12 +82,13 @@ def index_bytes(rules: list[tuple[str, str]]) -> bytes:
 
 
 class Index:
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            magic, self.n, keys, offsets = _HEAD.unpack(f.read(_HEAD.size))
+    """An index file that is mapped into memory, or its bytes."""
+
+    def __init__(self, path: str | bytes):
+        data = np.frombuffer(path, np.uint8) if isinstance(path, bytes) else np.memmap(path, np.uint8, "r")
+        magic, self.n, keys, offsets = _HEAD.unpack(data[: _HEAD.size].tobytes())
         if magic != b"URL1":
             raise ValueError("not an index of URL rules")
-        data = np.memmap(path, np.uint8, "r")
         at = _HEAD.size
         self.keys, self.offsets, self.blob = data[at : at + keys].view("<u8"), data[at + keys : at + keys + offsets].view("<i8"), data[at + keys + offsets :]
 
@@ -161,14 +175,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     the URL's path starts with the rule's; the longest rule wins, of equals the one with the longer host, and a
     rule given both ways blocks. No rule: rule is null and verdict is default. Null URLs and those without "://"
     have empty host and path, which no rule fits. Repeated rows are judged each; other columns are not looked
-    at; an empty table gives no rows. Rules of more than max_bytes are matched by a join.
+    at; an empty table gives no rows. Rules of more than max_bytes are looked up by segments.
     """
     rules = rules.select("rule", "verdict").where("rule is not null and verdict is not null and instr(rule, '/') > 1").distinct()
     host, path = url_parts(F.col(url))
     parts = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     size = rules.agg(F.sum(F.octet_length("rule") + 64)).first()[0] or 0
     if size > max_bytes:
-        return match_by_join(parts, rules, default)
+        return judge_by_segments(parts, rules, default)
+    C.small_batches(pages.sparkSession)
     name = _publish(pages.sparkSession, index_bytes([tuple(r) for r in rules.collect()]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,22 +197,46 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     return parts.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
 
 
-def match_by_join(parts: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """As judge_urls(), for rules of any number: hosts' suffixes are joined with the rules on their hosts and path prefixes.
+def _look_up(key: tuple, probes: pa.Table, entries: pa.Table) -> pa.Table:
+    """Of one range of digests: probes (segment, probe) with the value of the entry (segment, text, value) that is the same text."""
+    index = Index(entries_bytes(list(zip(entries.column("text").to_pylist(), entries.column("value").to_pylist(), strict=True))))
+    found = pa.array(index.find(probes.column("probe").to_pylist()), pa.binary())
+    out = pa.table({"probe": probes.column("probe").combine_chunks(), "value": found})
+    return out.filter(found.is_valid())
+
+
+def _in_segments(probes: DataFrame, entries: DataFrame, segments: int) -> DataFrame:
+    """(probe, value) of the distinct binary probes that entries (text, value) holds."""
+
+    def segment(text: str):
+        return F.pmod(F.xxhash64(text), F.lit(segments))
+
+    p = probes.distinct().withColumn("segment", segment("probe")).groupBy("segment")
+    return p.cogroup(entries.withColumn("segment", segment("text")).groupBy("segment")).applyInArrow(_look_up, "probe binary, value binary")
+
+
+def judge_by_segments(parts: DataFrame, rules: DataFrame, default: str = "allow", segment_entries: int = SEGMENT_ENTRIES) -> DataFrame:
+    """As judge_urls(), for rules of any number: nothing of them comes to the driver.
 
-    URLs are first made distinct; each is joined by (host suffix, prefix of the path), with one prefix for each
-    path length that rules of this host suffix have.
+    Hosts and URLs are made distinct before their probes are dealt to segments, whose number grows with both tables.
     """
-    rules = rules.select("rule", "verdict", F.translate(F.substring_index("rule", "/", 1), _UPPER, _LOWER).alias("h"), F.expr("substring(rule, instr(rule, '/'))").alias("p"))
+    rules = rules.select("verdict", F.translate(F.substring_index("rule", "/", 1), _UPPER, _LOWER).alias("h"), F.expr("substring(rule, instr(rule, '/'))").alias("p"))
     rules = rules.groupBy("h", "p").agg(F.min(F.when(F.col("verdict") == "block", "block")).alias("b"), F.min("verdict").alias("v")).select("h", "p", F.coalesce("b", "v").alias("verdict"))
-    lengths = rules.select("h", F.length("p").alias("n")).distinct()
-    urls = parts.select("host", "path").where("host != ''").distinct()
+    rules = C.materialise(rules, "url-rules")
+    urls = C.materialise(parts.select("host", "path").where("host != ''").distinct(), "urls")
+    segments = max(1, math.ceil(max(rules.count(), urls.count()) / segment_entries))
+    lengths = rules.groupBy("h").agg(F.concat_ws(",", F.collect_set(F.octet_length("p").cast("string"))).alias("value"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    tails = urls.select("host", "path", F.explode(suffixes).alias("h")).where("h != ''")
-    probes = tails.join(lengths, "h").where(F.length("path") >= F.col("n")).select("host", "path", "h", F.expr("left(path, n)").alias("p"))
-    hits = probes.join(rules, ["h", "p"])
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(F.concat("h", "p")), F.length("h"), "h", "p", "verdict")).alias("m"))
-    best = best.select("host", "path", F.concat("m.h", "m.p").alias("rule"), F.col("m.verdict").alias("v"))
-    out = parts.join(best, ["host", "path"], "left")
+    tails = urls.select("host").distinct().select("host", F.explode(suffixes).alias("h")).where("h != ''")
+    ruled = _in_segments(tails.select(F.col("h").cast("binary").alias("probe")), lengths.select(F.col("h").cast("binary").alias("text"), F.col("value").cast("binary").alias("value")), segments)
+    ruled = tails.join(ruled.select(F.col("probe").cast("string").alias("h"), F.explode(F.split(F.col("value").cast("string"), ",").cast("array<int>")).alias("n")), "h")
+    path = F.col("path").cast("binary")
+    tries = urls.join(ruled, "host").where(F.octet_length("path") >= F.col("n"))
+    tries = C.materialise(tries.select("host", "path", "h", F.concat(F.col("h").cast("binary"), F.substring(path, F.lit(1), F.col("n")), F.lit(b"\0")).alias("probe")), "tries")
+    entries = rules.select(F.concat(F.col("h").cast("binary"), F.col("p").cast("binary"), F.lit(b"\0")).alias("text"), F.col("verdict").cast("binary").alias("value"))
+    hits = tries.join(_in_segments(tries.select("probe"), entries, segments), "probe")
+    rule = F.expr("substring(probe, 1, octet_length(probe) - 1)").cast("string")
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("size"), F.length("h").alias("own"), rule.alias("rule"), F.col("value").cast("string").alias("v"))).alias("m"))
+    out = parts.join(best.select("host", "path", "m.rule", "m.v"), ["host", "path"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))

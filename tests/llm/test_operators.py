@@ -225,7 +225,7 @@ def test_url_rules(spark):
     pages = [(i, u) for i, u in enumerate(urls)] + [(6, "http://net/")]
     table = spark.createDataFrame(rules, "rule string, verdict string")
     d = clashing(spark.createDataFrame(pages, "page_id long, url string"))
-    for most in (1 << 20, 0):  # by the index, and by the join
+    for most in (1 << 20, 0):  # by one file, and by segments
         got = url_filter.judge_urls(d, table, max_bytes=most).collect()
         assert len(got) == len(pages)
         for r in got:
@@ -360,6 +360,15 @@ def test_next_row_over_ranges_nulls_and_repeats(spark):
     assert [following[t] for t in order] == [*order[1:], order[0]]
 
 
+def test_ranges_follow_clustered_ids(spark):
+    ids = [(shard << 40) + k for shard in range(5) for k in range(400)] + [7] * 30 + [-(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i, "t") for i in ids], DOCS)
+    sizes = [r["count"] for r in fingerprint._ranged(df, "doc_id", 20).groupBy("__range").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 80 and len(sizes) >= 50
+    got = fingerprint.with_next(df.select("doc_id", F.col("doc_id").alias("v")), "doc_id", ["v"], range_docs=20).collect()
+    assert sorted((r["v"], r["next_v"]) for r in got) == sorted(zip(sorted(ids), [*sorted(ids)[1:], min(ids)], strict=True))
+
+
 PROSE = {"en": "the of and to in that is was he for it with as his on be at by", "fr": "le la les des une est dans que pour qui sur pas plus avec son il au", "de": "der die und den von zu das mit sich des auf ist im dem nicht ein eine"}
 
 
