@@ -211,6 +211,13 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * _power(_BASE_INVERSE, n)[: n - k + 1] + _U(k))
 
 
+def spans(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of words begin:end."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power(_BASE, len(h)), out=total[1:])
+    return mix((total[end] - total[begin]) * _power(_BASE_INVERSE, len(h) + 1)[begin] + (end - begin).astype(np.uint64))
+
+
 def shingle_runs(w: Words, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """For each text the hashes of its k-word shingles in order; fewer words make one shingle, no word makes none."""
     s = grams(w.hash, k)

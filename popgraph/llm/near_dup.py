@@ -291,7 +291,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
-    """The rows of docs, with all their columns, less those that near-duplicate an earlier one (a lower doc_id)."""
+    """The rows of docs, with all their columns, less those that near-duplicate an earlier one (a lower doc_id).
+
+    Null and wordless texts and rows without doc_id stay; rows that repeat the id of a document that stays do so too;
+    columns may have any names; an empty table gives no rows.
+    """
     found = near_duplicates(docs, doc_id, text, threshold)
     gone = found.where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti").select(*docs.columns)

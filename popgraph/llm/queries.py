@@ -105,11 +105,31 @@ WITH d AS (
   SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)
 ), later AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM g) WHERE r > 1
+), split AS (
+  SELECT doc_id, l, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS l, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d))
+), lines AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l) AS k, array_to_string(ws, ' ') AS t, len(ws) AS n,
+    sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY l) - len(ws) AS a
+  FROM split WHERE len(ws) > 0
+), near AS (
+  SELECT *, max(CASE WHEN n >= 4 THEN k END) OVER (PARTITION BY doc_id ORDER BY k) AS back,
+    min(CASE WHEN n >= 4 THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead
+  FROM lines
+), all_lines AS (SELECT doc_id, list(t ORDER BY k) AS ts FROM lines GROUP BY doc_id),
+runs AS (
+  SELECT n.doc_id, a, n, back AS place, 'after' || array_to_string(ts[back:k], chr(10)) AS g FROM near n JOIN all_lines x ON x.doc_id = n.doc_id WHERE back IS NOT NULL
+  UNION ALL
+  SELECT n.doc_id, a, n, ahead, 'before' || array_to_string(ts[k:ahead], chr(10)) FROM near n JOIN all_lines x ON x.doc_id = n.doc_id WHERE ahead > k
+), gone_lines AS (
+  SELECT DISTINCT doc_id, unnest(range(CAST(a AS BIGINT) + 1, CAST(a AS BIGINT) + n + 1)) AS i
+  FROM (SELECT doc_id, a, n, row_number() OVER (PARTITION BY g ORDER BY doc_id, place) AS r FROM runs) WHERE r > 1
 ), w AS (
   SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM d
 ), f AS (
-  SELECT w.doc_id, w.i, part, coalesce(max(CASE WHEN l.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
-  FROM w LEFT JOIN later l ON l.doc_id = w.doc_id AND l.i = w.i
+  SELECT w.doc_id, w.i, part, greatest(CASE WHEN x.i IS NULL THEN 0 ELSE 1 END,
+    coalesce(max(CASE WHEN l.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0)) AS gone
+  FROM w LEFT JOIN later l ON l.doc_id = w.doc_id AND l.i = w.i LEFT JOIN gone_lines x ON x.doc_id = w.doc_id AND x.i = w.i
 ), k AS (
   SELECT doc_id, sum(gone) AS removed, coalesce(string_agg(part, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM f GROUP BY doc_id
 )

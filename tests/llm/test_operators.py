@@ -177,7 +177,7 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def brute_removed(docs, run):
+def brute_removed(docs, run, line=run_dedup.LINE):
     import re
 
     part = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -190,6 +190,23 @@ def brute_removed(docs, run):
             if g in seen:
                 gone[k : k + run] = [True] * run
             seen.add(g)
+        lines, at = [], 0
+        for x in (t or "").split("\n"):
+            if own := words_of(x):
+                lines.append((at, tuple(own)))
+                at += len(own)
+        for k, (_, own) in enumerate(lines):
+            if len(own) < line:
+                continue
+            for side in (1, -1):
+                m = k
+                while 0 <= m < len(lines) and (m == k or len(lines[m][1]) < line):
+                    g = (side, tuple(x for _, x in lines[min(k, m) : max(k, m) + 1]))
+                    if g in seen:
+                        a, far = lines[m]
+                        gone[a : a + len(far)] = [True] * len(far)
+                    seen.add(g)
+                    m += side
         head = (t or "")[: len(t or "") - len("".join(parts))]
         out.append((i, None if t is None else head + "".join(p for p, x in zip(parts, gone, strict=True) if not x), sum(gone)))
     return out
@@ -206,12 +223,17 @@ def test_repeated_runs_equal_brute_force(spark, run, gram):
             p = rng.randrange(len(w) + 1)
             w[p:p] = rng.choice(shared).split(" ")
         docs.append((100 + i, "  " * (i % 2) + rng.choice([" ", "\n", " \n"]).join(w)))
+    for i in range(40):
+        docs.append((200 + i, "\n".join(rng.choice(["all rights are kept", "menu", "home page", "", " sign in here now ", "Menu", sentence(rng, 3, 9), sentence(rng, 12)]) for _ in range(rng.randrange(9)))))
     docs.append((300, " ".join(["is", "one"] * run)))
     d = clashing(spark.createDataFrame(docs, DOCS))
     got = run_dedup.remove_repeats(d, run=run, gram=gram)
     assert got.columns == [*d.columns, "removed_words"]
     assert rows(got, "doc_id", "text", "removed_words") == brute_removed(docs, run)
+    assert sum(n for _, _, n in brute_removed(docs[-42:], run)) > 20
     assert run_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+    with pytest.raises(ValueError, match="removed_words"):
+        run_dedup.remove_repeats(d.withColumn("removed_words", F.lit(1)))
 
 
 def brute_rule(host, path, rules):
