@@ -54,14 +54,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return low, len(a) + len(b) - low
 
 
-def _fingerprints(s: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
-    """(start, SimHash) of windows of width shingles; starts ascend, and only shingles near them are looked at, some at a time."""
+def _fingerprints(s: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, SimHashes) of windows of width shingles; starts ascend, and only shingles near them are looked at, some at a time."""
     k = 0
     while k < len(starts):
         at = starts[k : np.searchsorted(starts, starts[k] + AT_ONCE)]
         sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(planes(s[at[0] : at[-1] + width]), axis=0, dtype=np.int32)])
         own = at - at[0]
-        yield from zip(at.tolist(), simhash(sums[own + width] - sums[own]).tolist(), strict=True)
+        yield at, simhash(sums[own + width] - sums[own])
         k += len(at)
 
 
@@ -76,18 +76,25 @@ class Near:
             self.order.append(np.argsort(value, kind="stable").astype(np.int32))
             self.begin.append(np.searchsorted(value[self.order[-1]], np.arange((1 << width) + 1)).astype(np.int32))
 
-    def within(self, fingerprint: int) -> list[int]:
-        """Items at most RADIUS bits away."""
-        seen = np.zeros(len(self.fingerprints), bool)
-        for at, width, order, begin, flipped in zip(_AT.tolist(), BLOCKS, self.order, self.begin, _FLIPPED, strict=True):
-            values = (fingerprint >> at & (1 << width) - 1) ^ flipped
-            lo, n = begin[values], begin[values + 1] - begin[values]
-            some = np.flatnonzero(n)
-            if len(some):
-                lo, n = lo[some], n[some]
-                seen[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
-        found = np.flatnonzero(seen)
-        return found[np.bitwise_count(self.fingerprints[found] ^ _U(fingerprint)) <= RADIUS].tolist()
+    def within(self, fingerprints: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place in fingerprints, item) of all that are at most RADIUS bits apart."""
+        items = len(self.fingerprints)
+        step = max(1, AT_ONCE * 64 // items)
+        for k in range(0, len(fingerprints), step):
+            f, near = fingerprints[k : k + step], []
+            for at, width, order, begin, flipped in zip(_AT.tolist(), BLOCKS, self.order, self.begin, _FLIPPED, strict=True):
+                values = ((f >> _U(at)) & _U((1 << width) - 1)).astype(np.int64)[:, None] ^ flipped
+                lo = begin[values]
+                n = (begin[values + 1] - lo).ravel()
+                total = int(n.sum())
+                if total:
+                    item = order[np.repeat(lo.ravel() - np.cumsum(n) + n, n) + np.arange(total)]
+                    window = np.repeat(np.arange(len(f)), n.reshape(len(f), -1).sum(axis=1))
+                    ok = np.bitwise_count(self.fingerprints[item] ^ f[window]) <= RADIUS
+                    near.append(window[ok] * items + item[ok])
+            if near:
+                for pair in np.unique(np.concatenate(near)).tolist():
+                    yield k + pair // items, pair % items
 
 
 class Index:
@@ -131,8 +138,9 @@ class Index:
             starts = np.flatnonzero(total[width:] - total[:-width] >= math.ceil(threshold * width / 100))
             if not len(starts):
                 continue
-            for start, fingerprint in _fingerprints(own, starts, width):
-                for i in self.near[size].within(fingerprint):
+            for at, fingerprints in _fingerprints(own, starts, width):
+                for window, i in self.near[size].within(fingerprints):
+                    start = int(at[window])
                     item, run = self.items[size][i]
                     low, high = similarity(own[start : start + width], run)
                     if 100 * low >= threshold * high:

@@ -9,6 +9,7 @@ the last, least filled sequences hold is then cut once more to fill what is left
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,15 +135,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     groups = max(1, math.ceil(size / group_bytes))
-    end = np.array([end_id], "<u4").tobytes()
+    end, job = np.array([end_id], "<u4").tobytes(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, known = TaskContext.get().partitionId(), ids_of(tokenizer)
+        group, known = TaskContext.get().partitionId(), ids_of(tokenizer, job)
         ids, all_ids = [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
             all_ids += [x + end for x in known.encode(batch.column(1).fill_null("").to_pylist())]
-        known.forget()
         # the order in which rows arrive may differ when a task is run again
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, len(all_ids[k]), all_ids[k]))
         rows, size = [], 0

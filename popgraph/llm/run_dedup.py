@@ -78,7 +78,7 @@ class _Lines:
         A run is a seed alone, or a seed with the lines on to one after it or back to one before it, of which none is long.
         """
         lo, hi = int(self.first[k]), int(self.first[k + 1])
-        at = lo + np.flatnonzero(seeds[lo:hi])
+        at = lo + np.flatnonzero(seeds)
         hashes, ends = [self.hash[at]], [at]
         for step, key in ((1, _AFTER), (-1, _BEFORE)):
             far, g = at, self.hash[at]
@@ -151,8 +151,8 @@ def _stretch(run: int, gram: int, line: int):
                 def is_hot(x: np.ndarray, known=known) -> np.ndarray:
                     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
-                seeds = (lines.end - lines.begin >= line) & is_hot(lines.hash)
-                g, s, e = lines.runs(k, seeds, base)
+                own = slice(lines.first[k], lines.first[k + 1])
+                g, s, e = lines.runs(k, (lines.end[own] - lines.begin[own] >= line) & is_hot(lines.hash[own]), base)
                 if len(h) >= run:
                     t = np.flatnonzero(is_hot(winnow(h, run, gram)[1]))
                     g, s, e = np.concatenate([g, C.rolling(h, run)[t]]), np.concatenate([s, t]), np.concatenate([e, t + run])

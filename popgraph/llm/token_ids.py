@@ -16,8 +16,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Cuts remembered within a task; those met later are encoded each time.
-REMEMBERED = 200_000
+#: Cuts remembered by a worker for the tasks of one job; those met later are encoded each time.
+REMEMBERED = 400_000
 #: Characters of text that are cut at once.
 AT_ONCE = 1 << 20
 #: White space other than the space and the line end.
@@ -60,10 +60,6 @@ class Ids:
             lo = hi
         return out
 
-    def forget(self) -> None:
-        """Lets go of the cuts seen, at the end of a task."""
-        self.known = {}
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         out, lo, size = [], 0, 0
@@ -105,7 +101,7 @@ class Ids:
         return out
 
 
-@lru_cache(maxsize=2)
-def ids_of(path: str) -> Ids:
-    """Ids as the library gives them by default."""
+@lru_cache(maxsize=1)
+def ids_of(path: str, job: str = "") -> Ids:
+    """Ids as the library gives them by default. A worker keeps one job's memory at a time."""
     return Ids(path, split_special=False)

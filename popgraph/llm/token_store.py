@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import struct
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -122,7 +123,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
     spark = docs.sparkSession
     C.small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
+    end, job = np.array([end_id], "<u4").tobytes(), uuid.uuid4().hex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, size, doc_ids, ids = TaskContext.get().partitionId(), 0, 0, [], []
@@ -130,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
         def full() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(_segment(part, segment, doc_ids, ids), _TYPES, strict=True)], _NAMES)
 
-        known = ids_of(tokenizer)
+        known = ids_of(tokenizer, job)
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), known.encode(batch.column(1).to_pylist()), strict=True):
                 if ids and size + len(x) > 2 * segment_bytes:
@@ -139,7 +140,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
                 doc_ids.append(d)
                 ids.append(x + end)
                 size += len(x) + 4
-        known.forget()
         if ids:
             yield full()
 
