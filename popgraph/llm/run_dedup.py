@@ -138,11 +138,11 @@ def _stretch(run: int, gram: int, line: int):
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, hot = _parts(batch.column(2))
-            gs, rows, starts, ends, owns = [], [], [], [], []
+            gs, rows, cuts, owns = [], [], [], []
 
             def full() -> pa.RecordBatch:
                 where = batch.column(0).take(pa.array(np.concatenate(rows)))
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).view(np.int64)), where, *(pa.array(np.concatenate(x)) for x in (starts, ends, owns))], ["g", "doc_id", "s", "e", "own"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).view(np.int64)), where, pa.array(np.concatenate(cuts)), pa.array(np.concatenate(owns))], ["g", "doc_id", "cut", "own"])
 
             size = 0
             for row, k, lines, base, h in _texts(batch, 1, line):
@@ -163,13 +163,13 @@ def _stretch(run: int, gram: int, line: int):
                 g, s, e = g[order], s[order], e[order]
                 own = np.ones(len(g), bool)
                 own[np.unique(g, return_index=True)[1]] = False
-                for x, y in zip((gs, rows, starts, ends, owns), (g, np.full(len(g), row), s.astype(np.int32), e.astype(np.int32), own), strict=True):
+                for x, y in zip((gs, rows, cuts, owns), (g, np.full(len(g), row), s << 32 | e, own), strict=True):
                     x.append(y)
                 size += len(g)
                 if size >= OUT_ROWS:
                     yield full()
                     size = 0
-                    for x in (gs, rows, starts, ends, owns):
+                    for x in (gs, rows, cuts, owns):
                         x.clear()
             if gs:
                 yield full()
@@ -185,20 +185,20 @@ def _cut(n_columns: int, text: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, column = batch.column(n_columns), batch.column(text)
-            removed = batch.column(n_columns + 2).fill_null(0).to_numpy(zero_copy_only=False).copy()
+            cuts, column = batch.column(n_columns), batch.column(text)
+            removed = batch.column(n_columns + 1).fill_null(0).to_numpy(zero_copy_only=False).copy()
             all_gone = np.flatnonzero(removed > 0)
             new = {int(k): _HEAD.match(column[int(k)].as_py())[0] for k in all_gone}
-            some = np.flatnonzero(starts.is_valid().to_numpy(zero_copy_only=False))
-            at, begins = _parts(starts.take(pa.array(some)))
-            ends = _parts(batch.column(n_columns + 1).take(pa.array(some)))[1]
+            some = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+            at, places = _parts(cuts.take(pa.array(some)))
             for w in C.words(column.take(pa.array(some)), lower=False, hashed=False):
                 for k in range(len(w.first) - 1):
                     i = w.rows[0] + k
                     first, last, begin, stop = w.first[k], w.first[k + 1], w.text_at[k], w.text_at[k + 1]
                     edge = np.zeros(last - first + 1, np.int64)
-                    np.add.at(edge, begins[at[i] : at[i + 1]], 1)
-                    np.add.at(edge, ends[at[i] : at[i + 1]], -1)
+                    own = places[at[i] : at[i + 1]]
+                    np.add.at(edge, own >> 32, 1)
+                    np.add.at(edge, own & 0xFFFFFFFF, -1)
                     keep = np.cumsum(edge)[:-1] == 0
                     removed[some[i]] = len(keep) - keep.sum()
                     # a word goes with the white space after it; that before the first word stays
@@ -217,23 +217,22 @@ def _cut(n_columns: int, text: int):
 
 
 def repeated_stretches(docs: DataFrame, run: int = RUN, gram: int = GRAM, line: int = LINE) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, starts, ends, whole): where later repeats begin and end, in words, or how many words there are if all is one."""
+    """docs (doc_id, text) to (doc_id, cuts, whole): where later repeats begin (times 2**32) and end, in words, or how many words there are if all is one."""
     marks = C.materialise(docs.where("doc_id is not null and text is not null").mapInArrow(_mark(run, gram, line), _MARK_DDL), "marks").where("whole is not null")
     long = marks.where(F.col("n_words") >= run)
     firsts = long.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"))
     placed = marks.join(firsts, ["whole", "n_words"], "left")
     whole = placed.where("doc_id > first").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
     ahead = placed.where("first is null or doc_id = first")
-    prints = C.materialise(ahead.select("doc_id", "again", F.explode("prints").alias("f")).select("doc_id", "f", F.when(F.array_contains("again", F.col("f")), 2).otherwise(1).alias("n")), "prints")
+    prints = ahead.select("doc_id", "again", F.explode("prints").alias("f")).select("doc_id", "f", F.when(F.array_contains("again", F.col("f")), 2).otherwise(1).alias("n"))
     common = prints.groupBy("f").agg(F.sum("n").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi or n > 1").select("f")
-    hot = prints.join(common, "f").groupBy("doc_id").agg(F.collect_set("f").alias("hot"))
+    hot = prints.select("doc_id", "f").join(common, "f").groupBy("doc_id").agg(F.collect_set("f").alias("hot"))
     grams = docs.where("text is not null").join(hot, "doc_id").select("doc_id", "text", "hot")
-    grams = C.materialise(grams.mapInArrow(_stretch(run, gram, line), "g long, doc_id long, s int, e int, own boolean"), "stretches")
+    grams = C.materialise(grams.mapInArrow(_stretch(run, gram, line), "g long, doc_id long, cut long, own boolean"), "stretches")
     least = grams.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g", "lo")
-    later = grams.where("not own").join(least, "g").where("doc_id > lo").select("doc_id", "s", "e").union(grams.where("own").select("doc_id", "s", "e"))
-    starts = later.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("cuts")).join(whole, "doc_id", "left_anti")
-    starts = starts.select("doc_id", F.col("cuts.s").alias("starts"), F.col("cuts.e").alias("ends"))
-    return starts.withColumn("whole", F.lit(None).cast("long")).union(whole.select("doc_id", F.lit(None).cast("array<int>"), F.lit(None).cast("array<int>"), "n_words"))
+    later = grams.where("not own").join(least, "g").where("doc_id > lo").select("doc_id", "cut").union(grams.where("own").select("doc_id", "cut"))
+    cuts = later.groupBy("doc_id").agg(F.collect_list("cut").alias("cuts")).join(whole, "doc_id", "left_anti")
+    return cuts.withColumn("whole", F.lit(None).cast("long")).union(whole.select("doc_id", F.lit(None).cast("array<long>"), "n_words"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, gram: int = GRAM, line: int = LINE, removed: str = "removed_words") -> DataFrame:
@@ -253,7 +252,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = repeated_stretches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, gram, line)
     # internal names, so that no column of docs can clash
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    joined = plain.join(found.select(F.col("doc_id").alias("k"), "starts", "ends", "whole"), F.col(f"c{docs.columns.index(doc_id)}").cast("long") == F.col("k"), "left").drop("k")
+    joined = plain.join(found.select(F.col("doc_id").alias("k"), "cuts", "whole"), F.col(f"c{docs.columns.index(doc_id)}").cast("long") == F.col("k"), "left").drop("k")
     n = len(docs.columns)
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [T.StructField(f"c{n}", T.LongType())])
     return joined.mapInArrow(_cut(n, docs.columns.index(text)), schema).toDF(*docs.columns, removed)
