@@ -46,14 +46,11 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(y[: len(y) - (width - n)], y[width - n :]) if width > n else y
 
 
-def winnow(h: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, least): the selected hashes of a text's word hashes, and for each run-word stretch its own."""
-    g = C.rolling(h, gram)
-    width = run - gram + 1
-    least = _sliding(g, width, True)
+def winnow(g: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints: of a text's hashes those that are the least of some width neighbours."""
     pad = np.zeros(width - 1, np.uint64)
-    reach = _sliding(np.concatenate([pad, least, pad]), width, False)
-    return g[reach == g], least
+    reach = _sliding(np.concatenate([pad, _sliding(g, width, True), pad]), width, False)
+    return g[reach == g]
 
 
 _MARK_DDL = "doc_id long, n_words long, whole long, prints array<long>, again array<long>"
@@ -62,7 +59,8 @@ _MARK_DDL = "doc_id long, n_words long, whole long, prints array<long>, again ar
 class _Lines:
     """Lines with words of a piece's texts: where their words begin and end, and their hashes. A line ends at a line feed."""
 
-    def __init__(self, w: C.Words):
+    def __init__(self, w: C.Words, line: int):
+        self.line = line
         number = np.searchsorted(np.flatnonzero(w.data == 10), w.start)
         first = np.ones(len(number), bool)
         first[1:] = number[1:] != number[:-1]
@@ -95,13 +93,9 @@ class _Lines:
         return np.concatenate(hashes), self.begin[far] - base, self.end[far] - base
 
 
-def _texts(batch: pa.RecordBatch, column: int, line: int) -> Iterator[tuple[int, int, _Lines, int, np.ndarray]]:
-    """(row, text of the piece, lines, first word, hashes of words)."""
+def _pieces(batch: pa.RecordBatch, column: int, line: int) -> Iterator[tuple[C.Words, _Lines]]:
     for w in C.words(batch.column(column), lower=False):
-        lines = _Lines(w)
-        lines.line = line
-        for k in range(len(w.first) - 1):
-            yield w.rows[0] + k, k, lines, int(w.first[k]), w.hash[w.first[k] : w.first[k + 1]]
+        yield w, _Lines(w, line)
 
 
 def _lists(x: list[np.ndarray]) -> pa.Array:
@@ -113,16 +107,20 @@ def _mark(run: int, gram: int, line: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, whole, prints, again = [], [], [], []
-            for _, k, lines, _, h in _texts(batch, 1, line):
-                n.append(len(h))
-                whole.append(int(C.rolling(h, len(h)).view(np.int64)[0]) if len(h) else None)
-                own = slice(lines.first[k], lines.first[k + 1])
-                found = lines.hash[own][lines.end[own] - lines.begin[own] >= line]
-                if len(h) >= run:
-                    found = np.concatenate([found, winnow(h, run, gram)[0]])
-                u, times = np.unique(found, return_counts=True)
-                prints.append(u)
-                again.append(u[times > 1])
+            for w, lines in _pieces(batch, 1, line):
+                size, grams = np.diff(w.first), C.rolling(w.hash, gram)
+                n += size.tolist()
+                whole += [x if m else None for x, m in zip(C.spans(w.hash, w.first[:-1], w.first[1:]).view(np.int64).tolist(), size.tolist(), strict=True)]
+                long = lines.end - lines.begin >= line
+                for k, m in enumerate(size.tolist()):
+                    own = slice(lines.first[k], lines.first[k + 1])
+                    found = lines.hash[own][long[own]]
+                    if m >= run:
+                        found = np.concatenate([found, winnow(grams[w.first[k] : w.first[k + 1] - gram + 1], run - gram + 1)])
+                    found = np.sort(found)
+                    same = found[1:] == found[:-1]
+                    prints.append(found[np.append(True, ~same)] if len(found) else found)
+                    again.append(np.unique(found[1:][same]))
             if n:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.int64()), _lists(prints), _lists(again)], ["doc_id", "n_words", "whole", "prints", "again"])
 
@@ -145,32 +143,35 @@ def _stretch(run: int, gram: int, line: int):
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).view(np.int64)), where, pa.array(np.concatenate(cuts)), pa.array(np.concatenate(owns))], ["g", "doc_id", "cut", "own"])
 
             size = 0
-            for row, k, lines, base, h in _texts(batch, 1, line):
-                known = np.sort(hot[at[row] : at[row + 1]].view(np.uint64))
-
-                def is_hot(x: np.ndarray, known=known) -> np.ndarray:
-                    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-                own = slice(lines.first[k], lines.first[k + 1])
-                g, s, e = lines.runs(k, (lines.end[own] - lines.begin[own] >= line) & is_hot(lines.hash[own]), base)
-                if len(h) >= run:
-                    t = np.flatnonzero(is_hot(winnow(h, run, gram)[1]))
-                    g, s, e = np.concatenate([g, C.rolling(h, run)[t]]), np.concatenate([s, t]), np.concatenate([e, t + run])
-                if not len(g):
-                    continue
-                # what repeats within the text is later there but at its first place, by the place in it
-                order = np.argsort(s, kind="stable")
-                g, s, e = g[order], s[order], e[order]
-                own = np.ones(len(g), bool)
-                own[np.unique(g, return_index=True)[1]] = False
-                for x, y in zip((gs, rows, cuts, owns), (g, np.full(len(g), row), s << 32 | e, own), strict=True):
-                    x.append(y)
-                size += len(g)
-                if size >= OUT_ROWS:
-                    yield full()
-                    size = 0
-                    for x in (gs, rows, cuts, owns):
-                        x.clear()
+            for w, lines in _pieces(batch, 1, line):
+                long, grams, runs = lines.end - lines.begin >= line, C.rolling(w.hash, gram), C.rolling(w.hash, run)
+                for k in range(len(w.first) - 1):
+                    row, base, stop = w.rows[0] + k, int(w.first[k]), int(w.first[k + 1])
+                    known = np.sort(hot[at[row] : at[row + 1]].view(np.uint64))
+
+                    def is_hot(x: np.ndarray, known=known) -> np.ndarray:
+                        return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+                    own = slice(lines.first[k], lines.first[k + 1])
+                    g, s, e = lines.runs(k, long[own] & is_hot(lines.hash[own]), base)
+                    if stop - base >= run:
+                        t = np.flatnonzero(is_hot(_sliding(grams[base : stop - gram + 1], run - gram + 1, True)))
+                        g, s, e = np.concatenate([g, runs[base + t]]), np.concatenate([s, t]), np.concatenate([e, t + run])
+                    if not len(g):
+                        continue
+                    # what repeats within the text is later there but at its first place, by the place in it
+                    order = np.argsort(s, kind="stable")
+                    g, s, e = g[order], s[order], e[order]
+                    own = np.ones(len(g), bool)
+                    own[np.unique(g, return_index=True)[1]] = False
+                    for x, y in zip((gs, rows, cuts, owns), (g, np.full(len(g), row), s << 32 | e, own), strict=True):
+                        x.append(y)
+                    size += len(g)
+                    if size >= OUT_ROWS:
+                        yield full()
+                        size = 0
+                        for x in (gs, rows, cuts, owns):
+                            x.clear()
             if gs:
                 yield full()
 
