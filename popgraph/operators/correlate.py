@@ -97,9 +97,9 @@ def density_graphs(pairs: DataFrame, densities: list[float], negative: bool = Tr
     above = coarse.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.desc("__b"))))
     at = (want.join(above, keys) if keys else want.crossJoin(above)).where((F.col("__upto") >= F.col("__m")) & (F.col("__upto") - F.col("__n") < F.col("__m")))
     at = at.select(*keys, "density", "__b", (F.col("__m") - (F.col("__upto") - F.col("__n"))).alias("__rest"))
-    near = pairs.withColumn("__b", bucket).join(F.broadcast(at), [*keys, "__b"])
-    by = Window.partitionBy(*keys, "density").orderBy(F.desc("__k"))
-    cut = near.withColumn("__r", F.row_number().over(by)).where(F.col("__r") == F.col("__rest")).select(*keys, "density", F.col("__k").alias("threshold"))
+    near = pairs.withColumn("__b", bucket).join(F.broadcast(at), [*keys, "__b"]).groupBy(*keys, "density", "__rest", "__k").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "density").orderBy(F.desc("__k")))
+    cut = near.withColumn("__upto", upto).where((F.col("__upto") >= F.col("__rest")) & (F.col("__upto") - F.col("__n") < F.col("__rest"))).select(*keys, "density", F.col("__k").alias("threshold"))
     cut = F.broadcast(cut)
     kept = (pairs.join(cut, keys) if keys else pairs.crossJoin(cut)).where(F.col("__k") >= F.col("threshold"))
     return kept.select(*keys, "density", "i", "j", "r", (F.col("r") if weighted else F.lit(1.0)).alias("w"), "threshold")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dims, signal
+from ..functions import dims, signal, tables
 from ..functions.checks import positive, positive_int
 
 TINY = float(np.finfo(np.float32).tiny)
@@ -222,10 +222,11 @@ def eeg_spectrogram(samples: DataFrame, aligned: DataFrame, fs: float, imaging_f
 
 def display_limits(df: DataFrame, column: str, low: float = 0.02, high: float = 0.99) -> DataFrame:
     """(lo, hi): percentiles of finite values; the range where they don't differ, and one more where that is a point."""
-    x = F.when(~F.isnan(column) & (F.abs(column) < float("inf")), F.col(column))
-    s = df.agg(F.percentile(x, low).alias("a"), F.percentile(x, high).alias("b"), F.min(x).alias("c"), F.max(x).alias("d"))
-    s = s.select(F.when(F.col("b") > F.col("a"), F.col("a")).otherwise(F.col("c")).alias("lo"), F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("d")).alias("hi"))
-    return s.select("lo", F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + 1).alias("hi"))
+    x = df.select(F.when(~F.isnan(column) & (F.abs(column) < float("inf")), F.col(column)).cast("double").alias("x"))
+    a, b, c, d = tables.quantiles(x, "x", [low, high, 0.0, 1.0])
+    lo, hi = (None, None) if a is None else (a, b) if b > a else (c, d)
+    hi = hi if lo is None or hi > lo else lo + 1
+    return df.sparkSession.createDataFrame([(lo, hi)], "lo double, hi double")
 
 
 def emg_envelope(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs: float, to: float = 500.0, band: tuple[float, float] = (20.0, 200.0), window_seconds: float = 0.25, display_fs: float = 20.0) -> DataFrame:

@@ -54,12 +54,11 @@ def moving_average(df: DataFrame, width: int, value: str = "v", order: str = "fr
     """
     width = max(1, positive_int(width, "width"))
     by = _by(keys)
-    n = F.count("*").over(by)
-    # one frame of rows for each possible width would not be a plan; a short sequence takes slices of its own array
+    # one frame of rows for each possible width would not be a plan; a short sequence, and only that, takes slices of its own array
     full = F.avg(value).over(by.orderBy(order).rowsBetween(-(width // 2), (width - 1) // 2))
-    i = F.row_number().over(by.orderBy(order)) - 1
-    own = F.when(n < width, F.collect_list(value).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    out = df.withColumn("__n", n).withColumn("__i", i).withColumn("__own", own).withColumn("__full", full)
+    out = df.withColumn("__n", F.count("*").over(by)).withColumn("__i", F.row_number().over(by.orderBy(order)) - 1).withColumn("__full", full)
+    own = F.collect_list(F.when(F.col("__n") < width, F.col(value)))
+    out = out.withColumn("__own", own.over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     lo = F.greatest(F.lit(0), F.col("__i") - F.floor(F.col("__n") / 2)).cast("int")
     hi = F.least(F.col("__n"), F.col("__i") + F.floor((F.col("__n") - 1) / 2) + 1).cast("int")
     part = F.slice("__own", lo + 1, hi - lo)
