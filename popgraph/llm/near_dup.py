@@ -31,6 +31,8 @@ from . import _common as C
 BANDS, ROWS = 51, 5
 #: Bands whose buckets link each member to a pivot at once; later steps take all bands.
 FIRST_BANDS = 6
+#: Pivots of its main component that those of a bucket outside it are held against, one after another.
+DRAWS = 1
 #: Members of a bucket up to which those outside its main component meet all others at once.
 SMALL = 64
 #: The least threshold, in hundredths, that these bands find with certainty enough.
@@ -202,7 +204,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes, (F.col("doc_id") == F.col("rep")) & (full.set_id == classes.set_id), "left_semi").dropDuplicates(["doc_id", "set_id"])
-    reps = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *_BITS, "bands")
+    reps = reps.select(F.col("doc_id").alias("id"), "set_id", F.col("n_shingles").alias("n"), *_BITS, "bands")
 
     spread = reps.select("id", F.posexplode("bands").alias("pos", "band"))
     pivots = spread.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("band", "id"), "id"))["id"].alias("pivot")).where("size > 1")
@@ -216,10 +218,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id"))
         return C.materialise(near.where(_near_enough(threshold, "x", "y")).select("a", "b").distinct(), "tried")
 
-    def torn(label: DataFrame) -> DataFrame:
-        """Members of buckets that more than one component has part in, with the largest part and a pivot of it."""
+    def torn(label: DataFrame, draw: int = 0) -> DataFrame:
+        """Members of buckets that more than one component has part in, with the largest part and a pivot of it, another for each draw."""
         placed = members.join(label, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
-        part = placed.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("band", "id"), "id"))["id"].alias("pivot"))
+        part = placed.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("band", "id", F.lit(draw)), "id"))["id"].alias("pivot"))
         most = part.groupBy("band").agg(F.count("*").alias("parts"), F.sum("size").alias("members"), F.max(F.struct("size", "comp", "pivot")).alias("m")).where("parts > 1")
         return placed.join(most.select("band", "members", F.col("m.comp").alias("main"), F.col("m.pivot").alias("pivot")), "band")
 
@@ -227,18 +229,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # first, a few bands' members with their bucket's pivot
     tried = estimated(members.where(F.col("pos") < FIRST_BANDS).where("id != pivot").select(*pair).distinct())
     links = confirm(tried)
-    # then, over all bands, who is not in the component of most of a bucket, with a pivot of that
-    more = estimated(torn(C.materialise(components(links, 2), "labels")).where("comp != main").select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
-    links, tried = links.union(confirm(more)), tried.union(more)
+    # then, over all bands, who is not in the component of most of a bucket, with a pivot of that; and again with others
+    for draw in range(DRAWS):
+        more = estimated(torn(C.materialise(components(links, 2), "labels"), draw).where("comp != main").select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+        links, tried = links.union(confirm(more)), tried.union(more)
     # last, who is still outside, with others of the bucket
-    open_ = C.materialise(torn(C.materialise(components(links, 2), "labels")).select("band", "id", "comp", "main", "members"), "open")
+    open_ = C.materialise(torn(C.materialise(components(links), "labels")).select("band", "id", "comp", "main", "members"), "open")
     few = C.materialise(open_.where(F.col("members") <= SMALL).join(reps, "id"), "few")
     x, y = few.where("comp != main").alias("x"), few.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _near_enough(threshold, "x", "y") & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")))  # a pair counts in one of its bands
     met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     many = open_.where(F.col("members") > SMALL).groupBy("id").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("outside"))
     many = C.materialise(many, "many")
-    rest = met if many.isEmpty() else met.union(estimated(_share_rare(many, docs, threshold)))
+    rest = met if many.isEmpty() else met.union(_share_rare(many, docs, sketches, threshold))
     rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
     label = C.materialise(components(links.union(confirm(C.materialise(rest, "tried")))), "labels")
 
@@ -249,26 +252,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-_SHINGLE_DDL = "id long, comp long, outside boolean, n int, whole long, g long"
+_SHINGLE_DDL = "id long, comp long, outside boolean, n int, whole binary, g long"
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, comp, outside, text) to one row per distinct shingle, with the size of the set and a hash of it."""
+    """Rows (id, comp, outside, text) to one row per distinct shingle, with the size of the set and its hash."""
     for batch in batches:
         for w in C.words(batch.column(3)):
             sets = [np.unique(run) for run in C.shingle_runs(w)]
             size = np.array([len(x) for x in sets])
             at = pa.array(np.repeat(np.arange(w.rows[0], w.rows[1]), size))
-            whole = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            columns = [*(batch.column(i).take(at) for i in range(3)), *map(pa.array, (np.repeat(size, size).astype(np.int32), np.repeat(whole, size), np.concatenate(sets).view(np.int64)))]
+            whole = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()).take(pa.array(np.repeat(np.arange(len(sets)), size)))
+            columns = [*(batch.column(i).take(at) for i in range(3)), pa.array(np.repeat(size, size).astype(np.int32)), whole, pa.array(np.concatenate(sets).view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "comp", "outside", "n", "whole", "g"])
 
 
-def _share_rare(ids: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+def _share_rare(ids: DataFrame, docs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of ids (id, comp, outside) of two components, one of them outside, that share a shingle rare enough in both sets.
 
     Shingles are ordered by the number of sets that hold them, then by hash; those of one set alone are left out, having taken
-    their places in that order. No pair that reaches the threshold is missed.
+    their places in that order. A pair also needs room for the overlap it must have after the shingle's place in either set (its
+    first shared one has it), and bitmaps that leave room for the threshold. No pair that reaches it is missed for its shingles.
     """
     texts = docs.toDF("id", "text").join(ids, "id").select("id", "comp", "outside", "text")
     rows = C.materialise(texts.mapInArrow(_shingles, _SHINGLE_DDL).dropDuplicates(["id", "whole", "g"]), "shingles")
@@ -277,10 +281,14 @@ def _share_rare(ids: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     own = rows.join(often, "g").groupBy("id", "whole").agg(F.first("comp").alias("comp"), F.first("outside").alias("outside"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "g"))).alias("gs"))
     alone = n - F.size("gs")
     wide, narrow = (F.greatest(F.lit(0), n - F.ceil(least) + 1 - alone).cast("int") for least in (t * n / 100, 2 * t * n / (100 + t)))
-    own = C.materialise(own.select("id", "comp", "outside", "n", narrow.alias("narrow"), F.slice("gs.g", F.lit(1), wide).alias("gs")), "rare")
-    own = own.select("id", "comp", "outside", "n", "narrow", F.posexplode("gs").alias("place", "g"))
+    own = own.select("id", "whole", "comp", "outside", "n", narrow.alias("narrow"), F.size("gs").alias("common"), F.slice("gs.g", F.lit(1), wide).alias("gs"))
+    bits = sketches.select("id", F.col("set_id").alias("whole"), *_BITS)
+    own = C.materialise(own.join(bits, ["id", "whole"]), "rare")
+    own = own.select("id", "comp", "outside", "n", "common", "narrow", *_BITS, F.posexplode("gs").alias("place", "g"))
     x, y = own.alias("x"), own.where("place < narrow").alias("y")
-    pairs = x.join(y, F.col("x.g") == F.col("y.g")).where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.outside") | F.col("y.outside")) & (F.col("x.n") >= F.col("y.n")) & (100 * F.col("y.n") >= threshold * F.col("x.n")))
+    room = F.least(F.col("x.common") - F.col("x.place"), F.col("y.common") - F.col("y.place"))
+    apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.outside") | F.col("y.outside")) & (F.col("x.n") >= F.col("y.n"))
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & ((100 + threshold) * room >= threshold * (F.col("x.n") + F.col("y.n"))) & _near_enough(threshold, "x", "y"))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 

@@ -104,6 +104,28 @@ def test_near_duplicates_of_a_large_group(spark):
     assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(docs)
 
 
+def test_large_buckets_are_settled_by_rare_shingles(spark, monkeypatch):
+    """Families whose texts share buckets and are linked in part, with the direct way for small buckets out of the way."""
+    monkeypatch.setattr(near_dup, "SMALL", 1)
+    rng = random.Random(8)
+    docs = []
+    for size in (40, 90):
+        w = sentence(rng, size, 10**6).split(" ")
+        for _ in range(60):
+            x = list(w)
+            for p in rng.sample(range(size), rng.randrange(size // 9)):
+                x[p] = f"v{rng.randrange(60)}"
+            docs.append((len(docs), " ".join(x)))
+    docs += [(3, "another text of the same document id with some more words to it"), (500, docs[7][1]), (501, None)]
+    seen = []
+    monkeypatch.setattr(near_dup, "_share_rare", lambda *a, f=near_dup._share_rare: seen.append(1) or f(*a))
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, DOCS))
+    want = {i: (c, k) for i, _, c, k in brute_components([d for d in docs if d != docs[-3]])}
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in got.collect()} == want and seen
+    with pytest.raises(ValueError, match="threshold"):
+        near_dup.near_duplicates(spark.createDataFrame(docs, DOCS), threshold=50)
+
+
 def test_near_duplicates_of_empty_repeated_and_idless_rows(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     t = "a b c d e f g h"
