@@ -35,6 +35,8 @@ FIRST_BANDS = 6
 DRAWS = 1
 #: Members of a bucket up to which those outside its main component meet all others at once.
 SMALL = 64
+#: Classes of shingles that are counted to tell rare ones from common ones.
+CLASSES = 1 << 20
 #: The least threshold, in hundredths, that these bands find with certainty enough.
 LEAST_THRESHOLD = 75
 SAMPLES = BANDS * ROWS
@@ -252,41 +254,65 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-_SHINGLE_DDL = "id long, comp long, outside boolean, n int, whole binary, g long"
-
-
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, comp, outside, text) to one row per distinct shingle, with the size of the set and its hash."""
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (.., text): how many of this task's sets have a shingle in each class."""
+    seen = np.zeros(CLASSES, np.int64)
     for batch in batches:
         for w in C.words(batch.column(3)):
-            sets = [np.unique(run) for run in C.shingle_runs(w)]
-            size = np.array([len(x) for x in sets])
-            at = pa.array(np.repeat(np.arange(w.rows[0], w.rows[1]), size))
-            whole = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()).take(pa.array(np.repeat(np.arange(len(sets)), size)))
-            columns = [*(batch.column(i).take(at) for i in range(3)), pa.array(np.repeat(size, size).astype(np.int32)), whole, pa.array(np.concatenate(sets).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "comp", "outside", "n", "whole", "g"])
+            for run in C.shingle_runs(w):
+                np.add.at(seen, (np.unique(run) & _U(CLASSES - 1)).astype(np.int64), 1)
+    some = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["class", "n"])
+
+
+_PREFIX_DDL = "id long, comp long, outside boolean, n long, narrow int, whole binary, place int, g long"
+
+
+def _prefixes(often, threshold: int):
+    """Rows (id, comp, outside, text) to the rarest n - ceil(t n) + 1 shingles of each set; narrow is how many of them a smaller set needs."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = often.value
+        for batch in batches:
+            for w in C.words(batch.column(3)):
+                rows, n, narrow, whole, gs = [], [], [], [], []
+                for k, run in enumerate(C.shingle_runs(w)):
+                    u = np.unique(run)
+                    if len(u):
+                        order = np.lexsort((u, counts[(u & _U(CLASSES - 1)).astype(np.int64)]))
+                        gs.append(u[order[: len(u) + 1 + -threshold * len(u) // 100]].view(np.int64))
+                        rows.append(w.rows[0] + k)
+                        n.append(len(u))
+                        narrow.append(len(u) + 1 + -2 * threshold * len(u) // (100 + threshold))
+                        whole.append(xxhash.xxh3_128_digest(u.tobytes()))
+                if gs:
+                    size = np.array([len(x) for x in gs])
+                    at = pa.array(np.repeat(np.arange(len(gs)), size))
+                    columns = [batch.column(i).take(pa.array(rows)).take(at) for i in range(3)]
+                    columns += [pa.array(n, pa.int64()).take(at), pa.array(narrow, pa.int32()).take(at), pa.array(whole, pa.binary()).take(at)]
+                    places = np.concatenate([np.arange(x) for x in size]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(places), pa.array(np.concatenate(gs))], [x.split()[0] for x in _PREFIX_DDL.split(", ")])
+
+    return prefixes
 
 
 def _share_rare(ids: DataFrame, docs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of ids (id, comp, outside) of two components, one of them outside, that share a shingle rare enough in both sets.
 
-    Shingles are ordered by the number of sets that hold them, then by hash; those of one set alone are left out, having taken
-    their places in that order. A pair also needs room for the overlap it must have after the shingle's place in either set (its
-    first shared one has it), and bitmaps that leave room for the threshold. No pair that reaches it is missed for its shingles.
+    Shingles are ordered by how many sets have one of their class (CLASSES numbers are counted and broadcast), then by hash: any
+    order loses no pair, and this one puts what many share last. A pair also needs room for the overlap it must have after the
+    shingle's place in either set (its first shared one has it), and bitmaps that leave room for the threshold.
     """
-    texts = docs.toDF("id", "text").join(ids, "id").select("id", "comp", "outside", "text")
-    rows = C.materialise(texts.mapInArrow(_shingles, _SHINGLE_DDL).dropDuplicates(["id", "whole", "g"]), "shingles")
-    often = rows.groupBy("g").agg(F.count("*").alias("sets")).where("sets > 1")
-    t, n = F.lit(threshold), F.col("n")
-    own = rows.join(often, "g").groupBy("id", "whole").agg(F.first("comp").alias("comp"), F.first("outside").alias("outside"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "g"))).alias("gs"))
-    alone = n - F.size("gs")
-    wide, narrow = (F.greatest(F.lit(0), n - F.ceil(least) + 1 - alone).cast("int") for least in (t * n / 100, 2 * t * n / (100 + t)))
-    own = own.select("id", "whole", "comp", "outside", "n", narrow.alias("narrow"), F.size("gs").alias("common"), F.slice("gs.g", F.lit(1), wide).alias("gs"))
+    spark = docs.sparkSession
+    texts = C.materialise(docs.toDF("id", "text").join(ids, "id").select("id", "comp", "outside", "text"), "rest")
+    table = texts.mapInArrow(_tally, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()  # CLASSES rows at most
+    counts = np.zeros(CLASSES, np.int64)
+    counts[table.column("class").to_numpy()] = table.column("n").to_numpy()
+    own = texts.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), threshold), _PREFIX_DDL).dropDuplicates(["id", "whole", "g"])
     bits = sketches.select("id", F.col("set_id").alias("whole"), *_BITS)
     own = C.materialise(own.join(bits, ["id", "whole"]), "rare")
-    own = own.select("id", "comp", "outside", "n", "common", "narrow", *_BITS, F.posexplode("gs").alias("place", "g"))
     x, y = own.alias("x"), own.where("place < narrow").alias("y")
-    room = F.least(F.col("x.common") - F.col("x.place"), F.col("y.common") - F.col("y.place"))
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.outside") | F.col("y.outside")) & (F.col("x.n") >= F.col("y.n"))
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & ((100 + threshold) * room >= threshold * (F.col("x.n") + F.col("y.n"))) & _near_enough(threshold, "x", "y"))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
