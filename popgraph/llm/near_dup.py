@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = estimated(torn(C.materialise(components(links, 2), "labels"), draw).where("comp != main").select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
         links, tried = links.union(confirm(more)), tried.union(more)
     # last, who is still outside, with others of the bucket
-    open_ = C.materialise(torn(C.materialise(components(links), "labels")).select("band", "id", "comp", "main", "members"), "open")
+    label = C.materialise(components(links), "labels")
+    open_ = C.materialise(torn(label).select("band", "id", "comp", "main", "members"), "open")
     few = C.materialise(open_.where(F.col("members") <= SMALL).join(reps, "id"), "few")
     x, y = few.where("comp != main").alias("x"), few.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _near_enough(threshold, "x", "y") & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")))  # a pair counts in one of its bands
@@ -245,7 +246,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     many = C.materialise(many, "many")
     rest = met if many.isEmpty() else met.union(_share_rare(many, docs, sketches, threshold))
     rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
-    label = C.materialise(components(links.union(confirm(C.materialise(rest, "tried")))), "labels")
+    links = confirm(C.materialise(rest, "tried"))
+    if not links.isEmpty():
+        label = C.materialise(components(label.where("node != component").toDF("a", "b").union(links)), "labels")
 
     own = classes.join(label, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("comp"))
     placed = signed.drop("bands", *_BITS).join(own, "set_id", "left")
@@ -301,7 +304,8 @@ def _share_rare(ids: DataFrame, docs: DataFrame, sketches: DataFrame, threshold:
 
     Shingles are ordered by how many sets have one of their class (CLASSES numbers are counted and broadcast), then by hash: any
     order loses no pair, and this one puts what many share last. A pair also needs room for the overlap it must have after the
-    shingle's place in either set (its first shared one has it), and bitmaps that leave room for the threshold.
+    shingle's place in either set (its first shared one has it), and bitmaps that leave room for the threshold. Shingles of one
+    component alone go before the join, and in it only those outside meet all, so a large component never meets itself.
     """
     spark = docs.sparkSession
     texts = C.materialise(docs.toDF("id", "text").join(ids, "id").select("id", "comp", "outside", "text"), "rest")
@@ -309,13 +313,17 @@ def _share_rare(ids: DataFrame, docs: DataFrame, sketches: DataFrame, threshold:
     counts = np.zeros(CLASSES, np.int64)
     counts[table.column("class").to_numpy()] = table.column("n").to_numpy()
     own = texts.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), threshold), _PREFIX_DDL).dropDuplicates(["id", "whole", "g"])
+    own = C.materialise(own, "prefixes")
+    shared = own.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("outside").alias("met")).where("lo < hi and met")
     bits = sketches.select("id", F.col("set_id").alias("whole"), *_BITS)
-    own = C.materialise(own.join(bits, ["id", "whole"]), "rare")
-    x, y = own.alias("x"), own.where("place < narrow").alias("y")
+    own = C.materialise(own.join(shared, "g", "left_semi").join(bits, ["id", "whole"]), "rare")
     room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.outside") | F.col("y.outside")) & (F.col("x.n") >= F.col("y.n"))
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & ((100 + threshold) * room >= threshold * (F.col("x.n") + F.col("y.n"))) & _near_enough(threshold, "x", "y"))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") >= F.col("y.n"))
+    on = (F.col("x.g") == F.col("y.g")) & apart & ((100 + threshold) * room >= threshold * (F.col("x.n") + F.col("y.n"))) & _near_enough(threshold, "x", "y")
+    small = own.where("place < narrow")
+    sides = (own.where("outside"), small), (own.where("not outside"), small.where("outside"))
+    pairs = reduce(DataFrame.union, (x.alias("x").join(y.alias("y"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")) for x, y in sides))
+    return pairs.distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
