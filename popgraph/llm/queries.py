@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontaminate, fingerprint, language_mix, near_dup, packing, quality_gam, run_dedup, token_store, toxicity, url_filter
+from . import decontaminate, fingerprint, language_mix, near_dup, packing, quality_gam, run_dedup, spelling, token_store, toxicity, url_filter
 
 
 #: File of /opt/tokenizers that operators 5 and 10 take ids from.
@@ -74,6 +74,16 @@ def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_partenum_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the runs whose crc32 31 divides one code point goes first; what is left of them all is grouped."""
+    found = spelling.runs(_table(spark, sf_dir, "documents"))
+    h = spelling.crc32_of(F.col("doc_id"), F.col("word"))
+    at = (h % F.length("word")).cast("int")
+    less = F.concat(F.substr("word", F.lit(1), at), F.substr("word", at + 2))
+    found = found.select(F.when(h % 31 == 0, less).otherwise(F.col("word")).alias("word"))
+    return spelling.group_variants(spelling.count_words(found))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -153,6 +163,40 @@ WITH u AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id
 """
 
+#: View crc_table, and crc32 (reflected polynomial 0xEDB88320) of a text over it.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)
+)"""
+
+
+def _crc_sql(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, CAST(length({digits}) AS BIGINT), 2), lambda p: CAST('0x' || substr({digits}, p, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), counted AS (SELECT doc_id, w, count(*) AS c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS k FROM found GROUP BY ALL),
+hashed AS (SELECT w, c, {_crc_sql("k")} AS h FROM counted, crc_table),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2
+), less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.rest
+), best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY 1),
+forms AS (SELECT b.word, n_near, m, min(other) AS other FROM best b JOIN near USING (word, m) GROUP BY 1, 2, 3),
+out AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN forms USING (word)
+), walk(word, root) AS (SELECT word, word FROM out UNION SELECT walk.word, out.form FROM walk JOIN out ON out.word = walk.root WHERE out.form IS NOT NULL)
+SELECT o.word, o.form, w.root, o.n, CAST(o.n_near AS BIGINT) AS n_near, o.form_n
+FROM out o JOIN (SELECT word, root FROM walk WHERE root NOT IN (SELECT word FROM out WHERE form IS NOT NULL)) w ON w.word = o.word
+"""
+
 QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op2_simhash_decontamination": op2_simhash_decontamination,
@@ -164,10 +208,12 @@ QUERIES = {
     "op8_language_mixture": op8_language_mixture,
     "op9_lexicon_toxicity": op9_lexicon_toxicity,
     "op10_elias_fano_tokens": op10_elias_fano_tokens,
+    "op11_partenum_spelling": op11_partenum_spelling,
 }
 
 SQL = {
     "op1_minhash_odd_sketch": OP1_SQL,
     "op3_winnowing_line_dedup": OP3_SQL,
     "op4_sorted_digest_urls": OP4_SQL,
+    "op11_partenum_spelling": OP11_SQL,
 }
