@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import decontaminate, fingerprint, language_mix, near_dup, packing, quality_gam, run_dedup, spelling, token_store, toxicity, url_filter
+from . import decontaminate, fingerprint, language_mix, near_dup, packing, quality_gam, run_dedup, sharding, spelling, token_store, toxicity, turn_repair, url_filter
 
 
 #: File of /opt/tokenizers that operators 5 and 10 take ids from.
@@ -84,6 +86,27 @@ def op11_partenum_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.count_words(found))
 
 
+def op12_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """What operator 13's contract does to conversations before they are repaired."""
+    key = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (spelling.crc32_of(*key) % 20).alias("h")).where("h <> 0")
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.when(F.col("h") == 3, 2).otherwise(1).alias("copies"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
+
+
+def op13_viterbi_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    found = turn_repair.digest(turn_repair.repair(damaged_turns(turns))).withColumnRenamed("conv_id", "k")
+    out = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("k")), "left").drop("k")
+    return out.fillna(0, out.columns[1:7]).fillna({"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()})
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -209,6 +232,8 @@ QUERIES = {
     "op9_lexicon_toxicity": op9_lexicon_toxicity,
     "op10_elias_fano_tokens": op10_elias_fano_tokens,
     "op11_partenum_spelling": op11_partenum_spelling,
+    "op12_best_fit_shards": op12_best_fit_shards,
+    "op13_viterbi_turn_repair": op13_viterbi_turn_repair,
 }
 
 SQL = {
