@@ -21,7 +21,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a written table, once nothing that is still to run reads it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +37,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is handed to every task, at most.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, name: str = "small") -> DataFrame:
+    """df as a written table; marked for broadcast if it has BROADCAST_ROWS rows or fewer, else joined like any other."""
+    df = cut(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles of a column, linear between neighbours; nulls and NaN are left out, and of no values they are null.
 

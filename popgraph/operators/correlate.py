@@ -7,12 +7,15 @@ block it meets, so that what is shuffled grows with nodes times blocks, not with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import positive_int
+from ..functions.tables import cut, small
 
 BLOCK = 512
 #: Decimals that correlations are rounded to before they are ranked, so that equal ones tie.
@@ -35,40 +38,54 @@ def standardised(m: np.ndarray) -> np.ndarray:
     return m
 
 
-def correlations(vectors: DataFrame, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """(keys, i, j, r) for i < j: Pearson's r, clipped to [-1, 1] and rounded; 0 where a node does not vary.
+def _products(vectors: DataFrame, keys: list[str], block: int, make: Callable[..., pd.DataFrame], ddl: str, of_key: DataFrame | None = None) -> DataFrame:
+    """What make(pdf, ids, other ids, r, counted) gives for each pair of blocks, after the keys' columns.
 
-    vectors is (keys, node_id, v), with v of the same length for all nodes of a key. Pairs with r = 0 are rows too.
+    r is rounded, and counted is true for the pairs that belong to this pair of blocks, each pair of nodes once. of_key
+    (keys, ...) is a row a key whose further columns come along in pdf.
     """
     block = positive_int(block, "block", 2)
-    keys = keys or []
     n = vectors.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("__blocks"))
+    if of_key is not None:
+        n = n.join(of_key, keys) if keys else n.crossJoin(of_key)  # a row each
     own = vectors.join(n, keys) if keys else vectors.crossJoin(F.broadcast(n))
     own = own.withColumn("__b", F.pmod(F.xxhash64("node_id"), F.col("__blocks")))
     # block b meets b..last as the earlier one and 0..b as the later one
     met = own.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     met = met.withColumn("__lo", F.least("__b", "__o")).withColumn("__hi", F.greatest("__b", "__o"))
     types = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    out_ddl = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "i long", "j long", "r double"])
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(pdf["__lo"].iloc[0]), int(pdf["__hi"].iloc[0])
         a, b = pdf[pdf["__b"] == lo], pdf[pdf["__b"] == hi]
         if not len(a) or not len(b):
-            return pd.DataFrame(columns=[*keys, "i", "j", "r"])
+            return pd.DataFrame()
         x = standardised(np.stack(a["v"].to_numpy()).astype(float))
         y = x if lo == hi else standardised(np.stack(b["v"].to_numpy()).astype(float))
         r = np.round(np.clip(x @ y.T, -1, 1), DECIMALS) + 0.0
-        ia, ib = a["node_id"].to_numpy(), b["node_id"].to_numpy()
-        p, q = np.nonzero(np.triu(np.ones(r.shape, bool), 1)) if lo == hi else np.nonzero(np.ones(r.shape, bool))
-        u, v = ia[p], ib[q]
-        out = pd.DataFrame({"i": np.minimum(u, v), "j": np.maximum(u, v), "r": r[p, q]})
-        for k in keys:
+        counted = np.triu(np.ones(r.shape, bool), 1) if lo == hi else np.ones(r.shape, bool)
+        out = make(pdf, a["node_id"].to_numpy(), b["node_id"].to_numpy(), r, counted)
+        for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
-        return out[[*keys, "i", "j", "r"]]
+        return out
+
+    more = [c for c in (of_key.columns if of_key is not None else []) if c not in keys]
+    out_ddl = ", ".join([*(f"`{k}` {types[k]}" for k in keys), ddl])
+    return met.select(*keys, "node_id", "v", "__b", "__lo", "__hi", *more).groupBy(*keys, "__lo", "__hi").applyInPandas(product, out_ddl)
+
 
-    cols = [*keys, "node_id", "v", "__b", "__lo", "__hi"]
-    return met.select(*cols).groupBy(*keys, "__lo", "__hi").applyInPandas(product, out_ddl)
+def _as_pairs(ia: np.ndarray, ib: np.ndarray, r: np.ndarray, which: np.ndarray) -> pd.DataFrame:
+    p, q = np.nonzero(which)
+    u, v = ia[p], ib[q]
+    return pd.DataFrame({"i": np.minimum(u, v), "j": np.maximum(u, v), "r": r[p, q]})
+
+
+def correlations(vectors: DataFrame, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """(keys, i, j, r) for i < j: Pearson's r, clipped to [-1, 1] and rounded; 0 where a node does not vary.
+
+    vectors is (keys, node_id, v), with v of the same length for all nodes of a key. Pairs with r = 0 are rows too.
+    """
+    return _products(vectors, keys or [], block, lambda pdf, ia, ib, r, counted: _as_pairs(ia, ib, r, counted), "i long, j long, r double")
 
 
 def edges_wanted(n_nodes, density):
@@ -77,36 +94,92 @@ def edges_wanted(n_nodes, density):
     return F.greatest(F.lit(1.0), F.least(F.floor(density * possible).cast("double"), possible)).cast("long")
 
 
-def density_graphs(pairs: DataFrame, densities: list[float], negative: bool = True, weighted: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """(keys, density, i, j, r, w, threshold): the strongest pairs of each graph at each density, ties with the last included.
+#: Cells of |r| (or r) from 0 to 1 that pairs are counted in before any is looked at by its value.
+CELLS = 10_000
 
-    negative ranks by |r|, else by r. One ranking serves all densities. w is r if weighted, else 1. The rank's
-    cut-off comes from counts per value, added up from the top: values repeat, pairs need not be sorted in one task.
-    """
+
+def _check_densities(densities: list[float]) -> None:
     if not densities or any(isinstance(d, bool) or not 0 < d <= 1 for d in densities):
         raise ValueError("densities must lie in (0, 1]")
-    keys = keys or []
-    spark = pairs.sparkSession
-    pairs = pairs.withColumn("__k", F.abs("r") if negative else F.col("r"))
-    totals = pairs.groupBy(*keys).agg(F.count("*").alias("__pairs"))
-    grid = spark.createDataFrame([(float(d),) for d in densities], "density double")
+
+
+def _cut_cells(coarse: DataFrame, densities: list[float], keys: list[str]) -> DataFrame:
+    """(keys, density, __b, __rest): the cell that a density's last pair lies in, and its place there. coarse is (keys, __b, __n)."""
+    totals = coarse.groupBy(*keys).agg(F.sum("__n").alias("__pairs"))
+    grid = coarse.sparkSession.createDataFrame([(float(d),) for d in densities], "density double")
     want = totals.crossJoin(F.broadcast(grid)).withColumn("__m", F.greatest(F.lit(1.0), F.floor(F.col("density") * F.col("__pairs"))).cast("long"))
-    # coarse counts by thousandths first, so that only the thousandth with the cut-off is looked at by value
-    bucket = F.floor(F.col("__k") * 1000)
-    coarse = pairs.groupBy(*keys, bucket.alias("__b")).agg(F.count("*").alias("__n"))
+    # at most 2 * CELLS + 1 rows a key
     above = coarse.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.desc("__b"))))
     at = (want.join(above, keys) if keys else want.crossJoin(above)).where((F.col("__upto") >= F.col("__m")) & (F.col("__upto") - F.col("__n") < F.col("__m")))
-    at = at.select(*keys, "density", "__b", (F.col("__m") - (F.col("__upto") - F.col("__n"))).alias("__rest"))
-    near = pairs.withColumn("__b", bucket).join(F.broadcast(at), [*keys, "__b"]).groupBy(*keys, "density", "__rest", "__k").agg(F.count("*").alias("__n"))
+    return at.select(*keys, "density", "__b", (F.col("__m") - (F.col("__upto") - F.col("__n"))).alias("__rest"))
+
+
+def _kept(pairs: DataFrame, at: DataFrame, keys: list[str], weighted: bool) -> DataFrame:
+    """The pairs (keys, i, j, r, __k, __b) down to each density's last one, whose value comes from counts by value in its cell."""
+    near = pairs.join(at, [*keys, "__b"]).groupBy(*keys, "density", "__rest", "__k").agg(F.count("*").alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*keys, "density").orderBy(F.desc("__k")))
-    cut = near.withColumn("__upto", upto).where((F.col("__upto") >= F.col("__rest")) & (F.col("__upto") - F.col("__n") < F.col("__rest"))).select(*keys, "density", F.col("__k").alias("threshold"))
-    cut = F.broadcast(cut)
-    kept = (pairs.join(cut, keys) if keys else pairs.crossJoin(cut)).where(F.col("__k") >= F.col("threshold"))
+    last = near.withColumn("__upto", upto).where((F.col("__upto") >= F.col("__rest")) & (F.col("__upto") - F.col("__n") < F.col("__rest"))).select(*keys, "density", F.col("__k").alias("threshold"))
+    last = small(last, "thresholds")  # a row for each graph
+    kept = (pairs.join(last, keys) if keys else pairs.crossJoin(last)).where(F.col("__k") >= F.col("threshold"))
     return kept.select(*keys, "density", "i", "j", "r", (F.col("r") if weighted else F.lit(1.0)).alias("w"), "threshold")
 
 
+def density_graphs(pairs: DataFrame, densities: list[float], negative: bool = True, weighted: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """(keys, density, i, j, r, w, threshold): the strongest pairs of each graph at each density, ties with the last included.
+
+    negative ranks by |r|, else by r. One ranking serves all densities. w is r if weighted, else 1. The rank's
+    cut-off comes from counts per value, added up from the top: values repeat, pairs need not be sorted in one task.
+    pairs are read several times; where they come from vectors, density_graphs_of() needs none of them written.
+    """
+    _check_densities(densities)
+    keys = keys or []
+    pairs = pairs.withColumn("__k", F.abs("r") if negative else F.col("r"))
+    pairs = pairs.withColumn("__b", F.floor(F.col("__k") * CELLS).cast("long"))
+    coarse = cut(pairs.groupBy(*keys, "__b").agg(F.count("*").alias("__n")), "cells")
+    return _kept(pairs, small(_cut_cells(coarse, densities, keys), "cut-cells"), keys, weighted)
+
+
+def density_graphs_of(vectors: DataFrame, densities: list[float], negative: bool = True, weighted: bool = False, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """density_graphs() of all pairs of vectors (keys, node_id, v), in two passes over products of blocks.
+
+    The first pass hands on counts of pairs by cells of |r| alone, the second the pairs from the cell of the largest density's last one on:
+    what is shuffled or written grows with the edges that are kept, not with the pairs.
+    """
+    _check_densities(densities)
+    keys = keys or []
+
+    def cells_of(r: np.ndarray) -> np.ndarray:
+        return np.floor((np.abs(r) if negative else r) * CELLS).astype(np.int64)
+
+    def count(pdf: pd.DataFrame, ia: np.ndarray, ib: np.ndarray, r: np.ndarray, counted: np.ndarray) -> pd.DataFrame:
+        n = np.bincount(cells_of(r[counted]) + CELLS, minlength=2 * CELLS + 1)
+        seen = np.flatnonzero(n)
+        return pd.DataFrame({"__b": seen - CELLS, "__n": n[seen]})
+
+    def strong(pdf: pd.DataFrame, ia: np.ndarray, ib: np.ndarray, r: np.ndarray, counted: np.ndarray) -> pd.DataFrame:
+        return _as_pairs(ia, ib, r, counted & (cells_of(r) >= int(pdf["__least"].iloc[0])))
+
+    coarse = _products(vectors, keys, block, count, "__b long, __n long").groupBy(*keys, "__b").agg(F.sum("__n").alias("__n"))
+    at = small(_cut_cells(cut(coarse, "cells"), densities, keys), "cut-cells")
+    least = at.groupBy(*keys).agg(F.min("__b").alias("__least"))
+    pairs = cut(_products(vectors, keys, block, strong, "i long, j long, r double", least), "strong-pairs")
+    pairs = pairs.withColumn("__k", F.abs("r") if negative else F.col("r"))
+    return _kept(pairs.withColumn("__b", F.floor(F.col("__k") * CELLS).cast("long")), at, keys, weighted)
+
+
 def survival(pairs: DataFrame, grid: list[float]) -> DataFrame:
     """(g, fraction) of |r| that is g or more."""
     counts = pairs.agg(F.count("*").alias("n"), *[F.count_if(F.abs("r") >= g).alias(f"c{k}") for k, g in enumerate(grid)])
     rows = F.array(*[F.struct(F.lit(float(g)).alias("g"), (F.col(f"c{k}") / F.col("n")).alias("fraction")) for k, g in enumerate(grid)])
     return counts.select(F.inline(rows))
+
+
+def survival_of(vectors: DataFrame, grid: list[float], block: int = BLOCK) -> DataFrame:
+    """survival() of all pairs of vectors (node_id, v): each product of blocks hands on one row of counts for each g."""
+
+    def count(pdf: pd.DataFrame, ia: np.ndarray, ib: np.ndarray, r: np.ndarray, counted: np.ndarray) -> pd.DataFrame:
+        k = np.abs(r[counted])
+        return pd.DataFrame({"g": [float(g) for g in grid], "c": [int((k >= g).sum()) for g in grid], "n": k.size})
+
+    found = _products(vectors, [], block, count, "g double, c long, n long")
+    return found.groupBy("g").agg((F.sum("c") / F.sum("n")).alias("fraction"))

@@ -350,9 +350,16 @@ def j14(spark, d):
 # -- graphs ----------------------------------------------------------------------------------------
 
 
+def _vectors(spark, d):
+    return A.nodes(spark, d).select("node_id", "v")
+
+
 def _pairs(spark, d):
-    """All pairs of nodes, as a written table: ranking and thresholding read them more than once."""
-    return studies.cut(correlate.correlations(A.nodes(spark, d).select("node_id", "v")), "pairs")
+    return correlate.correlations(_vectors(spark, d))
+
+
+def _graphs(spark, d, densities, **how):
+    return correlate.density_graphs_of(_vectors(spark, d), densities, **how)
 
 
 def _kept_sql(density: str, by: str = "abs(r)") -> str:
@@ -366,10 +373,10 @@ def a1(spark, d):
 
 
 @query("a1_event_correlation", """zc AS (SELECT node_id, frame, v - avg(v) OVER (PARTITION BY node_id) AS c FROM act), sd AS (SELECT node_id, sqrt(sum(c * c)) AS s FROM zc GROUP BY 1)
-SELECT a.node_id AS i, b.node_id AS j, round(coalesce(sum(a.c * b.c) / nullif(any_value(x.s) * any_value(y.s), 0), 0), 6) AS r FROM zc a JOIN zc b ON a.frame = b.frame AND a.node_id < b.node_id JOIN sd x ON x.node_id = a.node_id JOIN sd y ON y.node_id = b.node_id GROUP BY 1, 2""")
+SELECT i, j, round(round(greatest(-1, least(1, r)), 9) + 3e-10, 6) AS r FROM (SELECT a.node_id AS i, b.node_id AS j, coalesce(sum(a.c * b.c) / nullif(any_value(x.s) * any_value(y.s), 0), 0) AS r FROM zc a JOIN zc b ON a.frame = b.frame AND a.node_id < b.node_id JOIN sd x ON x.node_id = a.node_id JOIN sd y ON y.node_id = b.node_id GROUP BY 1, 2)""")
 def a1e(spark, d):
     v = correlate.as_vectors(A.activity(spark, d))
-    return correlate.correlations(v).select("i", "j", r6("r").alias("r"))
+    return correlate.correlations(v).select("i", "j", r6(F.col("r") + 3e-10).alias("r"))
 
 
 @query("a1_event_correlation_all_pairs")
@@ -379,17 +386,17 @@ def a1ea(spark, d):
 
 @query("g1_density_graph", _kept_sql("5e-2") + " SELECT i, j, round(r, 6) AS r, round((SELECT min(abs(r)) FROM kept), 6) AS threshold FROM kept")
 def g1(spark, d):
-    return correlate.density_graphs(_pairs(spark, d), [0.05]).select("i", "j", r6("r").alias("r"), r6("threshold").alias("threshold"))
+    return _graphs(spark, d, [0.05]).select("i", "j", r6("r").alias("r"), r6("threshold").alias("threshold"))
 
 
 @query("g1_signed_weighted_graph", _kept_sql("2e-2", "r") + " SELECT i, j, round(r, 6) AS w FROM kept")
 def g1s(spark, d):
-    return correlate.density_graphs(_pairs(spark, d), [0.02], negative=False, weighted=True).select("i", "j", r6("w").alias("w"))
+    return _graphs(spark, d, [0.02], negative=False, weighted=True).select("i", "j", r6("w").alias("w"))
 
 
 @query("g8_density_sweep", "rk AS (SELECT abs(r) AS a, rank() OVER (ORDER BY abs(r) DESC) AS k FROM pairs), ds AS (SELECT unnest([2e-2, 5e-2, 1e-1]) AS density) SELECT density, CAST(count(*) AS BIGINT) AS n_edges, round(min(a), 6) AS threshold FROM ds JOIN rk ON k <= greatest(1, floor(density * (SELECT count(*) FROM pairs))) GROUP BY 1")
 def g8(spark, d):
-    g = correlate.density_graphs(_pairs(spark, d), DENSITIES)
+    g = _graphs(spark, d, DENSITIES)
     return g.groupBy("density").agg(F.count("*").alias("n_edges"), r6(F.min("threshold")).alias("threshold"))
 
 
@@ -402,7 +409,7 @@ q AS (SELECT sum(2e0 * coalesce(w, 0) / t - (deg / t) * (deg / t)) AS q FROM mo
 @query("a5_modularity_of_labels", _kept_sql("5e-2") + ", " + _Q_SQL + " SELECT CAST((SELECT count(*) FROM nodes) AS BIGINT) AS n_nodes, CAST((SELECT count(*) FROM kept) AS BIGINT) AS n_edges, round((SELECT min(abs(r)) FROM kept), 6) AS threshold, round(q, 6) AS q FROM q")
 def a5(spark, d):
     nodes = A.nodes(spark, d)
-    g = correlate.density_graphs(_pairs(spark, d), [0.05])
+    g = _graphs(spark, d, [0.05])
     q = graph.modularity_value(g, nodes.select("node_id", "module"))
     e = g.agg(F.count("*").alias("n_edges"), r6(F.min("threshold")).alias("threshold"))
     n = nodes.agg(F.count("*").alias("n_nodes"))
@@ -416,18 +423,19 @@ def a6(spark, d):
 
 @query("a20_edge_share", _kept_sql("5e-2") + " SELECT CAST((SELECT count(*) FROM kept) AS BIGINT) AS n_edges, round((SELECT count(*) FROM kept) / (SELECT count(*) FROM pairs), 6) AS share")
 def a20(spark, d):
-    p = _pairs(spark, d)
-    return correlate.density_graphs(p, [0.05]).agg(F.count("*").alias("n_edges")).crossJoin(p.agg(F.count("*").alias("n"))).select("n_edges", r6(F.col("n_edges") / F.col("n")).alias("share"))
+    nodes = A.nodes(spark, d).agg(F.count("*").alias("n"))
+    share = F.col("n_edges") / (F.col("n") * (F.col("n") - 1) / 2)
+    return _graphs(spark, d, [0.05]).agg(F.count("*").alias("n_edges")).crossJoin(nodes).select("n_edges", r6(share).alias("share"))
 
 
 @query("a21_survival_curve", "gr AS (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.4])::DOUBLE AS g) SELECT g, round(avg(CASE WHEN abs(r) >= g THEN 1e0 ELSE 0e0 END), 6) AS fraction FROM gr CROSS JOIN pairs GROUP BY 1")
 def a21(spark, d):
-    return correlate.survival(_pairs(spark, d), [0.0, 0.05, 0.1, 0.2, 0.4]).select("g", r6("fraction").alias("fraction"))
+    return correlate.survival_of(_vectors(spark, d), [0.0, 0.05, 0.1, 0.2, 0.4]).select("g", r6("fraction").alias("fraction"))
 
 
 @query("a22_percentiles", "dummy AS (SELECT 1) SELECT round(quantile_cont(abs(r), 0.995), 6) AS p995, round(quantile_cont(r, 0.02), 6) AS p02, round(quantile_cont(r, 0.99), 6) AS p99 FROM pairs")
 def a22(spark, d):
-    p = _pairs(spark, d)
+    p = tables.cut(_pairs(spark, d), "pairs")  # read several times
     high, (low, most) = tables.quantiles(p.select(F.abs("r").alias("r")), "r", [0.995])[0], tables.quantiles(p, "r", [0.02, 0.99])
     out = spark.createDataFrame([(high, low, most)], "p995 double, p02 double, p99 double")
     return out.select(*[r6(c).alias(c) for c in out.columns])
@@ -445,7 +453,7 @@ tp AS (SELECT component AS giant FROM sz ORDER BY n DESC, component LIMIT 1)
 SELECT node_id, CAST(CASE WHEN component = giant THEN sum(CASE WHEN component = giant THEN 1 ELSE 0 END) OVER (ORDER BY node_id) + CASE WHEN (SELECT count(*) FROM sz) > 1 THEN 1 ELSE 0 END ELSE 1 END AS BIGINT) AS module FROM cp, tp""")
 def g2(spark, d):
     nodes = A.nodes(spark, d).select("node_id")
-    edges = correlate.density_graphs(_pairs(spark, d), [0.004])
+    edges = _graphs(spark, d, [0.004])
     return graph.giant_start(graph.components(studies.cut(edges.select("i", "j"), "edges"), nodes, lambda df: studies.cut(df, "labels")))
 
 

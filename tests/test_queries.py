@@ -23,7 +23,7 @@ def duck():
 
 def normal(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("null" if v is None or v != v else f"{v + 1e-9:.3f}" if isinstance(v, float) else str(v) for v in row) for row in df.itertuples(index=False))
+    return sorted(tuple("null" if v is None or v != v else f"{v + 1e-9:.6f}" if isinstance(v, float) else str(v) for v in row) for row in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
