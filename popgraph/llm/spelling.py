@@ -61,7 +61,7 @@ def _signatures(words: DataFrame) -> DataFrame:
 def _halved(rows: DataFrame) -> DataFrame:
     """Each row twice: with the first half of its unknown middle known, and with the second."""
     middle = F.col("t") - F.col("a") - F.col("b")
-    half = F.floor((middle - 1) / 2).cast("int")
+    half = F.floor(middle / 2).cast("int")
     ends = F.array(F.struct((F.col("a") + half).alias("a"), F.col("b").alias("b")), F.struct(F.col("a").alias("a"), (F.col("b") + middle - half).alias("b")))
     return rows.withColumn("end", F.explode(ends)).withColumns({"a": F.col("end.a"), "b": F.col("end.b")}).drop("end")
 
