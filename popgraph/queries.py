@@ -793,9 +793,7 @@ def g5a(spark, d):
 
 @query("g6_consensus")
 def g6(spark, d):
-    nodes = A.nodes(spark, d).select(F.lit(0).alias("graph"), "node_id")
-    agree = graph.agreement(_label_runs(spark, d)).withColumn("graph", F.lit(0))
-    return louvain.consensus(agree, nodes, ["graph"], tau=0.5, reps=3, seed=1)
+    return louvain.consensus_of_runs(_label_runs(spark, d).withColumn("graph", F.lit(0)), ["graph"], tau=0.5, reps=3, seed=1)
 
 
 @query("g7_resolution_sweep")
