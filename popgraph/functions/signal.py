@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from fractions import Fraction
-from math import gcd
 
 import numpy as np
 
@@ -64,15 +63,30 @@ def zero_phase(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y[edge : len(y) - edge] if edge > 0 else y
 
 
+def memory(sections: np.ndarray) -> int:
+    """Samples after which what a filter holds has shrunk to 1e-15: the slowest pole's radius to that power."""
+    slowest = np.sqrt(np.abs(sections[:, 5]).max())
+    return int(np.ceil(np.log(1e-15) / np.log(slowest))) if 0 < slowest < 1 else 0
+
+
+def ratio(fs: float, to: float) -> tuple[int, int]:
+    """(up, down): the nearest ratio to / fs of small integers."""
+    found = Fraction(to / fs).limit_denominator(10_000)
+    return found.numerator, found.denominator
+
+
+#: Taps of the resampling filter on each side of its middle, in steps of the slower rate.
+RESAMPLE_HALF = 10
+
+
 def resample(x: np.ndarray, fs: float, to: float) -> np.ndarray:
     """Polyphase resampling by the nearest ratio of small integers, with a Kaiser-windowed low-pass (beta 5)."""
-    ratio = Fraction(to / fs).limit_denominator(10_000)
-    up, down = ratio.numerator // gcd(ratio.numerator, ratio.denominator), ratio.denominator // gcd(ratio.numerator, ratio.denominator)
+    up, down = ratio(fs, to)
     x = np.asarray(x, float)
     if up == down:
         return x.copy()
     most = max(up, down)
-    half = 10 * most
+    half = RESAMPLE_HALF * most
     t = np.arange(-half, half + 1)
     h = np.sinc(t / most) * np.kaiser(2 * half + 1, 5.0)
     h *= up / h.sum()

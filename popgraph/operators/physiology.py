@@ -1,11 +1,13 @@
 """Frame triggers, their alignment with imaging segments, EEG and EMG features, and scoring of sleep.
 
-A signal is (recording, sample, v) or, where it is filtered, (recording, segment, ...) with the segment's samples
-in one group: a segment is minutes of one animal, so segments and recordings spread over tasks.
+A signal is (recording, sample, v). Where it is filtered, a segment is cut into pieces that know what lies around them, so
+recordings, segments and long segments' pieces spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -169,23 +171,79 @@ def interpolate(points: DataFrame, anchors: DataFrame, keys: list[str]) -> DataF
 
 #: Samples whose segment is looked up by one number.
 SPAN = 512
+#: Seconds of a segment that one task works out at a time, beside what its filters need on both sides.
+PIECE_SECONDS = 600.0
 
 
-def _segment_samples(samples: DataFrame, aligned: DataFrame, columns: list[str]):
-    """The samples of each segment's stretch (segment, sample, columns), beside its row of aligned: groups for two tables."""
-    at = F.sequence(F.floor(F.col("sample_start") / SPAN), F.floor((F.col("sample_stop") - 1) / SPAN))
-    spans = aligned.select(F.col("segment").alias("__segment"), "sample_start", "sample_stop", F.explode(at).alias("__span"))
-    own = samples.select("sample", *[F.col(c).cast("double").alias(c) for c in columns]).dropna().withColumn("__span", F.floor(F.col("sample") / SPAN))
-    own = own.join(spans, "__span").where("sample >= sample_start and sample < sample_stop").select(F.col("__segment").alias("segment"), "sample", *columns)
-    return own.groupBy("segment").cogroup(aligned.select("segment", "frame_start", "sample_start", "sample_stop", "triggers").groupBy("segment"))
-
+def _per_piece(samples: DataFrame, aligned: DataFrame, columns: list[str], fs: float, to: float, halo: tuple[int, int], piece_seconds: float, make: Callable[..., pd.DataFrame], ddl: str) -> DataFrame:
+    """What make(row, signals, at, core, n) gives for each piece of each segment, after (recording,) segment.
 
-def _regular(pdf: pd.DataFrame, row: pd.Series, column: str) -> np.ndarray:
-    """A value for each sample of a segment: repeats are averaged, gaps filled between neighbours and held at the ends."""
-    mean = pdf.groupby("sample")[column].mean()  # by ascending sample
-    if len(mean) == row["sample_stop"] - row["sample_start"]:
-        return mean.to_numpy()
-    return np.interp(np.arange(row["sample_start"], row["sample_stop"]), mean.index.to_numpy(), mean.to_numpy())
+    A segment's samples are resampled from fs to to; its n values there are cut into pieces. core is where a piece begins and
+    ends, signals has its values and up to halo more on either side, of which the first is the segment's at-th. Ends of segments
+    are ends of signals; elsewhere the resampling filter has all the samples it needs, so that values do not hang on the cuts.
+    Repeated samples are averaged, gaps filled between neighbours, in other pieces too, and held at a segment's ends.
+    """
+    keys = [k for k in ("recording",) if k in samples.columns and k in aligned.columns]
+    own = [*keys, "segment"]
+    up, down = signal.ratio(fs, to)
+    size = -(-max(1, round(positive(piece_seconds, "piece_seconds") * to)) // up) * up
+    before, after = (-(-h // up) * up for h in halo)
+    reach = down * (signal.RESAMPLE_HALF * max(up, down) // (up * down) + 1) if up != down else 0  # samples, whole steps of the grid
+    table = aligned.select(*keys, F.col("segment").cast("int").alias("segment"), "frame_start", "sample_start", "sample_stop", "triggers")
+    length = F.col("sample_stop") - F.col("sample_start")
+    table = table.where("sample_stop > sample_start").withColumn("n", F.ceil(length * up / down))
+    span = lambda c: F.floor(c / SPAN)
+    segments = table.select(*own, "sample_start", "sample_stop", F.explode(F.sequence(span(F.col("sample_start")), span(F.col("sample_stop") - 1))).alias("span"))
+    values = samples.select(*keys, "sample", *[F.col(c).cast("double").alias(c) for c in columns]).dropna().withColumn("span", span(F.col("sample")))
+    values = values.join(segments, [*keys, "span"]).where("sample >= sample_start and sample < sample_stop")
+    values = tables.cut(values.groupBy(*own, "span", "sample").agg(*[F.avg(c).alias(c) for c in columns]), "segment-samples")
+
+    pieces = table.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size))))
+    pieces = pieces.withColumns({"c0": F.col("piece") * size, "c1": F.least("n", (F.col("piece") + 1) * size)})
+    low = F.greatest(F.lit(0), F.floor(F.greatest(F.lit(0), F.col("c0") - before) / up) * down - reach)
+    high = F.least(length, F.ceil((F.col("c1") + after) / up) * down + reach)
+    pieces = pieces.withColumns({"x0": F.col("sample_start") + low, "x1": F.col("sample_start") + high})
+    pieces = pieces.withColumns({"s0": span(F.col("x0")), "s1": span(F.col("x1") - 1)})
+    # the triggers around a piece, one more on either side
+    upto = lambda c: F.size(F.filter("triggers", lambda t: t < F.col(c)))
+    pieces = pieces.withColumns({"t0": F.greatest(F.lit(0), upto("x0") - 1), "t1": upto("x1") + 1})
+    pieces = pieces.withColumn("triggers", F.slice("triggers", F.col("t0") + 1, F.col("t1") - F.col("t0"))).withColumn("frame_start", F.col("frame_start") + F.col("t0")).drop("t0", "t1")
+    # the nearest samples outside, from the first and last ones of each span
+    point = F.struct("sample", *columns)
+    edges = values.groupBy(*own, "span").agg(F.min(point).alias("first"), F.max(point).alias("last"))
+    no_point, no_piece = F.lit(None).cast(edges.schema["first"].dataType), F.lit(None).cast("long")
+    marks = edges.select(*own, "span", F.lit(1).alias("kind"), "first", "last", no_piece.alias("piece"))
+    for kind, at in ((0, "s0"), (2, "s1")):
+        marks = marks.union(pieces.select(*own, at, F.lit(kind), no_point, no_point, "piece"))
+    along = Window.partitionBy(*own).orderBy("span", "kind")  # a row for each span and two for each piece
+    marks = marks.withColumn("prev", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first("first", True).over(along.rowsBetween(0, Window.unboundedFollowing)))
+    outside = marks.where("kind <> 1").groupBy(*own, "piece").agg(F.first(F.when(F.col("kind") == 0, F.col("prev")), True).alias("prev"), F.first(F.when(F.col("kind") == 2, F.col("next")), True).alias("next"))
+    pieces = tables.cut(pieces.join(outside, [*own, "piece"]), "pieces")
+    wanted = pieces.select(*own, "piece", F.explode(F.sequence("s0", "s1")).alias("span"))
+    dealt = values.join(wanted, [*own, "span"]).select(*[F.col(c).alias(c) for c in (*own, "piece", "sample", *columns)])  # columns of its own
+    types = {f.name: f.dataType.simpleString() for f in pieces.schema}
+
+    def run(pdf: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        row, found = pieces.iloc[0], {}
+        rest = [p for p in (row["prev"], row["next"]) if p is not None]
+        known = len(pdf) + len(rest)
+        at = np.concatenate([[p["sample"] for p in rest], pdf["sample"].to_numpy()]) if known else np.zeros(0)
+        order = np.argsort(at, kind="stable")
+        for c in columns:
+            v = np.concatenate([[p[c] for p in rest], pdf[c].to_numpy()])[order] if known else np.zeros(0)
+            whole = np.interp(np.arange(row["x0"], row["x1"]), at[order], v) if known else np.zeros(0)
+            found[c] = signal.resample(whole, fs, to) if known else whole
+        first = (row["x0"] - row["sample_start"]) // down * up  # the values' place in the segment
+        lo, hi = max(first, row["c0"] - before if row["c0"] else 0), min(row["n"], row["c1"] + after)
+        if known:
+            found = {c: x[lo - first : hi - first] for c, x in found.items()}
+        out = make(row, found, lo, (int(row["c0"]), int(row["c1"])), int(row["n"]) if known else 0)
+        for k in reversed(own):
+            out.insert(0, k, row[k])
+        return out
+
+    ddl = ", ".join([*(f"`{k}` {types[k]}" for k in own), ddl])
+    return dealt.groupBy(*own, "piece").cogroup(pieces.groupBy(*own, "piece")).applyInPandas(run, ddl)
 
 
 def _minutes(row: pd.Series, seconds: np.ndarray, fs: float, imaging_fs: float) -> np.ndarray:
@@ -195,10 +253,12 @@ def _minutes(row: pd.Series, seconds: np.ndarray, fs: float, imaging_fs: float)
     return np.interp(seconds * fs, triggers, frames / imaging_fs / 60)
 
 
-def eeg_spectrogram(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs: float, to: float = 250.0, band: tuple[float, float] = (0.5, 30.0), filter_high: float = 50.0, window_seconds: float = 4.0, overlap: float = 0.75) -> DataFrame:
-    """(segment, minute, frequency, power_db) of the EEG (column eeg), band-passed without phase shift.
+def eeg_spectrogram(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs: float, to: float = 250.0, band: tuple[float, float] = (0.5, 30.0), filter_high: float = 50.0, window_seconds: float = 4.0, overlap: float = 0.75, piece_seconds: float = PIECE_SECONDS) -> DataFrame:
+    """((recording,) segment, minute, frequency, power_db) of the EEG (column eeg), band-passed without phase shift.
 
-    A segment of fewer than eight samples has no spectrum: one row with nulls.
+    samples and aligned may both have a column recording, whose segments are apart then. A long segment is many pieces; each has as much
+    more on both sides as the filter remembers to 1e-15, so that values are those of the whole segment to about 1e-12 of its size. A segment of fewer than
+    eight samples has no spectrum: one row with nulls.
     """
     lo, hi = band
     if not 0 < lo < hi or to <= 2 * max(hi, filter_high) or not 0 <= overlap < 1:
@@ -206,18 +266,23 @@ def eeg_spectrogram(samples: DataFrame, aligned: DataFrame, fs: float, imaging_f
     sos = signal.butter_bandpass(4, lo, filter_high, to)
     wanted = round(positive(window_seconds, "window_seconds") * to)
 
-    def run(pdf: pd.DataFrame, aligned: pd.DataFrame) -> pd.DataFrame:
-        row = aligned.iloc[0]
-        x = signal.zero_phase(sos, signal.resample(_regular(pdf, row, "eeg"), fs, to)) if len(pdf) else np.zeros(0)
-        n = min(wanted, len(x))
-        if n < 8:
-            return pd.DataFrame({"segment": [row["segment"]], "minute": [None], "frequency": [None], "power_db": [None]})
-        f, t, p = signal.spectrogram(x, to, n, min(round(overlap * n), n - 1))
+    def make(row: pd.Series, x: dict[str, np.ndarray], at: int, core: tuple[int, int], n: int) -> pd.DataFrame:
+        width = min(wanted, n)
+        if width < 8:
+            return pd.DataFrame({"minute": [None], "frequency": [None], "power_db": [None]} if not core[0] else {"minute": [], "frequency": [], "power_db": []})
+        step = width - min(round(overlap * width), width - 1)
+        begin = -(-core[0] // step) * step  # the first window that starts in the piece
+        stop = min(core[1] - 1, n - width)
+        if begin > stop:
+            return pd.DataFrame({"minute": [], "frequency": [], "power_db": []})
+        end = begin + (stop - begin) // step * step + width
+        f, t, p = signal.spectrogram(signal.zero_phase(sos, x["eeg"])[begin - at : end - at], to, width, width - step)
         keep = (f >= lo) & (f <= hi)
         db = 10 * np.log10(np.maximum(p[keep], np.finfo(float).tiny))
-        return pd.DataFrame({"segment": row["segment"], "minute": np.tile(_minutes(row, t, fs, imaging_fs), keep.sum()), "frequency": np.repeat(f[keep], len(t)), "power_db": db.ravel()})
+        return pd.DataFrame({"minute": np.tile(_minutes(row, t + begin / to, fs, imaging_fs), keep.sum()), "frequency": np.repeat(f[keep], len(t)), "power_db": db.ravel()})
 
-    return _segment_samples(samples, aligned, ["eeg"]).applyInPandas(run, "segment int, minute double, frequency double, power_db double")
+    halo = signal.memory(sos)
+    return _per_piece(samples, aligned, ["eeg"], fs, to, (halo, halo + wanted), piece_seconds, make, "minute double, frequency double, power_db double")
 
 
 def display_limits(df: DataFrame, column: str, low: float = 0.02, high: float = 0.99) -> DataFrame:
@@ -229,10 +294,10 @@ def display_limits(df: DataFrame, column: str, low: float = 0.02, high: float =
     return df.sparkSession.createDataFrame([(lo, hi)], "lo double, hi double")
 
 
-def emg_envelope(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs: float, to: float = 500.0, band: tuple[float, float] = (20.0, 200.0), window_seconds: float = 0.25, display_fs: float = 20.0) -> DataFrame:
-    """(segment, minute, amplitude): root mean square of the band-passed EMG (column emg), thinned to display_fs.
+def emg_envelope(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs: float, to: float = 500.0, band: tuple[float, float] = (20.0, 200.0), window_seconds: float = 0.25, display_fs: float = 20.0, piece_seconds: float = PIECE_SECONDS) -> DataFrame:
+    """((recording,) segment, minute, amplitude): root mean square of the band-passed EMG (column emg), thinned to display_fs.
 
-    A segment without samples has one row with nulls.
+    Recordings and pieces are as in eeg_spectrogram(). A segment without samples has one row with nulls.
     """
     if not 0 < band[0] < band[1] or to <= 2 * band[1]:
         raise ValueError("the band must be ordered and below the Nyquist frequency")
@@ -241,16 +306,16 @@ def emg_envelope(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs:
     sos = signal.butter_bandpass(4, *band, to)
     width, step = max(1, round(positive(window_seconds, "window_seconds") * to)), max(1, round(to / positive(display_fs, "display_fs")))
 
-    def run(pdf: pd.DataFrame, aligned: pd.DataFrame) -> pd.DataFrame:
-        row = aligned.iloc[0]
-        if not len(pdf):
-            return pd.DataFrame({"segment": [row["segment"]], "minute": [None], "amplitude": [None]})
-        x = signal.zero_phase(sos, signal.resample(_regular(pdf, row, "emg"), fs, to))
-        at = np.arange(0, len(x), step)
-        rms = np.sqrt(np.maximum(signal.moving_power(x, width), 0))[at]
-        return pd.DataFrame({"segment": row["segment"], "minute": _minutes(row, at / to, fs, imaging_fs), "amplitude": rms})
+    def make(row: pd.Series, x: dict[str, np.ndarray], at: int, core: tuple[int, int], n: int) -> pd.DataFrame:
+        if not n:
+            return pd.DataFrame({"minute": [None], "amplitude": [None]} if not core[0] else {"minute": [], "amplitude": []})
+        power = signal.moving_power(signal.zero_phase(sos, x["emg"]), width)
+        places = np.arange(-(-core[0] // step) * step, core[1], step)
+        rms = np.sqrt(np.maximum(power[places - at], 0))
+        return pd.DataFrame({"minute": _minutes(row, places / to, fs, imaging_fs), "amplitude": rms})
 
-    return _segment_samples(samples, aligned, ["emg"]).applyInPandas(run, "segment int, minute double, amplitude double")
+    halo = signal.memory(sos) + width
+    return _per_piece(samples, aligned, ["emg"], fs, to, (halo, halo), piece_seconds, make, "minute double, amplitude double")
 
 
 def band_power(spectrum: DataFrame, low: float, high: float, keys: list[str], name: str = "power_in_band") -> DataFrame:
@@ -260,50 +325,44 @@ def band_power(spectrum: DataFrame, low: float, high: float, keys: list[str], na
     return out.select(*keys, F.when(F.col("__n") >= 2, F.col(name)).otherwise(F.raise_error(F.lit("fewer than two frequencies lie in the band"))).alias(name))
 
 
-def scoring_features(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs: float, analysis_fs: float = 1000.0, window_seconds: float = 4.0, delta: tuple[float, float] = (1.0, 4.0), theta: tuple[float, float] = (6.0, 10.0), total: tuple[float, float] = (1.0, 20.0), display: tuple[float, float] = (0.5, 30.0), chunk: int = 512) -> DataFrame:
-    """One row per frame: segment, frame, trigger, minute, relative_delta, raw_ratio, delta_theta_ratio, emg_rms, power_db.
+def scoring_features(samples: DataFrame, aligned: DataFrame, fs: float, imaging_fs: float, analysis_fs: float = 1000.0, window_seconds: float = 4.0, delta: tuple[float, float] = (1.0, 4.0), theta: tuple[float, float] = (6.0, 10.0), total: tuple[float, float] = (1.0, 20.0), display: tuple[float, float] = (0.5, 30.0), chunk: int = 512, piece_seconds: float = PIECE_SECONDS) -> DataFrame:
+    """One row per frame: (recording,) segment, frame, trigger, minute, relative_delta, raw_ratio, delta_theta_ratio, emg_rms, power_db.
 
     Windows of window_seconds around each trigger; frames whose window leaves the segment have no row.
-    relative_delta is delta over total, raw_ratio delta over theta, and delta_theta_ratio their product.
+    relative_delta is delta over total, raw_ratio delta over theta, and delta_theta_ratio their product. Recordings and
+    pieces are as in eeg_spectrogram(); a piece has half a window more on both sides.
     """
     half, chunk = round(positive(window_seconds, "window_seconds") * analysis_fs / 2), positive_int(chunk, "chunk")
-    n = 2 * half
-    hann = np.hanning(n)
+    n_window = 2 * half
+    hann = np.hanning(n_window)
     scale = analysis_fs * (hann**2).sum()
-    f = np.fft.rfftfreq(n, 1 / analysis_fs)
+    f = np.fft.rfftfreq(n_window, 1 / analysis_fs)
     inside = lambda b: (f > b[0]) & (f < b[1])
     for b in (delta, theta, total):
         if inside(b).sum() < 2:
             raise ValueError(f"fewer than two frequencies lie in {b}")
     shown = (f >= display[0]) & (f <= display[1])
+    names = ["frame", "trigger", "minute", "relative_delta", "raw_ratio", "delta_theta_ratio", "emg_rms", "power_db"]
 
-    def run(pdf: pd.DataFrame, aligned: pd.DataFrame) -> pd.DataFrame:
-        row = aligned.iloc[0]
-        eeg, emg = (signal.resample(_regular(pdf, row, c), fs, analysis_fs).astype(np.float32) if len(pdf) else np.zeros(0, np.float32) for c in ("eeg", "emg"))
+    def make(row: pd.Series, x: dict[str, np.ndarray], at: int, core: tuple[int, int], n: int) -> pd.DataFrame:
+        eeg, emg = x["eeg"].astype(np.float32), x["emg"].astype(np.float32)
         triggers = np.asarray(row["triggers"])
         centre = np.rint((triggers - row["sample_start"]) * analysis_fs / fs).astype(int)
-        ok = (centre - half >= 0) & (centre + half <= min(len(eeg), len(emg)))
-        frames, out = row["frame_start"] + np.flatnonzero(ok), []
+        ok = (centre >= core[0]) & ((centre < core[1]) | (core[1] == n)) & (centre - half >= 0) & (centre + half <= n)
+        frames, centre, out = row["frame_start"] + np.flatnonzero(ok), centre - at, []
         for lo in range(0, int(ok.sum()), chunk):
-            at = centre[ok][lo : lo + chunk, None] + np.arange(-half, half)
-            p = np.abs(np.fft.rfft(eeg[at] * hann, axis=1)) ** 2 / scale
+            places = centre[ok][lo : lo + chunk, None] + np.arange(-half, half)
+            p = np.abs(np.fft.rfft(eeg[places] * hann, axis=1)) ** 2 / scale
             p[:, 1:-1] *= 2
             d, t, a = (p[:, inside(b)].sum(axis=1) for b in (delta, theta, total))
             rel, raw = d / np.maximum(a, TINY), d / np.maximum(t, TINY)
             own = frames[lo : lo + chunk]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "segment": row["segment"], "frame": own, "trigger": triggers[ok][lo : lo + chunk], "minute": own / imaging_fs / 60,
-                        "relative_delta": rel, "raw_ratio": raw, "delta_theta_ratio": rel * raw, "emg_rms": np.sqrt(np.mean(np.square(emg[at], dtype=float), axis=1)),
-                        "power_db": list(10 * np.log10(np.maximum(p[:, shown], TINY))),
-                    }
-                )
-            )
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("segment", "frame", "trigger", "minute", "relative_delta", "raw_ratio", "delta_theta_ratio", "emg_rms", "power_db")}).astype({"power_db": object})
-
-    ddl = "segment int, frame long, trigger long, minute double, relative_delta double, raw_ratio double, delta_theta_ratio double, emg_rms double, power_db array<double>"
-    return _segment_samples(samples, aligned, ["eeg", "emg"]).applyInPandas(run, ddl)
+            rms = np.sqrt(np.mean(np.square(emg[places], dtype=float), axis=1))
+            out.append(pd.DataFrame(dict(zip(names, (own, triggers[ok][lo : lo + chunk], own / imaging_fs / 60, rel, raw, rel * raw, rms, list(10 * np.log10(np.maximum(p[:, shown], TINY)))), strict=True))))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in names}).astype({"power_db": object})
+
+    ddl = "frame long, trigger long, minute double, relative_delta double, raw_ratio double, delta_theta_ratio double, emg_rms double, power_db array<double>"
+    return _per_piece(samples, aligned, ["eeg", "emg"], fs, analysis_fs, (half, half), piece_seconds, make, ddl)
 
 
 def frequency_normalised(spectrum: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -726,6 +726,19 @@ def p8(spark, d):
     return f.drop("power_db")
 
 
+_SIGNAL_SQL = """sg AS (SELECT event_id // 512 AS segment, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1),
+sm AS (SELECT event_id // 512 AS segment, event_id AS sample, avg(value * (event_id % 3 - 1)) AS emg FROM events GROUP BY ALL),
+tg AS (SELECT segment, lo, hi, unnest(range(lo // 8, hi // 8 + 1)) AS frame FROM sg),
+rm AS (SELECT tg.segment, frame, sqrt(avg(emg::FLOAT::DOUBLE * emg::FLOAT::DOUBLE)) AS emg_rms FROM tg JOIN sm ON sm.segment = tg.segment AND sample >= frame * 8 - 40 AND sample < frame * 8 + 40
+  WHERE frame * 8 - 40 >= lo AND frame * 8 + 40 <= hi + 1 GROUP BY 1, 2)"""
+
+
+@query("p8_emg_of_frames", "WITH " + _SIGNAL_SQL + " SELECT CAST(segment AS BIGINT) AS segment, frame, frame * 8 AS trigger, round(frame / 25e-1 / 60, 6) AS minute, round(emg_rms, 6) AS emg_rms FROM rm")
+def p8e(spark, d):
+    """What of the scoring features SQL can express; events have no gaps."""
+    return p8(spark, d).select(L("segment").alias("segment"), "frame", "trigger", r6("minute").alias("minute"), r6("emg_rms").alias("emg_rms"))
+
+
 @query("p8_features_scored_and_merged")
 def p8m(spark, d):
     f = physiology.classify_sleep(p8(spark, d), 60.0).select(F.col("segment").alias("recording"), "frame", F.col("scored").alias("state"))
