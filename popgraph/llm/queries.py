@@ -29,8 +29,11 @@ def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = run_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "removed_words", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+    docs, removed = _table(spark, sf_dir, "documents"), "removed_words"
+    while removed in docs.columns:
+        removed = f"_{removed}"
+    out = run_dedup.remove_repeats(docs, removed=removed)
+    return out.select("doc_id", F.col(removed).alias("removed_words"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
 #: The rules that operator 4's contract states.
@@ -220,6 +223,48 @@ SELECT o.word, o.form, w.root, o.n, CAST(o.n_near AS BIGINT) AS n_near, o.form_n
 FROM out o JOIN (SELECT word, root FROM walk WHERE root NOT IN (SELECT word FROM out WHERE form IS NOT NULL)) w ON w.word = o.word
 """
 
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), hashed AS (SELECT conv_id, turn, role, text, {_crc_sql("k")} % 20 AS h FROM keyed, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed, LATERAL (SELECT unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))
+), convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+rows AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail
+  FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id
+), judged AS (
+  SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY c ORDER BY i) || role[1] AS pair
+  FROM rows
+), counted AS (
+  SELECT c, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM judged GROUP BY c
+), inserts(s, t, extra, letters, added) AS (
+  SELECT s, s, 0, '', '' FROM range(4) r(s)
+  UNION ALL VALUES (0, 2, 3, 'I', chr(10) || 'user:'), (1, 2, 3, 'I', chr(10) || 'user:'), (3, 2, 3, 'I', chr(10) || 'user:'), (2, 3, 3, 'I', chr(10) || 'assistant:'),
+    (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), best(c, i, s, ranked, kept) AS (
+  SELECT c, 0, t, lpad(CAST(extra AS VARCHAR), 9, '0') || letters, added FROM convs, inserts WHERE s = 0
+  UNION ALL
+  SELECT c, i, t, min(lpad(CAST(cost + extra AS VARCHAR), 9, '0') || audit || letters), arg_min(kept || added, lpad(CAST(cost + extra AS VARCHAR), 9, '0') || audit || letters) FROM (
+    SELECT c, i + 1 AS i, o.s, paid + o.price AS cost, done || o.letter AS audit, kept0 || o.more AS kept FROM (
+      SELECT b.c, b.i, CAST(substr(ranked, 1, 9) AS BIGINT) AS paid, substr(ranked, 10) AS done, kept AS kept0, b.s AS s0, j.role, j.text, j.fault FROM best b JOIN judged j ON j.c = b.c AND j.i = b.i + 1
+    ), LATERAL (
+      SELECT s0 AS s, 4 AS price, 'D' AS letter, '' AS more
+      UNION ALL SELECT CASE WHEN s0 = 2 THEN 3 ELSE 2 END, 3 + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'R', chr(10) || CASE WHEN s0 = 2 THEN 'assistant:' ELSE 'user:' END || text WHERE fault NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT CASE role[1] WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'K', chr(10) || role || ':' || text
+        WHERE fault NOT IN ('blank', 'duplicate') AND ((role[1] = 's' AND s0 = 0) OR (role[1] = 'u' AND s0 <> 2) OR (role[1] = 'a' AND s0 = 2))
+    ) o
+  ) JOIN inserts USING (s) GROUP BY c, i, t
+), ended AS (SELECT c, min(ranked) AS ranked, arg_min(kept, ranked) AS kept FROM best JOIN counted USING (c) WHERE i = n AND s IN (0, 3) GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(substr(ranked, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(ranked, 10), '') AS audit, sha256(coalesce(substr(kept, 2), '')) AS repaired_sha256
+FROM convs LEFT JOIN counted USING (c) LEFT JOIN ended USING (c)
+"""
+
 QUERIES = {
     "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
     "op2_simhash_decontamination": op2_simhash_decontamination,
@@ -241,4 +286,5 @@ SQL = {
     "op3_winnowing_line_dedup": OP3_SQL,
     "op4_sorted_digest_urls": OP4_SQL,
     "op11_partenum_spelling": OP11_SQL,
+    "op13_viterbi_turn_repair": OP13_SQL,
 }
