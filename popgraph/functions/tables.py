@@ -1,4 +1,4 @@
-"""Written tables, and exact quantiles without sorting a column in one task."""
+"""Written tables, and ranks and exact quantiles without sorting a column in one task."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CELLS = 2048
@@ -47,6 +47,67 @@ def small(df: DataFrame, name: str = "small") -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", keys: list[str] | None = None) -> DataFrame:
+    """Adds the place of each row by order, from 0 (within its keys); order has no two equal rows.
+
+    Rows are dealt by ranges of their order and sorted there; places come from counts per range, so no task sees all rows,
+    and it makes no difference how values or ids are spread.
+    """
+    keys = keys or []
+    own = df.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*[F.col(k) for k in keys], *order)
+    own = cut(own.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    counts = own.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__from"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__part")  # a row a range
+    before = counts.withColumn("__before", F.sum("__n").over(w) - F.col("__n")).select(*keys, "__part", "__from", "__before")
+    out = own.join(small(before, "range-counts"), [*keys, "__part"])
+    return out.withColumn(name, F.col("__before") + F.col("__at") - F.col("__from")).drop("__part", "__at", "__from", "__before")
+
+
+#: Values of a group that one task's buffer may hold.
+GROUP_VALUES = 100_000
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], column: str, shares: list[float], most: int = GROUP_VALUES) -> DataFrame:
+    """(keys, q0, q1, ...): exact quantiles of each group, linear between neighbours; nulls and NaN are left out.
+
+    Groups of up to most values are one aggregate. For the ranks of all larger groups together, each pass counts values by cells of the
+    range that a rank lies in and goes on with its cell, until that is one value: no buffer holds a group, and what is read again is
+    what lies in those cells.
+    """
+    x = df.select(*keys, F.col(column).cast("double").alias("__x")).where("__x is not null and not isnan(__x)")
+    sizes = small(x.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")), "group-sizes")
+    names = [f"q{k}" for k in range(len(shares))]
+    large = sizes.where(F.col("__n") > most)
+    if large.isEmpty():
+        return x.groupBy(*keys).agg(*[F.percentile("__x", F.lit(s)).alias(c) for s, c in zip(shares, names, strict=True)])
+    few = x.join(large, keys, "left_anti").groupBy(*keys).agg(*[F.percentile("__x", F.lit(s)).alias(c) for s, c in zip(shares, names, strict=True)])
+    # two ranks for each share; they lie __rest places after the first value from __lo on
+    wanted = F.array(*[F.struct(F.lit(k).alias("__share"), F.lit(up).alias("__up"), (F.ceil if up else F.floor)((F.col("__n") - 1) * F.lit(float(s))).alias("__rest")) for k, s in enumerate(shares) for up in (0, 1)])
+    rest, found, rows = large.select(*keys, "__lo", "__hi", F.inline(wanted)), None, x.join(large.select(*keys), keys, "left_semi")
+    while True:
+        rest = cut(rest, "ranks")
+        ended = rest.where("__lo = __hi").select(*keys, "__share", "__up", F.col("__lo").alias("__v"))
+        found = ended if found is None else found.union(ended)
+        rest = rest.where("__lo < __hi")
+        if rest.isEmpty():
+            break
+        # rows that lie in a range that is still open, once for each range
+        ranges = small(rest.select(*keys, "__lo", "__hi").distinct(), "open-ranges")
+        rows = cut(rows.select(*keys, "__x").join(ranges, keys).where("__x between __lo and __hi"), "open-rows")
+        cell = F.least(F.floor((F.col("__x") - F.col("__lo")) * (F.lit(float(CELLS)) / (F.col("__hi") - F.col("__lo")))), F.lit(CELLS - 1))
+        # a range that is too narrow to divide is its two ends
+        cell = F.when(F.col("__x") == F.col("__lo"), -1).when(F.col("__x") == F.col("__hi"), CELLS).otherwise(cell)
+        cells = rows.groupBy(*keys, "__lo", "__hi", cell.alias("__c")).agg(F.count("*").alias("__n"), F.min("__x").alias("__a"), F.max("__x").alias("__b"))
+        upto = F.sum("__n").over(Window.partitionBy(*keys, "__lo", "__hi").orderBy("__c"))  # CELLS + 2 rows at most
+        cells = small(cells.withColumn("__upto", upto), "cells")
+        rest = rest.join(cells, [*keys, "__lo", "__hi"]).where("__rest >= __upto - __n and __rest < __upto")
+        rest = rest.select(*keys, F.col("__a").alias("__lo"), F.col("__b").alias("__hi"), "__share", "__up", (F.col("__rest") - F.col("__upto") + F.col("__n")).alias("__rest"))
+    at = lambda k, up: F.max(F.when((F.col("__share") == k) & (F.col("__up") == up), F.col("__v")))
+    wide = found.groupBy(*keys).agg(*[x for k in range(len(shares)) for x in (at(k, 0).alias(f"__{k}a"), at(k, 1).alias(f"__{k}b"))]).join(large.select(*keys, "__n"), keys)
+    part = lambda s: (F.col("__n") - 1) * F.lit(float(s)) - F.floor((F.col("__n") - 1) * F.lit(float(s)))
+    return few.union(wide.select(*keys, *[(F.col(f"__{k}a") + (F.col(f"__{k}b") - F.col(f"__{k}a")) * part(s)).alias(c) for k, (s, c) in enumerate(zip(shares, names, strict=True))]))
+
+
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles of a column, linear between neighbours; nulls and NaN are left out, and of no values they are null.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
+
 
 def _by(keys):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -67,9 +69,10 @@ def giant_start(labelled: DataFrame, keys: list[str] | None = None) -> DataFrame
     top = sizes.groupBy(*keys).agg(F.max(F.struct("n", -F.col("component"))).alias("t"), F.count("*").alias("parts"))
     top = top.select(*keys, (-F.col("t.col2")).alias("giant"), "parts")
     out = labelled.join(top, keys) if keys else labelled.crossJoin(F.broadcast(top))
-    inside = F.col("component") == F.col("giant")
-    order = F.sum(inside.cast("long")).over(_by(keys).orderBy("node_id"))
-    return out.select(*keys, "node_id", F.when(~inside, F.lit(1)).otherwise(order + F.when(F.col("parts") > 1, 1).otherwise(0)).cast("long").alias("module"))
+    out = out.select(*keys, "node_id", (F.col("component") == F.col("giant")).alias("inside"), (F.col("parts") > 1).cast("long").alias("more"))
+    inside = tables.ranked(out.where("inside"), [F.col("node_id")], "place", keys)
+    inside = inside.select(*keys, "node_id", (F.col("place") + 1 + F.col("more")).cast("long").alias("module"))
+    return inside.union(out.where("not inside").select(*keys, "node_id", F.lit(1).cast("long")))
 
 
 def display_layout(partition: DataFrame, keys: list[str] | None = None) -> DataFrame:

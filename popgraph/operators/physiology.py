@@ -49,8 +49,11 @@ def trigger_groups(edges: DataFrame, boundaries: DataFrame | None = None, gap_fa
         edges = edges.withColumn("part", F.lit(0))
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("sample")
     gaps = edges.withColumn("__gap", F.col("sample") - F.lag("sample").over(w)).withColumn("__new", F.coalesce(F.col("part") != F.lag("part").over(w), F.lit(False)))
-    median = gaps.groupBy(*keys).agg(F.median("__gap").alias("period"))
-    gaps = gaps.join(F.broadcast(median), keys) if keys else gaps.crossJoin(F.broadcast(median))
+    if keys:
+        median = tables.grouped_quantiles(gaps, keys, "__gap", [0.5]).withColumnRenamed("q0", "period")
+        gaps = gaps.join(tables.small(median, "periods"), keys, "left")  # a single trigger has no period
+    else:
+        gaps = gaps.withColumn("period", F.lit(tables.quantiles(gaps, "__gap", [0.5])[0]).cast("double"))
     cut = (F.coalesce(F.col("__gap") > gap_factor * F.col("period"), F.lit(False)) | F.col("__new")).cast("int")
     return gaps.withColumn("__cut", cut).withColumn("bout", F.sum("__cut").over(w)).drop("__cut", "__gap", "__new")
 
@@ -368,8 +371,8 @@ def scoring_features(samples: DataFrame, aligned: DataFrame, fs: float, imaging_
 def frequency_normalised(spectrum: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Adds change: power_db less its frequency's median over the whole recording (keys)."""
     by = [*(keys or []), "frequency"]
-    medians = spectrum.groupBy(*by).agg(F.median("power_db").alias("__m"))
-    return spectrum.join(medians, by).withColumn("change", F.col("power_db") - F.col("__m")).drop("__m")
+    medians = tables.grouped_quantiles(spectrum, by, "power_db", [0.5]).withColumnRenamed("q0", "__m")
+    return spectrum.join(medians, by, "left").withColumn("change", F.col("power_db") - F.col("__m")).drop("__m")
 
 
 def fit_emg_threshold(windows: DataFrame, keys: list[str] | None = None) -> DataFrame:

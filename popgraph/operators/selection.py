@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.checks import positive, positive_int
 
 
@@ -53,16 +54,7 @@ def sampled_nodes(nodes: DataFrame, max_nodes: int | None = None, seed: int = 0)
         return out
     drawn = np.sort(np.random.RandomState(seed).choice(n, max_nodes, replace=False))
     ranks = out.sparkSession.createDataFrame([(int(r),) for r in drawn], "rank long")
-    return ranked(out, "node_id").join(F.broadcast(ranks), "rank", "left_semi").drop("rank")
-
-
-def ranked(df: DataFrame, key: str, per_range: int = 100_000) -> DataFrame:
-    """Adds rank, the place of a row by ascending unique integer key, from 0, without a global window over the rows."""
-    blocks = F.floor(F.col(key) / per_range)
-    counts = df.groupBy(blocks.alias("__block")).agg(F.count("*").alias("__n"))
-    before = counts.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__block").orderBy(key)) - 1
-    return df.withColumn("__block", blocks).join(before, "__block").withColumn("rank", F.col("__before") + own).drop("__block", "__before")
+    return tables.ranked(out, [F.col("node_id")]).join(F.broadcast(ranks), "rank", "left_semi").drop("rank")
 
 
 def activity_at(activity: DataFrame, positions: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -94,6 +86,5 @@ def visible_frames(frames: DataFrame, limits: tuple[float, float], fs: float) ->
 
 def median_centred(activity: DataFrame) -> DataFrame:
     """Adds centred: v less the node's median over its frames; NaN does not count."""
-    v = F.when(~F.isnan("v"), F.col("v"))
-    medians = activity.groupBy("node_id").agg(F.median(v).alias("__m"))
-    return activity.join(medians, "node_id").withColumn("centred", F.col("v") - F.col("__m")).drop("__m")
+    medians = tables.grouped_quantiles(activity, ["node_id"], "v", [0.5]).withColumnRenamed("q0", "__m")
+    return activity.join(medians, "node_id", "left").withColumn("centred", F.col("v") - F.col("__m")).drop("__m")

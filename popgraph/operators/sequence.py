@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.checks import positive, positive_int
 
 
@@ -110,46 +114,70 @@ def hashed_shuffle(activity: DataFrame, positions: DataFrame, seed: int) -> Data
 
 def stable_rank(df: DataFrame, by: Column, tie: str, name: str = "rank", keys: list[str] | None = None) -> DataFrame:
     """Adds the place from 0 by descending value, ties by ascending tie."""
-    return df.withColumn(name, F.row_number().over(_by(keys).orderBy(by.desc(), F.col(tie))) - 1)
+    return tables.ranked(df.withColumn("__by", by), [F.col("__by").desc(), F.col(tie)], name, keys).drop("__by")
 
 
-def merge_short(labels: list, least: int) -> list:
-    """Labels whose runs shorter than least have been merged, the shortest (first of equals) first.
+def merge_runs(labels: list, lengths: list[int], least: int) -> list:
+    """The label of each run after runs shorter than least have been merged, the shortest (first of equals) first.
 
-    A run between equal neighbours joins them; else it joins the longer, the one before if both are as long.
+    A run between equal neighbours joins them; else it joins the longer, the one before if both are as long. Runs are a linked
+    list and wait in a heap by length and place; a merged run keeps its first one's place.
     """
-    runs = []
-    for x in labels:
-        if runs and runs[-1][0] == x:
-            runs[-1][1] += 1
-        else:
-            runs.append([x, 1])
-    while len(runs) > 1:
-        k = min(range(len(runs)), key=lambda i: (runs[i][1], i))
-        if runs[k][1] >= least:
+    n = len(labels)
+    labels, lengths = list(labels), list(lengths)
+    before, after, first = list(range(-1, n - 1)), [*range(1, n), -1], list(range(n))
+    heap = [(length, k) for k, length in enumerate(lengths)]
+    heapq.heapify(heap)
+    alone = n
+    while heap and alone > 1:
+        length, k = heapq.heappop(heap)
+        if first[k] != k or lengths[k] != length:
+            continue  # merged since
+        if length >= least:
             break
-        before, after = (runs[k - 1] if k else None), (runs[k + 1] if k + 1 < len(runs) else None)
-        take = before if after is None else after if before is None else before if before[1] >= after[1] else after
-        runs[k][0] = take[0]
-        joined = []
-        for label, n in runs:
-            if joined and joined[-1][0] == label:
-                joined[-1][1] += n
-            else:
-                joined.append([label, n])
-        runs = joined
-    return [x for x, n in runs for _ in range(n)]
+        a, b = before[k], after[k]
+        labels[k] = labels[a] if b < 0 or (a >= 0 and lengths[a] >= lengths[b]) else labels[b]
+        for left, right in ((k, b), (a, k)):
+            if left >= 0 and right >= 0 and labels[left] == labels[right]:
+                lengths[left] += lengths[right]
+                first[right], alone = left, alone - 1
+                after[left] = after[right]
+                if after[right] >= 0:
+                    before[after[right]] = left
+                k = left
+        heapq.heappush(heap, (lengths[k], k))
+    out = []
+    for k in range(n):
+        out.append(labels[k] if first[k] == k else out[first[k]])
+    return out
+
+
+def merge_short(labels: list, least: int) -> list:
+    """merge_runs() of a list of labels, one a frame."""
+    runs = [[x, len(list(own))] for x, own in itertools.groupby(labels)]
+    merged = merge_runs([x for x, _ in runs], [n for _, n in runs], least)
+    return [x for x, (_, n) in zip(merged, runs, strict=True) for _ in range(n)]
 
 
 def merge_short_runs(df: DataFrame, least: int, keys: list[str], label: str = "state", order: str = "frame") -> DataFrame:
-    """Replaces label by that of merge_short(), for each recording (keys) along order. A recording is one group."""
+    """Replaces label by that of merge_short(), for each recording (keys) along order.
+
+    Spark finds the runs; a recording's runs, not its frames, come together, and merged labels are joined back.
+    """
     least = positive_int(least, "least")
+    w = _by(keys).orderBy(order)
+    changes = ~F.col(label).eqNullSafe(F.lag(label).over(w)) | (F.row_number().over(w) == 1)
+    marked = df.withColumn("__new", changes.cast("long")).withColumn("__run", F.sum("__new").over(w)).drop("__new")
+    runs = marked.groupBy(*keys, "__run").agg(F.first(label).alias("__label"), F.count("*").alias("__n"))
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{label: merge_short(pdf[label].tolist(), least)})
+        pdf = pdf.sort_values("__run")
+        return pdf.assign(__label=merge_runs(pdf["__label"].tolist(), pdf["__n"].tolist(), least))[[*keys, "__run", "__label"]]
 
-    return df.groupBy(*keys).applyInPandas(merge, df.schema)
+    ddl = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"__run long, __label {types[label]}"])
+    merged = runs.groupBy(*keys).applyInPandas(merge, ddl)
+    return marked.join(merged, [*keys, "__run"]).select(*[F.col("__label").alias(c) if c == label else c for c in df.columns])
 
 
 def binned_raster(activity: DataFrame, frames: DataFrame, boundaries: DataFrame, bin_seconds: float, fs: float) -> tuple[DataFrame, DataFrame]:

@@ -246,7 +246,16 @@ def _user_states(spark, d):
     return e.select(F.col("user_id").alias("recording"), F.col("event_id").alias("frame"), F.col("event_type").alias("state"))
 
 
-@query("w11_merge_short_runs")
+@query("w11_merge_short_runs", """WITH RECURSIVE s AS (SELECT user_id AS recording, event_id AS frame, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT recording, run, any_value(state) AS state, count(*) AS n FROM (SELECT recording, state, sum(cut) OVER (PARTITION BY recording ORDER BY i) AS run FROM (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY recording ORDER BY i) THEN 1 ELSE 0 END AS cut FROM s)) GROUP BY 1, 2),
+m(recording, l, c) AS (SELECT recording, list(state ORDER BY run), list(n ORDER BY run) FROM r GROUP BY 1
+  UNION ALL SELECT recording, l[:k - 1 - a] || [t] || l[k + 1 + b:], c[:k - 1 - a] || [c[k] + CASE WHEN a = 1 THEN c[k - 1] ELSE 0 END + CASE WHEN b = 1 THEN c[k + 1] ELSE 0 END] || c[k + 1 + b:] FROM (
+    SELECT recording, l, c, k, t, CASE WHEN k > 1 AND l[k - 1] = t THEN 1 ELSE 0 END AS a, CASE WHEN k < len(l) AND l[k + 1] = t THEN 1 ELSE 0 END AS b FROM (
+      SELECT *, CASE WHEN k = len(l) OR (k > 1 AND c[k - 1] >= c[k + 1]) THEN l[k - 1] ELSE l[k + 1] END AS t FROM (SELECT *, list_position(c, list_min(c)) AS k FROM m WHERE len(l) > 1 AND list_min(c) < 2)))),
+f AS (SELECT recording, arg_min(l, len(l)) AS l, arg_min(c, len(l)) AS c FROM m GROUP BY 1),
+u AS (SELECT recording, unnest(l) AS state, unnest(c) AS n, unnest(range(len(l))) AS k FROM f),
+e AS (SELECT recording, state, sum(n) OVER (PARTITION BY recording ORDER BY k) AS hi, n FROM u)
+SELECT s.recording, s.frame, e.state FROM s JOIN e ON e.recording = s.recording AND s.i > e.hi - e.n AND s.i <= e.hi""")
 def w11(spark, d):
     return sequence.merge_short_runs(_user_states(spark, d), 2, ["recording"])
 
@@ -443,7 +452,7 @@ def a22(spark, d):
 
 @query("a23_medians", "dummy AS (SELECT 1) SELECT node_id, round(median(v), 6) AS m FROM cells GROUP BY 1")
 def a23(spark, d):
-    return A.event_cells(spark, d).groupBy("node_id").agg(r6(F.median("v")).alias("m"))
+    return tables.grouped_quantiles(A.event_cells(spark, d), ["node_id"], "v", [0.5]).select("node_id", r6("q0").alias("m"))
 
 
 @query("g2_giant_component", _kept_sql("4e-3") + """, lk AS (SELECT i AS a, j AS b FROM kept UNION ALL SELECT j, i FROM kept),
