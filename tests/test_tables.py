@@ -53,3 +53,41 @@ def test_threshold_with_ties(spark):
         limit = sorted(values, reverse=True)[m - 1]
         kept = correlate.density_graphs(pairs, [density]).collect()
         assert len(kept) == sum(v >= limit for v in values) and {r["threshold"] for r in kept} == {limit}
+
+
+def test_distance_profile_equals_all_pairs(spark):
+    """Two recordings; one in a line with a crowd in one place, nodes without a place or a module."""
+    rng, rows = np.random.RandomState(9), []
+    for k in (0, 1):
+        for n in range(300):
+            x = None if n == 7 else float("nan") if n == 8 else 40.0 if n % 5 == 0 else float(rng.rand() * 200)
+            rows.append((k, n, x, float(rng.rand() * 200) * k, None if n % 11 == 0 else int(rng.randint(3))))
+    df = spark.createDataFrame(rows, "k int, node_id long, x double, y double, module long")
+    edges = [10.0, 25.0, 60.0]
+    want = {}
+    for k in (0, 1):
+        own = [r for r in rows if r[0] == k]
+        for a in range(300):
+            for b in range(a):
+                p, q = own[a], own[b]
+                lost = any(v is None or v != v for v in (p[2], q[2]))
+                t = want.setdefault((k, 3 if lost else int(np.searchsorted(edges, np.hypot(p[2] - q[2], p[3] - q[3]), "right"))), [0, 0, 0])
+                known = p[4] is not None and q[4] is not None
+                t[0], t[1], t[2] = t[0] + 1, t[1] + known, t[2] + (known and p[4] == q[4])
+    for block in (2048, 40, 7):
+        got = {(r["k"], r["bin"]): (r["n_pairs"], r["same"]) for r in spatial.same_module_by_distance(df, edges, ["k"], block).collect()}
+        assert got == {at: (n, pytest.approx(same / known)) for at, (n, known, same) in want.items()}
+    one = {r["bin"]: r["n_pairs"] for r in spatial.same_module_by_distance(df.where("k = 0"), [1000.0], block=50).collect()}
+    assert one == {0: 298 * 297 // 2, 1: 300 * 299 // 2 - 298 * 297 // 2}
+    assert [r["n_pairs"] for r in spatial.same_module_by_distance(df.limit(0).drop("k"), edges).orderBy("bin").collect()] == [0] * 4
+
+
+def test_distance_profile_of_many_nodes(spark):
+    import time
+
+    n = 30_000
+    df = spark.range(n).selectExpr("id AS node_id", "rand(1) * 3000 AS x", "rand(2) * 3000 AS y", "id % 20 AS module")
+    began = time.time()
+    got = spatial.same_module_by_distance(df, [50.0, 100.0, 200.0]).orderBy("bin").collect()
+    assert sum(r["n_pairs"] for r in got) == n * (n - 1) // 2 and time.time() - began < 120
+    assert all(abs(r["same"] - 0.05) < 2e-3 for r in got)
