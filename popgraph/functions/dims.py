@@ -105,3 +105,45 @@ def trigger_manifest(spark: SparkSession) -> DataFrame:
     """(recording, segment, bout, anchor) of the released recordings."""
     rows = [(r, i, b, a) for r, own in TRIGGER_SELECTIONS.items() for i, (b, a) in enumerate(own)]
     return spark.createDataFrame(rows, "recording string, segment int, bout int, anchor string")
+
+
+#: The released files of each kind, as name: (id, bytes).
+RELEASED_FILES = {
+    "calcium": {
+        "mouse01_sleep.mat": ("1f786027-c4b2-4ac9-8449-24c0cfb434db", 658474258),
+        "mouse02_sleep.mat": ("b266f5ee-cc1d-4a47-9d41-29655a7c3967", 1093789677),
+        "mouse03_sleep.mat": ("3191b169-1d10-4807-9284-edfd96f6c44e", 1197235306),
+        "mouse03_ane.mat": ("1616a6b6-edec-4637-bea9-bca9c0a95848", 1123058079),
+        "mouse04_day1_sleep.mat": ("8d84d7ac-b4c8-4208-9e5c-c3a4605d3e31", 1625754526),
+        "mouse04_day2_sleep.mat": ("105e2c10-8a9a-4cd2-9c76-411cf673ec28", 2254368168),
+        "mouse05_sleep.mat": ("ed06e6f2-7485-493e-8d32-d01e0d13aec9", 1263665343),
+        "mouse05_ane.mat": ("5b5f67db-2bd0-43ae-8b4f-eb50138e6057", 1079340853),
+        "mouse06_ane.mat": ("e1dd0560-3486-45e6-a086-e2c1bfb2bb6e", 563929318),
+        "mouse07_ane.mat": ("ffdc68e6-fbb4-43f5-81e2-a8271a50819a", 363189208),
+    },
+    "physiology": {
+        "README_EEG_EMG.md": ("62efc349-d2ac-4aec-89d5-d747af61a20c", 2969),
+        "mouse01_sleep_physiological_data.mat": ("ba79f124-a00e-4f71-ae60-729ee9b8dbcc", 180001112),
+        "mouse02_sleep_physiological_data.mat": ("b60cfc5d-c6f5-499f-bb8b-e93564e07360", 360001112),
+        "mouse03_sleep_physiological_data.mat": ("1b58e659-c2d9-406d-94dd-41d25c856f78", 360001112),
+        "mouse04_day1_sleep_physiological_data.mat": ("6cf82a55-0e08-4a07-8716-9aed78b50430", 360001112),
+        "mouse04_day2_sleep_physiological_data.mat": ("25761808-4bbd-471f-b249-4f48d0cb33d4", 432001112),
+        "mouse05_sleep_physiological_data.mat": ("3c6a3b7b-3dfb-4631-a670-5edbf8ebf81c", 360001112),
+        "mouse03_ane_physiological_data.mat": ("0bf7785e-612a-41cd-9f52-33261659be30", 362601312),
+        "mouse05_ane_physiological_data.mat": ("48f04ef2-dcd8-48fc-8d16-26f079cfb314", 546001312),
+        "mouse06_ane_physiological_data_awake.mat": ("e80affb3-91a2-4a7c-bafc-5cfe352b3fca", 179201296),
+        "mouse06_ane_physiological_data_ane.mat": ("b5548e9c-76a4-4b7a-8a11-b58fc48a332f", 299601296),
+        "mouse07_ane_physiological_data.mat": ("4a57ad37-a7e9-4948-acc9-708926eb1b4f", 619201496),
+    },
+}
+
+
+def released_files(spark: SparkSession) -> DataFrame:
+    """(kind, name, file_id, bytes) of the released files: a handful of rows."""
+    rows = [(kind, name, file_id, size) for kind, own in RELEASED_FILES.items() for name, (file_id, size) in own.items()]
+    return spark.createDataFrame(rows, "kind string, name string, file_id string, bytes long")
+
+
+def bout_sizes(spark: SparkSession) -> DataFrame:
+    """(recording, sizes) of the released recordings' bouts."""
+    return spark.createDataFrame([(r, list(n)) for r, n in TRIGGER_GROUP_SIZES.items()], "recording string, sizes array<long>")

@@ -43,7 +43,7 @@ def trigger_groups(edges: DataFrame, boundaries: DataFrame | None = None, gap_fa
     keys = keys or []
     if boundaries is not None:
         starts = boundaries.groupBy(*keys).agg(F.sort_array(F.collect_list("sample")).alias("__starts"))  # a few per recording
-        edges = edges.join(F.broadcast(starts), keys, "left") if keys else edges.crossJoin(F.broadcast(starts))
+        edges = edges.join(tables.small(starts, "starts"), keys, "left") if keys else edges.crossJoin(F.broadcast(starts))
         edges = edges.withColumn("part", F.size(F.filter(F.coalesce("__starts", F.array().cast("array<long>")), lambda b: b <= F.col("sample")))).drop("__starts")
     elif "part" not in edges.columns:
         edges = edges.withColumn("part", F.lit(0))
@@ -106,12 +106,13 @@ def align_triggers(groups: DataFrame, segments: list[tuple[int, int]], fs: float
     return out, {"detected": sum(sizes), "mapped": mapped, "ignored": sum(sizes) - mapped, "period": period}
 
 
-def align_recordings(groups: DataFrame, segments: DataFrame, fs, imaging_fs: float, n_samples, key: str = "recording") -> DataFrame:
+def align_recordings(groups: DataFrame, segments: DataFrame, fs, imaging_fs: float, n_samples, key: str = "recording", manifest: DataFrame | None = None, exact_sizes: DataFrame | None = None) -> DataFrame:
     """align_triggers() for many recordings: each segment takes its recording's next bout that is long enough.
 
-    segments is (key, segment, frame_start, frame_stop); fs and n_samples are numbers or columns of (key, period).
-    Nothing comes to the driver: a recording's bout sizes and segment lengths are one row, and triggers are joined
-    to their bouts. A recording whose period is unknown (a single trigger) has no sample_stop.
+    segments is (key, segment, frame_start, frame_stop); fs and n_samples are numbers or columns of (key, period). A
+    recording in manifest (key, segment, bout, anchor) takes those bouts, and of a longer one the triggers at its start or end;
+    one in exact_sizes (key, sizes) must have bouts of just these sizes. Nothing comes to the driver: a recording's bout sizes and
+    segment lengths are one row, and triggers are joined to their bouts. A recording whose period is unknown (a single trigger) has no sample_stop.
     """
     positive(imaging_fs, "imaging_fs")
     as_column = lambda x: F.lit(x) if isinstance(x, (int, float)) else x
@@ -123,29 +124,47 @@ def align_recordings(groups: DataFrame, segments: DataFrame, fs, imaging_fs: flo
     fits = F.col("period").isNull() | (F.abs(F.col("period") - rate) / rate <= 0.02)
     both = wanted.join(sizes, key, "left")
     both = both.withColumn("segments", F.when(F.coalesce(fits, F.lit(False)), F.col("segments")).otherwise(F.raise_error(F.concat(F.lit("a trigger period does not fit the rates in recording "), F.col(key).cast("string")))))
+    if manifest is not None:
+        both = both.join(manifest.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("segment", "bout", "anchor"))).alias("chosen")), key, "left")
+    both = both.join(exact_sizes.select(key, "sizes"), key, "left") if exact_sizes is not None else both
     types = {f.name: f.dataType.simpleString() for f in both.schema}
 
+    def of_one(name, own: list, found: list, chosen: list | None, exact: list | None) -> list[tuple]:
+        sizes, rows, used, nxt = [b["n"] for b in found], [], set(), 0
+        if exact is not None and exact != sizes:
+            raise ValueError(f"recording {name}: bouts of {sizes} triggers are not those of the release")
+        if chosen is not None and len(chosen) != len(own):
+            raise ValueError(f"recording {name}: the manifest has {len(chosen)} segments, not {len(own)}")
+        for k, x in enumerate(own):
+            n = x["frame_stop"] - x["frame_start"]
+            if chosen is None:
+                bout, anchor = next((b for b in range(nxt, len(sizes)) if sizes[b] >= n), len(sizes)), "start"
+                nxt = bout + 1
+            else:
+                bout, anchor = chosen[k]["bout"], chosen[k]["anchor"]
+            if bout >= len(sizes) or sizes[bout] < n:
+                raise ValueError(f"recording {name}: segment {x['segment']} needs {n} triggers of one bout; there are bouts of {sizes}")
+            if bout in used:
+                raise ValueError(f"recording {name}: bout {bout} is taken twice")
+            used.add(bout)
+            rows.append((name, x["segment"], x["frame_start"], x["frame_stop"], found[bout]["bout"], sizes[bout] - n if anchor == "end" else 0))
+        return rows
+
     def plan(batches):
         for pdf in batches:
             rows = []
-            for name, own, found in zip(pdf[key], pdf["segments"], pdf["bouts"], strict=True):
-                found, nxt = [] if found is None else list(found), 0
-                for x in own:
-                    n = x["frame_stop"] - x["frame_start"]
-                    nxt = next((b for b in range(nxt, len(found)) if found[b]["n"] >= n), len(found))
-                    if nxt == len(found):
-                        raise ValueError(f"recording {name}: segment {x['segment']} needs {n} triggers of one bout; there are bouts of {[b['n'] for b in found]}")
-                    rows.append((name, x["segment"], x["frame_start"], x["frame_stop"], found[nxt]["bout"]))
-                    nxt += 1
-            yield pd.DataFrame(rows, columns=[key, "segment", "frame_start", "frame_stop", "bout"])
-
-    table = both.select(key, "segments", "bouts").mapInPandas(plan, f"`{key}` {types[key]}, segment int, frame_start long, frame_stop long, bout long")
+            listed = lambda r, c: None if c not in r or r[c] is None else list(r[c])
+            for r in pdf.to_dict("records"):
+                rows += of_one(r[key], list(r["segments"]), listed(r, "bouts") or [], listed(r, "chosen"), listed(r, "sizes"))
+            yield pd.DataFrame(rows, columns=[key, "segment", "frame_start", "frame_stop", "bout", "offset"])
+
+    table = both.drop("period").mapInPandas(plan, f"`{key}` {types[key]}, segment int, frame_start long, frame_stop long, bout long, offset long")
     gaps = F.transform(F.sequence(F.lit(1), F.size("samples") - 1), lambda i: F.get("samples", i) - F.get("samples", i - 1))
     own_period = F.when(F.size("samples") > 1, _median(gaps)).otherwise(F.col("period"))
     out = table.join(bouts, [key, "bout"])
-    out = out.withColumn("triggers", F.slice("samples", F.lit(1), (F.col("frame_stop") - F.col("frame_start")).cast("int")))
+    out = out.withColumn("triggers", F.slice("samples", (F.col("offset") + 1).cast("int"), (F.col("frame_stop") - F.col("frame_start")).cast("int")))
     stop = F.when(own_period.isNotNull(), F.least(as_column(n_samples), F.rint(F.element_at("triggers", -1) + own_period)).cast("long"))
-    return out.select(key, "segment", "frame_start", "frame_stop", F.element_at("triggers", 1).alias("sample_start"), stop.alias("sample_stop"), "bout", "bout_size", F.lit(0).cast("long").alias("offset"), "triggers")
+    return out.select(key, "segment", "frame_start", "frame_stop", F.element_at("triggers", 1).alias("sample_start"), stop.alias("sample_stop"), "bout", "bout_size", "offset", "triggers")
 
 
 def _median(values):

@@ -88,3 +88,19 @@ def median_centred(activity: DataFrame) -> DataFrame:
     """Adds centred: v less the node's median over its frames; NaN does not count."""
     medians = tables.grouped_quantiles(activity, ["node_id"], "v", [0.5]).withColumnRenamed("q0", "__m")
     return activity.join(medians, "node_id", "left").withColumn("centred", F.col("v") - F.col("__m")).drop("__m")
+
+
+def sampled_traces(activity: DataFrame, n_traces: int, seed: int) -> DataFrame:
+    """(trace, node_id, frame, centred, shown): a seeded sample of nodes by ascending id, less their medians, one above the other.
+
+    shown is lower by a step from trace to trace: 1.15 times what lies between the 1st and 99th percentile of all sampled
+    values. Only the number of nodes comes to the driver, which draws their ranks; activity must have as many nodes.
+    """
+    nodes = activity.select("node_id").distinct()
+    drawn = np.sort(np.random.default_rng(seed).choice(nodes.count(), size=positive_int(n_traces, "n_traces"), replace=False))
+    ranks = activity.sparkSession.createDataFrame([(int(r), k) for k, r in enumerate(drawn)], "rank long, trace int")
+    chosen = tables.ranked(nodes, [F.col("node_id")]).join(F.broadcast(ranks), "rank").select("node_id", "trace")
+    own = tables.cut(median_centred(activity.join(F.broadcast(chosen), "node_id")), "traces")
+    low, high = tables.quantiles(own, "centred", [0.01, 0.99])
+    step = 1.15 * max((high or 0.0) - (low or 0.0), 1e-6)
+    return own.select("trace", "node_id", "frame", "centred", (F.col("centred") - F.col("trace") * step).alias("shown"))

@@ -103,7 +103,7 @@ def hashed_shuffle(activity: DataFrame, positions: DataFrame, seed: int) -> Data
     """
     runs = contiguous_runs(positions)
     spans = runs.groupBy("run").agg(F.min("pos").alias("lo"), F.count("*").alias("n"))
-    cells = activity.join(runs, "frame").join(F.broadcast(spans), "run")  # runs of a state's frames are a short table
+    cells = activity.join(runs, "frame").join(tables.small(spans, "spans"), "run")
     whole = activity.select("node_id").distinct().count() * positions.count()
     if cells.count() != whole:
         raise ValueError("activity and frames are not aligned")
@@ -197,7 +197,7 @@ def binned_raster(activity: DataFrame, frames: DataFrame, boundaries: DataFrame,
     fired = activity.select("node_id", "frame", (F.col("v") > 0).cast("int").alias("on"))
     counts = fired.groupBy("node_id").agg(F.sum("on").alias("n"))
     ranks = stable_rank(counts, F.col("n"), "node_id").drop("n")
-    raster = fired.join(F.broadcast(place), "frame").groupBy("node_id", "bin", "centre").agg(F.max("on").alias("fired"))
+    raster = fired.join(tables.small(place, "bins"), "frame").groupBy("node_id", "bin", "centre").agg(F.max("on").alias("fired"))
     return raster.join(ranks, "node_id").select("rank", "node_id", "bin", "centre", "fired"), fired.groupBy("frame").agg(F.sum("on").alias("n_active"))
 
 

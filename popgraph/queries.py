@@ -153,6 +153,12 @@ def f16a(spark, d):
     return selection.median_centred(A.activity(spark, d)).select("node_id", "frame", r6("centred").alias("centred"))
 
 
+@query("f16_sampled_traces")
+def f16t(spark, d):
+    """Twenty traces drawn by a seed; drawing is the feature, and the query above takes all nodes."""
+    return selection.sampled_traces(A.activity(spark, d), 20, seed=0)
+
+
 # -- sequences -------------------------------------------------------------------------------------
 
 
@@ -884,15 +890,22 @@ def s5(spark, d):
     return A.nodes(spark, d).select("node_id", "atlas")
 
 
-@query("s6_misaligned", "SELECT 'activity of unknown nodes' AS problem, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, date_diff('hour', TIMESTAMP '2024-01-01', ts) FROM events WHERE user_id % 50 = 1)")
+_S6_SQL = """wh AS (SELECT act.node_id, act.frame FROM act WHERE node_id % 50 <> 1 OR (node_id, frame) IN (SELECT (node_id, frame) FROM cells)),
+pr AS (SELECT 'activity of unknown nodes' AS problem, count(*) AS n FROM wh WHERE node_id % 50 = 1
+  UNION ALL SELECT 'activity at unknown frames', count(*) FROM wh WHERE frame % 40 = 3
+  UNION ALL SELECT 'used frames that are not recorded', count(*) FROM uf WHERE frame % 40 = 3
+  UNION ALL SELECT 'nodes with missing frames', count(*) FROM (SELECT node_id FROM wh GROUP BY 1 HAVING count(*) <> (SELECT count(*) FROM fr WHERE frame % 40 <> 3)))"""
+
+
+@query("s6_misaligned", _S6_SQL + " SELECT problem, n FROM pr WHERE n > 0")
 def s6(spark, d):
+    """Nodes and frames that the other tables lack, and sparse activity of some nodes."""
     tag = lambda df: df.withColumn("recording", F.lit("r"))
     act = studies.cut(A.activity(spark, d), "activity")
-    frames, nodes = A.frames(spark, d), act.where("node_id % 50 != 1").select("node_id").distinct()
+    nodes, frames = act.where("node_id % 50 != 1").select("node_id").distinct(), A.frames(spark, d).where("frame % 40 != 3")
     cells = A.event_cells(spark, d)
     whole = act.join(cells.select("node_id", "frame"), ["node_id", "frame"], "left_semi").where("node_id % 50 = 1").union(act.where("node_id % 50 != 1"))
-    found = recordings.misaligned(tag(nodes), tag(frames), tag(used_frames(spark, d)), tag(whole))
-    return found.where("problem = 'activity of unknown nodes'")
+    return recordings.misaligned(tag(nodes), tag(frames), tag(used_frames(spark, d)), tag(whole))
 
 
 @query("s7_list_recordings", "SELECT p_name AS name FROM (SELECT CASE WHEN p_size % 3 = 0 THEN p_partkey || '_sleep' WHEN p_size % 3 = 1 THEN p_partkey || '_ane' ELSE p_partkey || '_x' END AS p_name, p_size FROM part) WHERE p_size % 3 < 2")

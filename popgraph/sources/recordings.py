@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import cut, small
+
 TABLES = ("recordings", "nodes", "frames", "used_frames", "activity")
 
 
@@ -40,19 +42,23 @@ def list_recordings(names: DataFrame) -> DataFrame:
 
 
 def misaligned(nodes: DataFrame, frames: DataFrame, used_frames: DataFrame, activity: DataFrame) -> DataFrame:
-    """(problem, n) of rows that no other table has a partner for; no rows if all is well."""
-    known_nodes, known_frames = nodes.select("recording", "node_id").distinct(), frames.select("recording", "frame").distinct()
-    found = [
-        ("activity of unknown nodes", activity.join(known_nodes, ["recording", "node_id"], "left_anti")),
-        ("activity at unknown frames", activity.join(known_frames, ["recording", "frame"], "left_anti")),
-        ("used frames that are not recorded", used_frames.join(known_frames, ["recording", "frame"], "left_anti")),
-        ("nodes with missing frames", activity.groupBy("recording", "node_id").agg(F.count("*").alias("n")).join(known_frames.groupBy("recording").agg(F.count("*").alias("m")), "recording").where("n != m")),
-    ]
-    out = None
-    for problem, rows in found:
-        part = rows.agg(F.count("*").alias("n")).select(F.lit(problem).alias("problem"), "n")
-        out = part if out is None else out.union(part)
-    return out.where("n > 0")
+    """(problem, n) of rows that no other table has a partner for; no rows if all is well.
+
+    activity is read once: its rows are counted by node with what is wrong with them, and all problems come from those counts.
+    """
+    known_nodes = nodes.select("recording", "node_id").distinct().withColumn("node_known", F.lit(True))
+    known_frames = cut(frames.select("recording", "frame").distinct().withColumn("frame_known", F.lit(True)), "known-frames")
+    cells = activity.join(small(known_frames, "frames"), ["recording", "frame"], "left")
+    per = cells.groupBy("recording", "node_id").agg(F.count("*").alias("n"), F.count_if(F.col("frame_known").isNull()).alias("odd"))
+    per = per.join(known_nodes, ["recording", "node_id"], "left").join(known_frames.groupBy("recording").agg(F.count("*").alias("m")), "recording", "left")
+    counts = per.agg(
+        F.sum(F.when(F.col("node_known").isNull(), F.col("n"))).alias("activity of unknown nodes"),
+        F.sum("odd").alias("activity at unknown frames"),
+        F.count_if(F.col("n") != F.col("m")).alias("nodes with missing frames"),
+    )
+    unused = used_frames.join(known_frames, ["recording", "frame"], "left_anti").agg(F.count("*").alias("used frames that are not recorded"))
+    both = counts.crossJoin(unused)  # a row each
+    return both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("problem"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias("n")) for c in both.columns]))).where("n > 0")
 
 
 def decode_strings(words: list[int]) -> list[str]:
@@ -80,7 +86,7 @@ def concat_parts(parts: DataFrame) -> DataFrame:
     lengths = parts.groupBy("recording", "part").agg((F.max("sample") + 1).alias("n"))
     w = Window.partitionBy("recording").orderBy("part")
     offsets = lengths.select("recording", "part", (F.sum("n").over(w) - F.col("n")).alias("__offset"))
-    return parts.join(F.broadcast(offsets), ["recording", "part"]).withColumn("sample", F.col("sample") + F.col("__offset")).drop("__offset")
+    return parts.join(small(offsets, "offsets"), ["recording", "part"]).withColumn("sample", F.col("sample") + F.col("__offset")).drop("__offset")
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:

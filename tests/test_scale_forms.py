@@ -140,3 +140,47 @@ def test_fifty_thousand_modules_match_in_seconds():
     key = np.unique(np.repeat(np.arange(n), 4) * n + np.clip(np.repeat(np.arange(n), 4) + rng.randint(-3, 4, 4 * n), 0, n - 1))
     began = time.time()
     assert len(matching.assign_entries(key // n, key % n, rng.rand(len(key)))) > 0.9 * n and time.time() - began < 60
+
+
+def test_sampled_traces_equal_numpy(spark):
+    rng = np.random.RandomState(2)
+    values = rng.rand(30, 40)
+    rows = [(3 * n, f, float(values[n, f])) for n in range(30) for f in range(40)]
+    got = {(r["trace"], r["frame"]): r for r in selection.sampled_traces(spark.createDataFrame(rows, "node_id long, frame long, v double"), 7, 5).collect()}
+    drawn = np.sort(np.random.default_rng(5).choice(30, size=7, replace=False))
+    centred = values[drawn] - np.median(values[drawn], axis=1, keepdims=True)
+    low, high = np.percentile(centred, (1, 99))
+    assert len(got) == 7 * 40
+    for (k, f), r in got.items():
+        assert r["node_id"] == 3 * drawn[k] and r["shown"] == pytest.approx(centred[k, f] - k * 1.15 * (high - low))
+
+
+def test_recordings_follow_manifests(spark):
+    """Bouts and ends as the manifest says; sizes as released; others take the next bout that is long enough."""
+    from popgraph.operators import physiology
+
+    rows = [(name, 1000 * bout + 10 * k, bout, 10.0) for name, sizes in (("m", (2, 6, 5)), ("free", (2, 6, 5))) for bout, n in enumerate(sizes) for k in range(n)]
+    groups = spark.createDataFrame(rows, "recording string, sample long, bout long, period double")
+    segments = spark.createDataFrame([(name, k, 4 * k, 4 * k + 4) for name in ("m", "free") for k in (0, 1)], "recording string, segment int, frame_start long, frame_stop long")
+    manifest = spark.createDataFrame([("m", 0, 2, "end"), ("m", 1, 1, "start"), ("other", 0, 0, "end")], "recording string, segment int, bout int, anchor string")
+    sizes = spark.createDataFrame([("m", [2, 6, 5]), ("other", [1])], "recording string, sizes array<long>")
+    how = {"fs": 100.0, "imaging_fs": 10.0, "n_samples": 10**6, "manifest": manifest}
+    got = {(r["recording"], r["segment"]): (r["bout"], r["offset"], r["triggers"], r["sample_stop"]) for r in physiology.align_recordings(groups, segments, exact_sizes=sizes, **how).collect()}
+    assert got == {
+        ("m", 0): (2, 1, [2010, 2020, 2030, 2040], 2050), ("m", 1): (1, 0, [1000, 1010, 1020, 1030], 1040),
+        ("free", 0): (1, 0, [1000, 1010, 1020, 1030], 1040), ("free", 1): (2, 0, [2000, 2010, 2020, 2030], 2040),
+    }
+    one = segments.where("recording = 'm'")
+    wrong = spark.createDataFrame([("m", [2, 6, 6])], sizes.schema)
+    twice = spark.createDataFrame([("m", 0, 1, "end"), ("m", 1, 1, "start")], manifest.schema)
+    for bad, text in (({"exact_sizes": wrong}, "release"), ({"manifest": twice}, "twice"), ({"manifest": manifest.limit(1)}, "manifest has 1")):
+        with pytest.raises(Exception, match=text):
+            physiology.align_recordings(groups, one, **{**how, **bad}).collect()
+
+
+def test_released_files(spark):
+    from popgraph.functions import dims
+
+    sums = {r["kind"]: (r["n"], r["b"]) for r in dims.released_files(spark).groupBy("kind").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).collect()}
+    assert sums == {"calcium": (10, 11_222_804_736), "physiology": (12, 4_058_616_353)}
+    assert dims.bout_sizes(spark).count() == 10
