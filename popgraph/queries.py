@@ -511,7 +511,16 @@ def a26(spark, d):
 # -- space -----------------------------------------------------------------------------------------
 
 
-@query("c1_parcels")
+_C1_SQL = """seeds(scale, node_id, x, y, parcel, step) AS (SELECT scale, node_id, x, y, CAST(NULL AS BIGINT), 0 FROM nodes, (SELECT unnest([5, 20]) AS scale)
+  UNION ALL SELECT scale, node_id, x, y, CASE WHEN parcel IS NULL AND place <= scale THEN step ELSE parcel END, step + 1 FROM (
+    SELECT *, row_number() OVER (PARTITION BY scale, parcel IS NULL ORDER BY node_id <> seed, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)), node_id) AS place FROM (
+      SELECT *, first_value(node_id) OVER w AS seed, first_value(x) OVER w AS sx, first_value(y) OVER w AS sy, count(*) FILTER (parcel IS NULL) OVER (PARTITION BY scale) AS free
+      FROM seeds WINDOW w AS (PARTITION BY scale ORDER BY parcel IS NOT NULL, x + y, node_id)) WHERE free > 0))
+SELECT CAST(1 AS INTEGER) AS scale, node_id, CAST(row_number() OVER (ORDER BY node_id) - 1 AS BIGINT) AS parcel FROM nodes
+UNION ALL SELECT CAST(scale AS INTEGER), node_id, parcel FROM seeds WHERE step = (SELECT max(step) FROM seeds e WHERE e.scale = seeds.scale)"""
+
+
+@query("c1_parcels", _C1_SQL)
 def c1(spark, d):
     return spatial.close_clustering(A.nodes(spark, d), [1, 5, 20])
 
@@ -760,7 +769,18 @@ def p8m(spark, d):
     return sequence.merge_short_runs(f, 3, ["recording"])
 
 
-@query("p1_aligned_segments")
+_P1_SQL = """WITH tr AS (SELECT date_diff('day', TIMESTAMP '2024-01-01', ts) AS recording, event_id AS sample, value AS v FROM events),
+ed AS (SELECT recording, sample FROM (SELECT *, coalesce(lag(v > 60) OVER (PARTITION BY recording ORDER BY sample), false) AS b FROM tr) WHERE v > 60 AND NOT b),
+gp AS (SELECT *, sample - lag(sample) OVER (PARTITION BY recording ORDER BY sample) AS gap FROM ed), md AS (SELECT recording, median(gap) AS period FROM gp GROUP BY 1),
+bo AS (SELECT recording, sample, period, sum(CASE WHEN gap > 3 * period THEN 1 ELSE 0 END) OVER (PARTITION BY recording ORDER BY sample) AS bout FROM gp JOIN md USING (recording)),
+ow AS (SELECT *, sample - lag(sample) OVER (PARTITION BY recording, bout ORDER BY sample) AS gap FROM bo),
+sz AS (SELECT recording, bout, count(*) AS size, greatest(1, count(*) - 1) AS n, list(sample ORDER BY sample) AS samples, coalesce(median(gap), any_value(period)) AS step FROM ow GROUP BY 1, 2)
+SELECT recording, CAST(row_number() OVER w - 1 AS INTEGER) AS segment, CAST(sum(n) OVER w - n AS BIGINT) AS frame_start, CAST(sum(n) OVER w AS BIGINT) AS frame_stop, samples[1] AS sample_start,
+  CAST(least(1000000000000, round_even(samples[n] + step, 0)) AS BIGINT) AS sample_stop, CAST(bout AS BIGINT) AS bout, size AS bout_size, CAST(0 AS BIGINT) AS "offset"
+FROM sz WINDOW w AS (PARTITION BY recording ORDER BY bout)"""
+
+
+@query("p1_aligned_segments", _P1_SQL)
 def p1(spark, d):
     """The bouts of every recording, with a segment for each that is one trigger shorter."""
     edges = _edges(spark, d).drop("part")
