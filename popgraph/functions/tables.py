@@ -59,7 +59,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank", keys: list[st
     counts = own.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__from"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__part")  # a row a range
     before = counts.withColumn("__before", F.sum("__n").over(w) - F.col("__n")).select(*keys, "__part", "__from", "__before")
-    out = own.join(small(before, "range-counts"), [*keys, "__part"])
+    out = own.join(before, [*keys, "__part"])
     return out.withColumn(name, F.col("__before") + F.col("__at") - F.col("__from")).drop("__part", "__at", "__from", "__before")
 
 
@@ -75,10 +75,12 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, shares: list[
     what lies in those cells.
     """
     x = df.select(*keys, F.col(column).cast("double").alias("__x")).where("__x is not null and not isnan(__x)")
-    sizes = small(x.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")), "group-sizes")
+    sizes = x.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     names = [f"q{k}" for k in range(len(shares))]
     large = sizes.where(F.col("__n") > most)
-    if large.isEmpty():
+    if not large.isEmpty():
+        large = small(large, "large-groups")
+    else:
         return x.groupBy(*keys).agg(*[F.percentile("__x", F.lit(s)).alias(c) for s, c in zip(shares, names, strict=True)])
     few = x.join(large, keys, "left_anti").groupBy(*keys).agg(*[F.percentile("__x", F.lit(s)).alias(c) for s, c in zip(shares, names, strict=True)])
     # two ranks for each share; they lie __rest places after the first value from __lo on

@@ -40,8 +40,8 @@ def n_modules(partition: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame, checkpoint, keys: list[str] | None = None) -> DataFrame:
     """(keys, node_id, component): the least node that each can reach. checkpoint(df) cuts the lineage of each round.
 
-    Each round a node takes the least label of its neighbours, and then the label that its own one has: labels are
-    looked up in the table of the nodes that are one, so a component of all nodes makes no long list for one key.
+    Each round a node takes the least label of its neighbours, and then what that label's node had itself: labels are
+    looked up in the table of those that are one, so a component of all nodes makes no long list for one key.
     """
     keys = keys or []
     links = edges.select(*keys, F.col("i").alias("u"), F.col("j").alias("v"))
@@ -49,9 +49,8 @@ def components(edges: DataFrame, nodes: DataFrame, checkpoint, keys: list[str] |
     label = nodes.select(*keys, "node_id", F.col("node_id").alias("component"))
     while True:
         near = links.join(label.withColumnRenamed("node_id", "v"), [*keys, "v"]).groupBy(*keys, F.col("u").alias("node_id")).agg(F.min("component").alias("m"))
-        new = checkpoint(label.join(near, [*keys, "node_id"], "left").select(*keys, "node_id", F.least("component", "m").alias("to"), "component"))
-        # and a jump: to the component of one's component, found once for each label
-        hop = new.join(new.select(*keys, F.col("to").alias("node_id")).distinct(), [*keys, "node_id"], "left_semi").select(*keys, F.col("node_id").alias("to"), F.col("to").alias("hop"))
+        new = label.join(near, [*keys, "node_id"], "left").select(*keys, "node_id", F.least("component", "m").alias("to"), "component")
+        hop = label.join(label.select(*keys, F.col("component").alias("node_id")).distinct(), [*keys, "node_id"], "left_semi").select(*keys, F.col("node_id").alias("to"), F.col("component").alias("hop"))
         new = checkpoint(new.join(hop, [*keys, "to"]).select(*keys, "node_id", F.least("to", "hop").alias("next"), "component"))
         if new.where("next < component").isEmpty():
             return new.select(*keys, "node_id", F.col("next").alias("component"))

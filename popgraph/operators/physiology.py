@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dims, signal, tables
 from ..functions.checks import positive, positive_int
@@ -51,7 +52,7 @@ def trigger_groups(edges: DataFrame, boundaries: DataFrame | None = None, gap_fa
     gaps = edges.withColumn("__gap", F.col("sample") - F.lag("sample").over(w)).withColumn("__new", F.coalesce(F.col("part") != F.lag("part").over(w), F.lit(False)))
     if keys:
         median = tables.grouped_quantiles(gaps, keys, "__gap", [0.5]).withColumnRenamed("q0", "period")
-        gaps = gaps.join(tables.small(median, "periods"), keys, "left")  # a single trigger has no period
+        gaps = gaps.join(median, keys, "left")  # a single trigger has no period
     else:
         gaps = gaps.withColumn("period", F.lit(tables.quantiles(gaps, "__gap", [0.5])[0]).cast("double"))
     cut = (F.coalesce(F.col("__gap") > gap_factor * F.col("period"), F.lit(False)) | F.col("__new")).cast("int")
@@ -230,17 +231,11 @@ def _per_piece(samples: DataFrame, aligned: DataFrame, columns: list[str], fs: f
     upto = lambda c: F.size(F.filter("triggers", lambda t: t < F.col(c)))
     pieces = pieces.withColumns({"t0": F.greatest(F.lit(0), upto("x0") - 1), "t1": upto("x1") + 1})
     pieces = pieces.withColumn("triggers", F.slice("triggers", F.col("t0") + 1, F.col("t1") - F.col("t0"))).withColumn("frame_start", F.col("frame_start") + F.col("t0")).drop("t0", "t1")
-    # the nearest samples outside, from the first and last ones of each span
-    point = F.struct("sample", *columns)
-    edges = values.groupBy(*own, "span").agg(F.min(point).alias("first"), F.max(point).alias("last"))
-    no_point, no_piece = F.lit(None).cast(edges.schema["first"].dataType), F.lit(None).cast("long")
-    marks = edges.select(*own, "span", F.lit(1).alias("kind"), "first", "last", no_piece.alias("piece"))
-    for kind, at in ((0, "s0"), (2, "s1")):
-        marks = marks.union(pieces.select(*own, at, F.lit(kind), no_point, no_point, "piece"))
-    along = Window.partitionBy(*own).orderBy("span", "kind")  # a row for each span and two for each piece
-    marks = marks.withColumn("prev", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first("first", True).over(along.rowsBetween(0, Window.unboundedFollowing)))
-    outside = marks.where("kind <> 1").groupBy(*own, "piece").agg(F.first(F.when(F.col("kind") == 0, F.col("prev")), True).alias("prev"), F.first(F.when(F.col("kind") == 2, F.col("next")), True).alias("next"))
-    pieces = tables.cut(pieces.join(outside, [*own, "piece"]), "pieces")
+    if table.where(F.col("n") > size).isEmpty():  # nothing lies outside of whole segments
+        no_point = F.lit(None).cast(T.StructType([T.StructField("sample", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in columns]]))
+        pieces = pieces.withColumns({"prev": no_point, "next": no_point})
+    else:
+        pieces = _with_outside(pieces, values, own, columns)
     wanted = pieces.select(*own, "piece", F.explode(F.sequence("s0", "s1")).alias("span"))
     dealt = values.join(wanted, [*own, "span"]).select(*[F.col(c).alias(c) for c in (*own, "piece", "sample", *columns)])  # columns of its own
     types = {f.name: f.dataType.simpleString() for f in pieces.schema}
@@ -268,6 +263,20 @@ def _per_piece(samples: DataFrame, aligned: DataFrame, columns: list[str], fs: f
     return dealt.groupBy(*own, "piece").cogroup(pieces.groupBy(*own, "piece")).applyInPandas(run, ddl)
 
 
+def _with_outside(pieces: DataFrame, values: DataFrame, own: list[str], columns: list[str]) -> DataFrame:
+    """Adds prev and next, a piece's nearest samples before s0 and after s1, from the first and last ones of each span."""
+    point = F.struct("sample", *columns)
+    edges = values.groupBy(*own, "span").agg(F.min(point).alias("first"), F.max(point).alias("last"))
+    no_point, no_piece = F.lit(None).cast(edges.schema["first"].dataType), F.lit(None).cast("long")
+    marks = edges.select(*own, "span", F.lit(1).alias("kind"), "first", "last", no_piece.alias("piece"))
+    for kind, at in ((0, "s0"), (2, "s1")):
+        marks = marks.union(pieces.select(*own, at, F.lit(kind), no_point, no_point, "piece"))
+    along = Window.partitionBy(*own).orderBy("span", "kind")  # a row for each span and two for each piece
+    marks = marks.withColumn("prev", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first("first", True).over(along.rowsBetween(0, Window.unboundedFollowing)))
+    outside = marks.where("kind <> 1").groupBy(*own, "piece").agg(F.first(F.when(F.col("kind") == 0, F.col("prev")), True).alias("prev"), F.first(F.when(F.col("kind") == 2, F.col("next")), True).alias("next"))
+    return tables.cut(pieces.join(outside, [*own, "piece"]), "pieces")
+
+
 def _minutes(row: pd.Series, seconds: np.ndarray, fs: float, imaging_fs: float) -> np.ndarray:
     """Recorded minutes of places in a segment, by interpolation between its frames' triggers."""
     triggers = np.asarray(row["triggers"]) - row["sample_start"]

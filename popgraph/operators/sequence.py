@@ -167,7 +167,7 @@ def merge_short_runs(df: DataFrame, least: int, keys: list[str], label: str = "s
     least = positive_int(least, "least")
     w = _by(keys).orderBy(order)
     changes = ~F.col(label).eqNullSafe(F.lag(label).over(w)) | (F.row_number().over(w) == 1)
-    marked = df.withColumn("__new", changes.cast("long")).withColumn("__run", F.sum("__new").over(w)).drop("__new")
+    marked = tables.cut(df.withColumn("__new", changes.cast("long")).withColumn("__run", F.sum("__new").over(w)).drop("__new"), "runs")
     runs = marked.groupBy(*keys, "__run").agg(F.first(label).alias("__label"), F.count("*").alias("__n"))
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
