@@ -109,3 +109,12 @@ def test_blocks_guarantee_the_radius():
     assert sum(decontaminate.BLOCKS) == 64 and decontaminate.RADIUS < len(decontaminate.BLOCKS) * (decontaminate.FLIPS + 1)
     for width, flipped in zip(decontaminate.BLOCKS, decontaminate._FLIPPED, strict=True):
         assert len(set(flipped.tolist())) == 1 + width + len(list(combinations(range(width), 2)))
+
+
+def test_op3_takes_columns_of_any_name(spark, tmp_path):
+    from popgraph.llm import queries
+
+    rows = [(1, "the same long line of words\nand more", 7, 1), (2, "the same long line of words\nand other", 8, 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, removed_words int, _removed_words int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed_words"] for r in queries.op3_winnowing_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 6}
