@@ -30,7 +30,7 @@ LEAST_DOCS, LEAST_WEIGHT, LEAST_SHARE = 5, 2.5, 0.01
 #: Letters of the beginnings of words that are tried beside the whole words.
 PREFIXES = (4, 5, 6, 7)
 #: Terms counted in a task before they are handed on.
-TERMS = 300_000
+TERMS = 100_000
 REJECT = 0.5
 
 #: What stands for a Latin letter, by the letter.
