@@ -550,6 +550,18 @@ def a3(spark, d):
     return spatial.same_module_by_distance(A.nodes(spark, d), EDGES_UM).select(L("bin").alias("bin"), "n_pairs", r6("same").alias("same"))
 
 
+@query("c2_profiles_of_scales", """dd AS (SELECT a.module AS m1, b.module AS m2, a.x AS xa, b.x AS xb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM nodes a JOIN nodes b ON a.node_id < b.node_id),
+ss AS (SELECT 1 AS scale, d, (m1 = m2)::INT AS s FROM dd UNION ALL SELECT 5, d, (floor(xa / 40) = floor(xb / 40))::INT FROM dd),
+bn AS (SELECT * FROM (VALUES (0, 0e0, 50e0), (1, 50e0, 100e0), (2, 100e0, 200e0), (3, 200e0, NULL)) t(bin, lo, hi))
+SELECT CAST(scale AS BIGINT) AS scale, CAST(bin AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n_pairs, round(avg(s), 6) AS same FROM bn JOIN ss ON d >= lo AND (hi IS NULL OR d < hi) GROUP BY 1, 2""")
+def c2(spark, d):
+    """Profiles of two partitions over distances that are worked out once."""
+    n = A.nodes(spark, d)
+    labels = n.select(F.lit(1).alias("scale"), "node_id", "module").union(n.select(F.lit(5), "node_id", F.floor(F.col("x") / 40)))
+    out = spatial.distance_profiles(n, labels, [1, 5], EDGES_UM).where("n_pairs > 0")
+    return out.select(L("scale").alias("scale"), L("bin").alias("bin"), "n_pairs", r6("same").alias("same"))
+
+
 @query("a4_localization_index", """nn AS (SELECT a.node_id, a.module, arg_min(b.module, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS m FROM nodes a JOIN nodes b ON a.node_id <> b.node_id GROUP BY 1, 2)
 SELECT round((SELECT avg(CASE WHEN module = m THEN 1e0 ELSE 0e0 END) FROM nn) / (SELECT sum((n / t) * (n / t)) FROM (SELECT count(*)::DOUBLE AS n FROM nodes GROUP BY module), (SELECT count(*)::DOUBLE AS t FROM nodes)), 6) AS localization""")
 def a4(spark, d):
