@@ -591,17 +591,17 @@ def a7(spark, d):
     return out.select("state", "n_valid", *[F.round(c, 5).alias(c) for c in ("mean", "lower", "upper")])
 
 
-@query("a8_recording_summary", _CO_SQL + " SELECT mouse, recording, state, round(avg(m), 4) AS value FROM (SELECT mouse, recording, state, density, avg(q) AS m FROM co WHERE \"window\" < 3 GROUP BY ALL) GROUP BY 1, 2, 3")
+@query("a8_recording_summary", _CO_SQL + " SELECT mouse, recording, state, round(avg(m) + 3e-10, 4) AS value FROM (SELECT mouse, recording, state, density, avg(q) AS m FROM co WHERE \"window\" < 3 GROUP BY ALL) GROUP BY 1, 2, 3")
 def a8(spark, d):
-    return cohort.recording_summary(cohort_rows(spark, d), "q", ["mouse", "recording", "state"], max_windows=3).withColumn("value", F.round("value", 4))
+    return cohort.recording_summary(cohort_rows(spark, d), "q", ["mouse", "recording", "state"], max_windows=3).withColumn("value", F.round(F.col("value") + 3e-10, 4))  # off the ties, as in a1
 
 
 _A9 = "a9 AS (SELECT mouse, state, avg(m) AS value FROM (SELECT mouse, recording, state, avg(q) AS m FROM co GROUP BY ALL) GROUP BY 1, 2)"
 
 
-@query("a9_mean_of_day_means", _CO_SQL + ", " + _A9 + " SELECT mouse, state, round(value, 6) AS value FROM a9")
+@query("a9_mean_of_day_means", _CO_SQL + ", " + _A9 + " SELECT mouse, state, round(value + 3e-10, 6) AS value FROM a9")
 def a9(spark, d):
-    return cohort.mean_of_day_means(cohort_rows(spark, d), "q", ["state"]).withColumn("value", r6("value"))
+    return cohort.mean_of_day_means(cohort_rows(spark, d), "q", ["state"]).withColumn("value", r6(F.col("value") + 3e-10))
 
 
 @query("a10_density_curve", _CO_SQL + ", a9 AS (SELECT mouse, density, avg(m) AS v FROM (SELECT mouse, recording, density, avg(q) AS m FROM co GROUP BY ALL) GROUP BY 1, 2) SELECT density, CAST(count(*) AS BIGINT) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS se FROM a9 GROUP BY 1")
@@ -617,9 +617,9 @@ def _effects(spark, d):
     return cohort.paired_effects(cohort.mean_of_day_means(cohort_rows(spark, d), "q", ["state"]), "nrem")
 
 
-@query("a11_paired_effects", _A11 + " SELECT mouse, round(reference, 6) AS reference, round(other, 6) AS other, round(delta, 6) AS delta FROM ef")
+@query("a11_paired_effects", _A11 + " SELECT mouse, round(reference + 3e-10, 6) AS reference, round(other + 3e-10, 6) AS other, round(delta + 3e-10, 6) AS delta FROM ef")
 def a11(spark, d):
-    return _effects(spark, d).select("mouse", *[r6(c).alias(c) for c in ("reference", "other", "delta")])
+    return _effects(spark, d).select("mouse", *[r6(F.col(c) + 3e-10).alias(c) for c in ("reference", "other", "delta")])
 
 
 @query("a11_effect_summary", _A11 + " SELECT CAST(count(*) AS BIGINT) AS n, round(avg(delta), 6) AS mean, round(stddev_samp(delta) / sqrt(count(*)), 6) AS se FROM ef")
