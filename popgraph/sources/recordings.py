@@ -79,6 +79,34 @@ def decode_strings(words: list[int]) -> list[str]:
     return out
 
 
+def locate_strings(payloads: DataFrame) -> DataFrame:
+    """payloads (container, name, words array<long>) to (container, name, strings): of each container the one that decodes as strings.
+
+    Only words that begin like such a payload are handed to Python. None or several in a container is an error that names it;
+    words hold unsigned numbers, so those that read as negative are taken as such. An empty table gives no rows.
+    """
+    w = F.col("words")
+    likely = (F.size(w) >= 4) & (F.get(w, F.lit(0)) == 1) & (F.get(w, F.lit(1)) == 2) & (F.get(w, F.lit(3)) == 1)
+
+    def decode(batches):
+        for pdf in batches:
+            strings = []
+            for words in pdf["words"]:
+                try:
+                    strings.append(decode_strings([int(x) & (1 << 64) - 1 for x in words]))
+                except ValueError:
+                    strings.append(None)
+            yield pdf[["container", "name"]].assign(strings=strings)
+
+    kind = payloads.schema["container"].dataType.simpleString()
+    found = payloads.where(likely).select("container", "name", "words").mapInPandas(decode, f"container {kind}, name string, strings array<string>").where("strings is not null")
+    found = found.withColumn("found", F.lit(1)).unionByName(payloads.select("container").distinct(), allowMissingColumns=True)
+    per = found.groupBy("container").agg(F.count("found").alias("n"), F.first("name", True).alias("name"), F.first("strings", True).alias("strings"))
+    told = F.concat(F.coalesce(F.col("container").cast("string"), F.lit("null")), F.lit(" has "), F.col("n").cast("string"), F.lit(" payloads of strings"))
+    checked = lambda c: F.when(F.col("n") == 1, F.col(c)).otherwise(F.raise_error(told)).alias(c)
+    return per.select("container", checked("name"), checked("strings"))
+
+
 def concat_parts(parts: DataFrame) -> DataFrame:
     """Samples of parts (recording, part, sample, ...) numbered through: sample counts on from part to part."""
     from pyspark.sql import Window
