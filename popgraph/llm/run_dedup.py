@@ -8,8 +8,10 @@ so that two equal runs of RUN words have the same one.
 
 Fingerprints that occur once rule out their surroundings. Where one repeats, its positions are joined and matches are
 extended both ways: from a line over the shorter lines before it and after it, as far as the run of lines from it to
-there occurs earlier; from a gram to every RUN-word stretch that it stands for. What is matched to an earlier place
-goes. Documents that are equal word for word are settled by one hash before.
+there occurs earlier; from a gram to all words that a stretch of RUN words around it can reach. Where all these occur
+earlier around the same gram, they go, and overlapping ones make a maximal run. Only where they don't (at the ends of a
+passage, and at its first occurrence) are single stretches of RUN words compared.
+Documents that are equal word for word are settled by one hash before.
 
 Every group is reduced to its least document id by a pre-aggregated minimum, so a line or passage that a third of
 all documents share costs one row per occurrence and no pairs.
@@ -47,13 +49,42 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 def winnow(g: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints: of a text's hashes those that are the least of some width neighbours."""
+    """Places of fingerprints: where a text's hash is the least of some width neighbours."""
     pad = np.zeros(width - 1, np.uint64)
     reach = _sliding(np.concatenate([pad, _sliding(g, width, True), pad]), width, False)
-    return g[reach == g]
+    return np.flatnonzero(reach == g)
 
 
-_MARK_DDL = "doc_id long, n_words long, whole long, prints array<long>, again array<long>"
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+class _Prints:
+    """Fingerprints of a piece's texts: the gram at word `at`, and the words `begin` to `end` that stretches of run words with it reach.
+
+    around is a hash of these words and of the gram's place in them; it is never 0.
+    """
+
+    def __init__(self, w: C.Words, grams: np.ndarray, run: int, gram: int):
+        places, begin, end, counts = [], [], [], []
+        for k in range(len(w.first) - 1):
+            base, stop = int(w.first[k]), int(w.first[k + 1])
+            at = base + winnow(grams[base : stop - gram + 1], run - gram + 1) if stop - base >= run else np.zeros(0, np.int64)
+            places.append(at)
+            begin.append(np.maximum(at - (run - gram), base))
+            end.append(np.minimum(at + run, stop))
+            counts.append(len(at))
+        self.at, self.begin, self.end = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, begin, end))
+        self.first = np.cumsum([0, *counts])  # fingerprints; one more than texts
+        self.hash = grams[self.at]
+        around = C.spans(w.hash, self.begin, self.end) ^ C.mix((self.at - self.begin).astype(np.uint64) + _AFTER)
+        self.around = np.maximum(around, np.uint64(1))
+
+
+_MARK_DDL = "doc_id long, n_words long, whole long, prints array<long>, around array<long>, again array<long>"
 
 
 class _Lines:
@@ -106,23 +137,23 @@ def _lists(x: list[np.ndarray]) -> pa.Array:
 def _mark(run: int, gram: int, line: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, whole, prints, again = [], [], [], []
+            n, whole, prints, around, again = [], [], [], [], []
             for w, lines in _pieces(batch, 1, line):
                 size, grams = np.diff(w.first), C.rolling(w.hash, gram)
                 n += size.tolist()
                 whole += [x if m else None for x, m in zip(C.spans(w.hash, w.first[:-1], w.first[1:]).view(np.int64).tolist(), size.tolist(), strict=True)]
-                long = lines.end - lines.begin >= line
-                for k, m in enumerate(size.tolist()):
-                    own = slice(lines.first[k], lines.first[k + 1])
-                    found = lines.hash[own][long[own]]
-                    if m >= run:
-                        found = np.concatenate([found, winnow(grams[w.first[k] : w.first[k + 1] - gram + 1], run - gram + 1)])
-                    found = np.sort(found)
-                    same = found[1:] == found[:-1]
-                    prints.append(found[np.append(True, ~same)] if len(found) else found)
-                    again.append(np.unique(found[1:][same]))
+                long, of = lines.end - lines.begin >= line, _Prints(w, grams, run, gram)
+                for k in range(len(size)):
+                    own, mine = slice(lines.first[k], lines.first[k + 1]), slice(of.first[k], of.first[k + 1])
+                    single = np.unique(lines.hash[own][long[own]])
+                    near, at = np.unique(of.around[mine], return_index=True)
+                    prints.append(np.concatenate([single, of.hash[mine][at]]))
+                    around.append(np.concatenate([np.zeros(len(single), np.uint64), near]))
+                    found = np.sort(np.concatenate([lines.hash[own][long[own]], of.hash[mine]]))
+                    again.append(np.unique(found[1:][found[1:] == found[:-1]]))
             if n:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.int64()), _lists(prints), _lists(again)], ["doc_id", "n_words", "whole", "prints", "again"])
+                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.int64()), _lists(prints), _lists(around), _lists(again)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "whole", "prints", "around", "again"])
 
     return mark
 
@@ -132,10 +163,24 @@ def _parts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
 
 
+def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in one of the runs begin:end."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
 def _stretch(run: int, gram: int, line: int):
+    """Input: doc_id, text, hot fingerprints, and what is around fingerprints here and in an earlier document.
+
+    Output: stretches to compare, by hash (g); and, marked own, those that are known to be later than another.
+    """
+    width = run - gram + 1
+
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, hot = _parts(batch.column(2))
+            (at, hot), (seen_at, seen) = _parts(batch.column(2)), _parts(batch.column(3))
             gs, rows, cuts, owns = [], [], [], []
 
             def full() -> pa.RecordBatch:
@@ -145,25 +190,37 @@ def _stretch(run: int, gram: int, line: int):
             size = 0
             for w, lines in _pieces(batch, 1, line):
                 long, grams, runs = lines.end - lines.begin >= line, C.rolling(w.hash, gram), C.rolling(w.hash, run)
+                of = _Prints(w, grams, run, gram)
                 for k in range(len(w.first) - 1):
                     row, base, stop = w.rows[0] + k, int(w.first[k]), int(w.first[k + 1])
-                    known = np.sort(hot[at[row] : at[row + 1]].view(np.uint64))
-
-                    def is_hot(x: np.ndarray, known=known) -> np.ndarray:
-                        return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
+                    known, earlier = np.sort(hot[at[row] : at[row + 1]].view(np.uint64)), np.sort(seen[seen_at[row] : seen_at[row + 1]].view(np.uint64))
                     own = slice(lines.first[k], lines.first[k + 1])
-                    g, s, e = lines.runs(k, long[own] & is_hot(lines.hash[own]), base)
-                    if stop - base >= run:
-                        t = np.flatnonzero(is_hot(_sliding(grams[base : stop - gram + 1], run - gram + 1, True)))
+                    g, s, e = lines.runs(k, long[own] & _among(lines.hash[own], known), base)
+                    gone = np.zeros((2, 0), np.int64)
+                    mine = of.first[k] + np.flatnonzero(_among(of.hash[of.first[k] : of.first[k + 1]], known))
+                    if len(mine):
+                        later = np.ones(len(mine), bool)
+                        later[np.unique(of.around[mine], return_index=True)[1]] = False
+                        later |= _among(of.around[mine], earlier)
+                        begin, end = of.begin[mine[later]] - base, of.end[mine[later]] - base
+                        covered = _covered(begin, end, stop - base)
+                        gone = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).reshape(-1, 2).T
+                        # stretches with a fingerprint that is left, less those that lie within one that is later as a whole
+                        left, least = mine[~later], _sliding(grams[base : stop - gram + 1], width, True)
+                        t, f = ((of.at[left] - base)[:, None] - np.arange(width)).ravel(), np.repeat(of.hash[left], width)
+                        ok = (t >= 0) & (t < len(least))
+                        t = np.unique(t[ok][least[t[ok]] == f[ok]])
+                        t = t[~_covered(begin, end - run + 1, stop - base)[t]]
                         g, s, e = np.concatenate([g, runs[base + t]]), np.concatenate([s, t]), np.concatenate([e, t + run])
-                    if not len(g):
+                    if not len(g) + gone.shape[1]:
                         continue
                     # what repeats within the text is later there but at its first place, by the place in it
                     order = np.argsort(s, kind="stable")
                     g, s, e = g[order], s[order], e[order]
                     own = np.ones(len(g), bool)
                     own[np.unique(g, return_index=True)[1]] = False
+                    g, s, e = np.append(g, np.zeros(gone.shape[1], np.uint64)), np.append(s, gone[0]), np.append(e, gone[1])
+                    own = np.append(own, np.ones(gone.shape[1], bool))
                     for x, y in zip((gs, rows, cuts, owns), (g, np.full(len(g), row), s << 32 | e, own), strict=True):
                         x.append(y)
                     size += len(g)
@@ -196,11 +253,8 @@ def _cut(n_columns: int, text: int):
                 for k in range(len(w.first) - 1):
                     i = w.rows[0] + k
                     first, last, begin, stop = w.first[k], w.first[k + 1], w.text_at[k], w.text_at[k + 1]
-                    edge = np.zeros(last - first + 1, np.int64)
                     own = places[at[i] : at[i + 1]]
-                    np.add.at(edge, own >> 32, 1)
-                    np.add.at(edge, own & 0xFFFFFFFF, -1)
-                    keep = np.cumsum(edge)[:-1] == 0
+                    keep = ~_covered(own >> 32, own & 0xFFFFFFFF, last - first)
                     removed[some[i]] = len(keep) - keep.sum()
                     # a word goes with the white space after it; that before the first word stays
                     to = np.append(w.start[first:last], stop)
@@ -225,10 +279,15 @@ def repeated_stretches(docs: DataFrame, run: int = RUN, gram: int = GRAM, line:
     placed = marks.join(firsts, ["whole", "n_words"], "left")
     whole = placed.where("doc_id > first").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
     ahead = placed.where("first is null or doc_id = first")
-    prints = ahead.select("doc_id", "again", F.explode("prints").alias("f")).select("doc_id", "f", F.when(F.array_contains("again", F.col("f")), 2).otherwise(1).alias("n"))
+    prints = ahead.select("doc_id", "again", F.explode(F.arrays_zip("prints", "around")).alias("x")).select("doc_id", "again", F.col("x.prints").alias("f"), F.col("x.around").alias("around"))
+    prints = prints.select("doc_id", "f", "around", F.when(F.array_contains("again", F.col("f")), 2).otherwise(1).alias("n"))
     common = prints.groupBy("f").agg(F.sum("n").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi or n > 1").select("f")
-    hot = prints.select("doc_id", "f").join(common, "f").groupBy("doc_id").agg(F.collect_set("f").alias("hot"))
-    grams = docs.where("text is not null").join(hot, "doc_id").select("doc_id", "text", "hot")
+    places = C.materialise(prints.select("doc_id", "f", "around").join(common, "f"), "places")
+    near = places.where("around <> 0").select("doc_id", "around")
+    first = near.groupBy("around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("around", "lo")
+    seen = near.join(first, "around").where("doc_id > lo").select("doc_id", F.lit(None).cast("long").alias("f"), "around")
+    hot = places.select("doc_id", "f", F.lit(None).cast("long").alias("around")).union(seen).groupBy("doc_id").agg(F.collect_set("f").alias("hot"), F.collect_set("around").alias("seen"))
+    grams = docs.where("text is not null").join(hot, "doc_id").select("doc_id", "text", "hot", "seen")
     grams = C.materialise(grams.mapInArrow(_stretch(run, gram, line), "g long, doc_id long, cut long, own boolean"), "stretches")
     least = grams.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g", "lo")
     later = grams.where("not own").join(least, "g").where("doc_id > lo").select("doc_id", "cut").union(grams.where("own").select("doc_id", "cut"))

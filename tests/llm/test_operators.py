@@ -248,6 +248,10 @@ def test_repeated_runs_equal_brute_force(spark, run, gram):
     for i in range(40):
         docs.append((200 + i, "\n".join(rng.choice(["all rights are kept", "menu", "home page", "", " sign in here now ", "Menu", sentence(rng, 3, 9), sentence(rng, 12)]) for _ in range(rng.randrange(9)))))
     docs.append((300, " ".join(["is", "one"] * run)))
+    # a run across two passages that are both later repeats, though it is not, and a repeat of that run
+    ends = [sentence(rng, 2 * run, 10**6).split(" ") for _ in range(4)]
+    for i, w in enumerate([ends[0], ends[1], ends[2] + ends[0] + ends[1] + ends[3], ends[3][:3] + ends[0][-run + 2 :] + ends[1][: run - 2] + ends[2][:3]]):
+        docs.append((310 + i, " ".join(w)))
     d = clashing(spark.createDataFrame(docs, DOCS))
     got = run_dedup.remove_repeats(d, run=run, gram=gram)
     assert got.columns == [*d.columns, "removed_words"]
