@@ -101,14 +101,13 @@ class _Lines:
         self.hash = C.spans(w.hash, self.begin, self.end) ^ _LINE_KEY
         self.first = np.searchsorted(self.begin, w.first)  # lines; one more than texts
 
-    def runs(self, k: int, seeds: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, k: int, at: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of text k: hashes of runs of lines, and the words of the line at the run's far end, counted from base.
 
-        A run is a seed alone, or a seed with the lines on to one after it or back to one before it, of which none is long.
+        A run is one of the lines at, with the lines on to one after it or back to one before it, of which none is long.
         """
         lo, hi = int(self.first[k]), int(self.first[k + 1])
-        at = lo + np.flatnonzero(seeds)
-        hashes, ends = [self.hash[at]], [at]
+        hashes, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for step, key in ((1, _AFTER), (-1, _BEFORE)):
             far, g = at, self.hash[at]
             while len(far):
@@ -163,6 +162,13 @@ def _parts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
 
 
+def _later(x: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Which of a text's x are not the first such in it, or are in earlier, which is sorted."""
+    later = np.ones(len(x), bool)
+    later[np.unique(x, return_index=True)[1]] = False
+    return later | _among(x, earlier)
+
+
 def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Which of n words lie in one of the runs begin:end."""
     edge = np.zeros(n + 1, np.int64)
@@ -172,7 +178,7 @@ def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
 
 
 def _stretch(run: int, gram: int, line: int):
-    """Input: doc_id, text, hot fingerprints, and what is around fingerprints here and in an earlier document.
+    """Input: doc_id, text, hot fingerprints, and what an earlier document has too: lines, and what is around fingerprints.
 
     Output: stretches to compare, by hash (g); and, marked own, those that are known to be later than another.
     """
@@ -195,25 +201,26 @@ def _stretch(run: int, gram: int, line: int):
                     row, base, stop = w.rows[0] + k, int(w.first[k]), int(w.first[k + 1])
                     known, earlier = np.sort(hot[at[row] : at[row + 1]].view(np.uint64)), np.sort(seen[seen_at[row] : seen_at[row + 1]].view(np.uint64))
                     own = slice(lines.first[k], lines.first[k + 1])
-                    g, s, e = lines.runs(k, long[own] & _among(lines.hash[own], known), base)
-                    gone = np.zeros((2, 0), np.int64)
+                    seeds = lines.first[k] + np.flatnonzero(long[own] & _among(lines.hash[own], known))
+                    g, s, e = lines.runs(k, seeds, base)
+                    seeds = seeds[_later(lines.hash[seeds], earlier)]
+                    begin, end = lines.begin[seeds] - base, lines.end[seeds] - base
                     mine = of.first[k] + np.flatnonzero(_among(of.hash[of.first[k] : of.first[k + 1]], known))
                     if len(mine):
-                        later = np.ones(len(mine), bool)
-                        later[np.unique(of.around[mine], return_index=True)[1]] = False
-                        later |= _among(of.around[mine], earlier)
-                        begin, end = of.begin[mine[later]] - base, of.end[mine[later]] - base
-                        covered = _covered(begin, end, stop - base)
-                        gone = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).reshape(-1, 2).T
+                        later = _later(of.around[mine], earlier)
+                        a, b = of.begin[mine[later]] - base, of.end[mine[later]] - base
+                        begin, end = np.append(begin, a), np.append(end, b)
                         # stretches with a fingerprint that is left, less those that lie within one that is later as a whole
                         left, least = mine[~later], _sliding(grams[base : stop - gram + 1], width, True)
                         t, f = ((of.at[left] - base)[:, None] - np.arange(width)).ravel(), np.repeat(of.hash[left], width)
                         ok = (t >= 0) & (t < len(least))
                         t = np.unique(t[ok][least[t[ok]] == f[ok]])
-                        t = t[~_covered(begin, end - run + 1, stop - base)[t]]
+                        t = t[~_covered(a, b - run + 1, stop - base)[t]]
                         g, s, e = np.concatenate([g, runs[base + t]]), np.concatenate([s, t]), np.concatenate([e, t + run])
-                    if not len(g) + gone.shape[1]:
+                    if not len(g) + len(begin):
                         continue
+                    edges = np.diff(np.concatenate([[False], _covered(begin, end, stop - base), [False]]).astype(np.int8))
+                    gone = np.flatnonzero(edges).reshape(-1, 2).T
                     # what repeats within the text is later there but at its first place, by the place in it
                     order = np.argsort(s, kind="stable")
                     g, s, e = g[order], s[order], e[order]
@@ -281,15 +288,16 @@ def repeated_stretches(docs: DataFrame, run: int = RUN, gram: int = GRAM, line:
     ahead = placed.where("first is null or doc_id = first")
     prints = ahead.select("doc_id", "again", F.explode(F.arrays_zip("prints", "around")).alias("x")).select("doc_id", "again", F.col("x.prints").alias("f"), F.col("x.around").alias("around"))
     prints = prints.select("doc_id", "f", "around", F.when(F.array_contains("again", F.col("f")), 2).otherwise(1).alias("n"))
-    common = prints.groupBy("f").agg(F.sum("n").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi or n > 1").select("f")
-    places = C.materialise(prints.select("doc_id", "f", "around").join(common, "f"), "places")
+    common = prints.groupBy("f").agg(F.sum("n").alias("n"), F.min("doc_id").alias("lo")).where("n > 1").select("f", "lo")
+    places = C.materialise(prints.select("doc_id", "f", "around").join(common, "f").withColumn("later", F.col("doc_id") > F.col("lo")).drop("lo"), "places")
     near = places.where("around <> 0").select("doc_id", "around")
     first = near.groupBy("around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("around", "lo")
-    seen = near.join(first, "around").where("doc_id > lo").select("doc_id", F.lit(None).cast("long").alias("f"), "around")
+    seen = near.join(first, "around").where("doc_id > lo").select("doc_id", "around").union(places.where("around = 0 and later").select("doc_id", "f"))
+    seen = seen.select("doc_id", F.lit(None).cast("long").alias("f"), "around")
     hot = places.select("doc_id", "f", F.lit(None).cast("long").alias("around")).union(seen).groupBy("doc_id").agg(F.collect_set("f").alias("hot"), F.collect_set("around").alias("seen"))
     grams = docs.where("text is not null").join(hot, "doc_id").select("doc_id", "text", "hot", "seen")
     grams = C.materialise(grams.mapInArrow(_stretch(run, gram, line), "g long, doc_id long, cut long, own boolean"), "stretches")
-    least = grams.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g", "lo")
+    least = grams.where("not own").groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g", "lo")
     later = grams.where("not own").join(least, "g").where("doc_id > lo").select("doc_id", "cut").union(grams.where("own").select("doc_id", "cut"))
     cuts = later.groupBy("doc_id").agg(F.collect_list("cut").alias("cuts")).join(whole, "doc_id", "left_anti")
     return cuts.withColumn("whole", F.lit(None).cast("long")).union(whole.select("doc_id", F.lit(None).cast("array<long>"), "n_words"))
