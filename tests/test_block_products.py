@@ -76,3 +76,47 @@ def test_quantiles_of_all_pairs(spark, nodes):
         got = correlate.quantiles_of(nodes, shares, absolute, block=11).first()
         assert np.allclose(list(got), np.quantile(np.abs(r) if absolute else r, shares), atol=1e-12)
     assert list(correlate.quantiles_of(nodes.where("node_id = 1"), [0.5]).first()) == [None]
+
+
+def plain_agreement(rows, n_runs):
+    """{(i, j): runs in which both are in one module, over the runs} of (run, node, module)."""
+    out = {}
+    for run, i, m in rows:
+        for other, j, k in rows:
+            if run == other and None not in (run, m) and m == k and i < j:
+                out[i, j] = out.get((i, j), 0) + 1 / n_runs
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string"])
+def test_agreement_of_blocks_equals_the_join(spark, kind):
+    """Nodes without a module or a run, with two modules in a run, and runs of two keys."""
+    rng = np.random.RandomState(3)
+    name = {"long": int, "double": lambda m: -0.0 if m == 0 and rng.rand() < 0.5 else float(m), "string": lambda m: f"m{m}"}[kind]
+    own = {g: [(f"r{run}", node, None if rng.rand() < 0.1 else name(rng.randint(4))) for run in range(n_runs) for node in range(40) if rng.rand() < 0.9] for g, n_runs in (("a", 3), ("b", 5))}
+    own["a"] += [("r0", 7, name(1)), ("r0", 7, name(2)), ("r9", 50, None), (None, 3, name(1)), (None, 4, name(1))]
+    runs = spark.createDataFrame([(g, *r) for g, rows in own.items() for r in rows] + [(None, "r0", 1, name(1)), (None, "r0", 2, name(1))], f"g string, run string, node_id long, module {kind}")
+    for block in (graph.BLOCK, 9):
+        got = graph.agreement(runs, ["g"], block=block).collect()
+        assert len(got) == len({(r["g"], r["i"], r["j"]) for r in got})
+        for g, n_runs in (("a", 4), ("b", 5)):
+            assert {(r["i"], r["j"]): r["agreement"] for r in got if r["g"] == g} == pytest.approx(plain_agreement(own[g], n_runs))
+        assert {r["g"] for r in got} == {"a", "b"}
+    assert {(r["i"], r["j"]): r["agreement"] for r in graph.agreement(runs.where("g = 'b'").drop("g"), decimals=1).collect()} == pytest.approx({k: round(v, 1) for k, v in plain_agreement(own["b"], 5).items()})
+    assert graph.agreement(runs.where("module is null")).count() == 0
+
+
+def test_agreement_shuffles_no_pairs(spark):
+    """Two runs of one module each: every pair of nodes is a row, and none is shuffled."""
+    n = 1500
+    runs = spark.range(n).selectExpr("id as node_id", "explode(array(0, 1)) as run", "0L as module")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = shuffled()
+    got = graph.agreement(runs).agg(F.count("*").alias("n"), F.min("agreement").alias("least")).first()
+    assert (got["n"], got["least"]) == (n * (n - 1) // 2, 1.0)
+    assert shuffled() - before < 40 * n
