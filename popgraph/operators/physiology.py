@@ -403,21 +403,35 @@ def frequency_normalised(spectrum: DataFrame, keys: list[str] | None = None) ->
     return spectrum.join(medians, by, "left").withColumn("change", F.col("power_db") - F.col("__m")).drop("__m")
 
 
+#: Distinct values of a range that are added up as one, at most: two to this power.
+RANGE_BITS = 17
+
+
 def fit_emg_threshold(windows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, threshold, balanced_accuracy, n_awake, n_sleep) that best tells awake from nrem and rem by emg_rms.
 
     Candidates lie below all values, between neighbouring ones (geometric mean if all are positive) and above
-    all; of the equally good, the middle one. Counts per distinct value are added up in order of value.
+    all; of the equally good, the middle one. Counts per distinct value are added up in order of value: distinct values are dealt by
+    ranges and added up there, and ranges (a row each) go on from one another, so no task sees all values of a key.
     """
     keys = keys or []
     ok = windows.where(F.col("emg_rms").isNotNull() & ~F.isnan("emg_rms") & (F.col("emg_rms") >= 0) & (F.col("emg_rms") < float("inf")) & F.col("state").isin("awake", "nrem", "rem"))
     awake = (F.col("state") == "awake").cast("long")
-    per = ok.groupBy(*keys, F.col("emg_rms").alias("x")).agg(F.sum(awake).alias("a"), F.sum(1 - awake).alias("s"))
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    w = whole.orderBy("x")
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("__all"))
+    per = ok.groupBy(key.alias("__key"), F.col("emg_rms").alias("x")).agg(F.sum(awake).alias("a"), F.sum(1 - awake).alias("s"))
+    per = tables.cut(per.repartitionByRange("__key", "x").sortWithinPartitions("__key", "x").withColumn("__part", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)), "values")
+    whole = Window.partitionBy("__key")
+    w = whole.orderBy("__part")  # a row a range
+    ranges = per.groupBy("__key", "__part").agg(*[F.sum(c).alias(f"__{c}") for c in "as"], F.min("x").alias("__lo"), F.max("x").alias("__hi"), F.count("*").alias("__n"))
+    ranges = ranges.select(
+        "__key", "__part", *[(F.sum(f"__{c}").over(w) - F.col(f"__{c}")).alias(f"__{c}") for c in "as"], F.lag("__hi").over(w).alias("__hi"), F.lead("__lo").over(w).alias("__lo"),
+        F.sum("__a").over(whole).alias("n_awake"), F.sum("__s").over(whole).alias("n_sleep"), F.min("__lo").over(whole).alias("least"), F.sum("__n").over(whole).alias("distinct"),
+    )
+    per = per.join(tables.small(ranges.where("n_awake > 0 and n_sleep > 0"), "ranges"), ["__key", "__part"])
+    w = Window.partitionBy("__key", "__part").orderBy("x")
     below = w.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("n_awake", F.sum("a").over(whole)).withColumn("n_sleep", F.sum("s").over(whole)).withColumn("least", F.min("x").over(whole)).withColumn("distinct", F.count("*").over(whole))
-    per = per.withColumn("a_below", F.coalesce(F.sum("a").over(below), F.lit(0))).withColumn("s_below", F.coalesce(F.sum("s").over(below), F.lit(0))).withColumn("before", F.lag("x").over(w)).withColumn("next", F.lead("x").over(w))
+    per = per.withColumn("a_below", F.col("__a") + F.coalesce(F.sum("a").over(below), F.lit(0))).withColumn("s_below", F.col("__s") + F.coalesce(F.sum("s").over(below), F.lit(0)))
+    per = per.withColumn("before", F.coalesce(F.lag("x").over(w), "__hi")).withColumn("next", F.coalesce(F.lead("x").over(w), "__lo"))
     middle = F.when(F.col("least") > 0, F.sqrt(F.col("before") * F.col("x"))).otherwise((F.col("before") + F.col("x")) / 2)
     ulp = lambda x: F.greatest(F.abs(x) * 1.1102230246251565e-16, F.lit(5e-324))
     first = F.when(F.col("distinct") == 1, F.col("x")).when(F.col("before").isNull(), F.col("x") - ulp(F.col("x"))).otherwise(middle)
@@ -425,11 +439,14 @@ def fit_emg_threshold(windows: DataFrame, keys: list[str] | None = None) -> Data
     at = F.array(F.struct(first.alias("threshold"), score(F.col("a_below"), F.col("s_below")).alias("q")))
     top = F.array(F.struct((F.col("x") + ulp(F.col("x"))).alias("threshold"), score(F.col("a_below") + F.col("a"), F.col("s_below") + F.col("s")).alias("q")))
     both = F.when(F.col("next").isNull() & (F.col("distinct") > 1), F.concat(at, top)).otherwise(at)
-    cand = per.where("n_awake > 0 and n_sleep > 0").select(*keys, "n_awake", "n_sleep", F.inline(both))
-    cand = cand.withColumn("best", F.max("q").over(whole)).where("abs(q - best) <= 1e-12")
-    order = whole.orderBy("threshold")
-    cand = cand.withColumn("k", F.row_number().over(order) - 1).withColumn("m", F.count("*").over(whole))
-    return cand.where("k = floor(m / 2)").select(*keys, "threshold", F.col("q").alias("balanced_accuracy"), "n_awake", "n_sleep")
+    cand = per.select("__key", "__part", "n_awake", "n_sleep", F.inline(both))
+    # what is not as good as its range's best is not as good as the best
+    best = F.max("q").over(Window.partitionBy("__key", "__part"))
+    cand = tables.cut(cand.withColumn("best", best).where("abs(q - best) <= 1e-12").drop("best", "__part"), "thresholds")
+    cand = cand.join(tables.small(cand.groupBy("__key").agg(F.max("q").alias("best")), "best"), "__key").where("abs(q - best) <= 1e-12")
+    cand = tables.ranked(cand, [F.col("threshold"), F.col("q")], "k", ["__key"])
+    cand = cand.join(tables.small(cand.groupBy("__key").agg(F.count("*").alias("m")), "equals"), "__key").where("k = floor(m / 2)")
+    return cand.select(*[F.col("__key")[k].alias(k) for k in keys], "threshold", F.col("q").alias("balanced_accuracy"), "n_awake", "n_sleep")
 
 
 def classify_sleep(windows: DataFrame, threshold, ratio: float = 0.3) -> DataFrame:

@@ -82,3 +82,35 @@ def test_a_filter_forgets():
     whole, cut = signal.zero_phase(sos, x), signal.zero_phase(sos, x[: 2 * n + 400])
     np.testing.assert_allclose(cut[: n + 400], whole[: n + 400], atol=1e-9)
     assert n < 250 * 60
+
+
+def test_emg_threshold_from_ranges_of_values(spark, monkeypatch):
+    """No task reads all values of a recording, and ranges, few values each, give what the rule gives; also without keys, and for a null key."""
+    n = 20_000
+    monkeypatch.setattr(physiology, "RANGE_BITS", 9, raising=False)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    top, none = gateway.new_array(spark._jvm.double, 1), gateway.new_array(spark._jvm.double, 0)
+    top[0] = 1.0
+    stages = lambda: {x.stageId(): x for x in (lambda s: [s.apply(k) for k in range(s.size())])(store.stageList(None, False, False, none, None))}
+    windows = spark.range(n).selectExpr("id % 2 as recording", "id div 2 + 1.0 as emg_rms", "if(id div 2 > 6000 or id div 2 % 7 = 3, 'awake', 'nrem') as state")
+    windows = windows.union(spark.sql("select null, 2.0D, 'awake' union all select null, 8.0D, 'rem' union all select null, 8.0D, 'awake' union all select 9, 1.0D, 'nrem'"))
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = set(stages())
+        got = {r["recording"]: r for r in physiology.fit_emg_threshold(windows, ["recording"]).collect()}
+        read = [store.taskSummary(k, x.attemptId(), top) for k, x in stages().items() if k not in before]
+        assert max(o.get().shuffleReadMetrics().readRecords().apply(0) for o in read if o.isDefined()) < n // 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+    assert set(got) == {0, 1, None}
+    x = np.arange(n // 2) + 1.0
+    awake = (x - 1 > 6000) | ((x - 1) % 7 == 3)
+    q = np.concatenate([[0.5], 0.5 * ((awake.sum() - np.cumsum(awake)) / awake.sum() + np.cumsum(~awake) / (~awake).sum())])
+    at = np.concatenate([[x[0]], np.sqrt(x[:-1] * x[1:]), [x[-1]]])
+    best = np.flatnonzero(np.abs(q - q.max()) <= 1e-12)
+    for k in (0, 1):
+        assert got[k]["threshold"] == pytest.approx(at[best[len(best) // 2]], rel=1e-12) and got[k]["balanced_accuracy"] == pytest.approx(q.max())
+        assert (got[k]["n_awake"], got[k]["n_sleep"]) == (awake.sum(), (~awake).sum())
+    assert (got[None]["n_awake"], got[None]["n_sleep"], got[None]["balanced_accuracy"]) == (2, 1, 0.5)
+    assert physiology.fit_emg_threshold(windows.where("recording = 1").drop("recording")).first()["threshold"] == got[1]["threshold"]
